@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.session import cut
+
 SMALL_GROUP = 50_000
 ACCURACY = 10_000
 
@@ -18,7 +20,7 @@ def finite(value: Column) -> Column:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], *, ready: bool = False
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, plus the count ``n``.
 
@@ -26,12 +28,16 @@ def quantiles(
     bounded sketch first brackets each quantile; rows inside a bracket are
     counted by value, the rest only by number, and the ranks are read off the
     counts.  A rank outside its bracket raises an error, it is never guessed.
+
+    The rows are read twice, so they are written once first; ``ready`` says that
+    they already lie in a table and can be read again cheaply.
     """
     margin = 2.0 / ACCURACY
     points: list[float] = []
     for p in probs.values():
         points += [max(0.0, p - margin), min(1.0, p + margin)]
     rows = df.where(value.isNotNull()).select(*keys, value.cast("double").alias("_v"))
+    rows = rows if ready else cut(rows)
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", points, ACCURACY).alias("_q")
     )
@@ -74,17 +80,20 @@ def quantiles(
     return found.select(*keys, "n", *out)
 
 
-def median(df: DataFrame, keys: Sequence[str], value: Column, name: str = "median") -> DataFrame:
-    return quantiles(df, keys, value, {name: 0.5}).select(*keys, name)
+def median(
+    df: DataFrame, keys: Sequence[str], value: Column, name: str = "median", *, ready: bool = False
+) -> DataFrame:
+    return quantiles(df, keys, value, {name: 0.5}, ready=ready).select(*keys, name)
 
 
-def median_and_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def median_and_mad(df: DataFrame, keys: Sequence[str], value: str, *, ready: bool = False) -> DataFrame:
     """``(keys, median, mad)`` with the raw median absolute deviation."""
-    centre = median(df, keys, F.col(value))
-    spread = df.select(*keys, value).join(centre, list(keys))
-    return quantiles(
-        spread, [*keys, "median"], F.abs(F.col(value) - F.col("median")), {"mad": 0.5}
-    ).select(*keys, "median", "mad")
+    rows = df.select(*keys, value)
+    rows = rows if ready else cut(rows)
+    centre = cut(median(rows, keys, F.col(value), ready=True))
+    off = rows.join(centre, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_off"))
+    spread = quantiles(off, keys, F.col("_off"), {"mad": 0.5}, ready=True)
+    return centre.join(spread.select(*keys, "mad"), list(keys))
 
 
 def value_cell(value: Column, low: Column, high: Column, cells: int = 65_536) -> Column:

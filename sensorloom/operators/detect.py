@@ -2,7 +2,8 @@
 
 Each detector takes rows ``(series, segment, blk, ts, value)`` without nulls and
 returns ``(series, segment, ts, score)``.  ``keys`` name what one model is
-fitted on: a series, or a segment of it.
+fitted on: a series, or a segment of it.  ``ready`` says that the rows lie in a
+table and may be read several times.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ MAD_TO_SIGMA = 1.4826
 Z_FACTOR = 0.6745
 
 
-def modified_z(df: DataFrame, *, keys: Sequence[str] = SERIES, **_) -> DataFrame:
+def modified_z(df: DataFrame, *, keys: Sequence[str] = SERIES, ready: bool = False, **_) -> DataFrame:
     """``0.6745 * |x - median| / max(MAD, 1e-6)``."""
-    stats = median_and_mad(df, keys, "value")
+    stats = median_and_mad(df, keys, "value", ready=ready)
     score = F.lit(Z_FACTOR) * F.abs(F.col("value") - F.col("median")) / F.greatest("mad", F.lit(EPSILON))
     return df.join(stats, list(keys)).select(*keys, "ts", score.alias("score"))
 
 
-def iqr_fence(df: DataFrame, *, keys: Sequence[str] = SERIES, fence_scale: float = 1.5, **_) -> DataFrame:
+def iqr_fence(
+    df: DataFrame, *, keys: Sequence[str] = SERIES, fence_scale: float = 1.5, ready: bool = False, **_
+) -> DataFrame:
     """Distance outside the Tukey fences in units of the IQR, 0 inside."""
-    stats = quantiles(df, keys, F.col("value"), {"q1": 0.25, "q3": 0.75})
+    stats = quantiles(df, keys, F.col("value"), {"q1": 0.25, "q3": 0.75}, ready=ready)
     iqr = F.greatest(F.col("q3") - F.col("q1"), F.lit(EPSILON))
     below = F.col("q1") - fence_scale * iqr - F.col("value")
     above = F.col("value") - F.col("q3") - fence_scale * iqr
@@ -167,6 +170,8 @@ def by_block(rows: DataFrame, model: DataFrame, score: Callable, keys: Sequence[
     """
     keys = list(keys)
     places = rows.select(*keys, "blk").distinct().join(model, keys)
+    # Own names on this side: both sides come from the same rows.
+    places = places.withColumnsRenamed({c: f"{c}_of_model" for c in (*keys, "blk")})
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ts timestamp, score double"
 
@@ -175,7 +180,9 @@ def by_block(rows: DataFrame, model: DataFrame, score: Callable, keys: Sequence[
             return pd.DataFrame({**{k: [] for k in keys}, "ts": [], "score": []})
         return score(left.sort_values("ts"), right)
 
-    return rows.groupBy(*keys, "blk").cogroup(places.groupBy(*keys, "blk")).applyInPandas(apply, schema)
+    return rows.groupBy(*keys, "blk").cogroup(
+        places.groupBy(*[f"{c}_of_model" for c in (*keys, "blk")])
+    ).applyInPandas(apply, schema)
 
 
 # --- local outlier factor -----------------------------------------------------
@@ -198,15 +205,19 @@ def _lof_block(pdf: pd.DataFrame, keys: Sequence[str], neighbours: int) -> pd.Da
     x = np.repeat(pdf["value"].to_numpy(), copies)
     first = np.cumsum(copies) - copies
     n = len(x)
-    kdist = np.empty(n)
-    low = np.empty(n, dtype=np.int64)
     # The k nearest rows of x[i] are k+1 neighbours in order, x[i] included.
-    for i in range(n):
-        a = max(0, i - k)
-        starts = np.arange(a, max(a, min(i, n - 1 - k)) + 1)
-        reach = np.maximum(x[i] - x[starts], x[np.minimum(starts + k, n - 1)] - x[i])
-        best = int(np.argmin(reach))
-        low[i], kdist[i] = starts[best], reach[best]
+    starts = np.arange(n)[:, None] + np.arange(-k, 1)[None, :]
+    fits = (starts >= 0) & (starts + k < n)
+    left = np.where(fits, x[:, None] - x[np.clip(starts, 0, n - 1)], np.inf)
+    right = np.where(fits, x[np.clip(starts + k, 0, n - 1)] - x[:, None], np.inf)
+    reach = np.maximum(left, right)
+    kdist = reach.min(axis=1)
+    # Equal reach: everything strictly nearer must be in, then the lower side.
+    tied = reach == kdist[:, None]
+    by_left = tied & (left == reach)
+    last_left = k - by_left[:, ::-1].argmax(axis=1)
+    pick = np.where(by_left.any(axis=1), last_left, tied.argmax(axis=1))
+    low = starts[np.arange(n), pick]
     members = np.minimum(low[:, None] + np.arange(k + 1)[None, :], n - 1)
     others = members != np.arange(n)[:, None]
     reach = np.maximum(kdist[members], np.abs(x[members] - x[:, None]))
@@ -218,7 +229,7 @@ def _lof_block(pdf: pd.DataFrame, keys: Sequence[str], neighbours: int) -> pd.Da
 
 
 def local_outlier_factor(
-    df: DataFrame, *, keys: Sequence[str] = SERIES, neighbours: int = 50, stretch: int = 8192, **_
+    df: DataFrame, *, keys: Sequence[str] = SERIES, neighbours: int = 50, stretch: int = 4096, **_
 ) -> DataFrame:
     """Local outlier factor of the values of each series, k = min(50, n-1).
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import chance
 from sensorloom.functions.stats import finite, median_and_mad
 from sensorloom.operators.detect import MAD_TO_SIGMA
+from sensorloom.session import cut
 
 THRESHOLD_K = 3.5
 MAX_DETECTION_RATE = 0.07
@@ -31,9 +32,11 @@ def normalise(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scores.join(span, list(keys)).withColumn("norm", scaled).drop("_lo", "_hi")
 
 
-def thresholds(scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K) -> DataFrame:
+def thresholds(
+    scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K, *, ready: bool = False
+) -> DataFrame:
     """``median + k * 1.4826 * MAD`` of the finite scores; infinite without any."""
-    found = median_and_mad(scores.where(finite(F.col("score"))), keys, "score").select(
+    found = median_and_mad(scores.where(finite(F.col("score"))), keys, "score", ready=ready).select(
         *keys, (F.col("median") + F.lit(k) * F.lit(MAD_TO_SIGMA) * F.col("mad")).alias("threshold")
     )
     return scores.select(*keys).distinct().join(found, list(keys), "left").select(
@@ -41,9 +44,10 @@ def thresholds(scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K) -
     )
 
 
-def flag(scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K) -> DataFrame:
+def flag(scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K, *, ready: bool = False) -> DataFrame:
     """Add ``threshold`` and ``flag``: finite and strictly above the threshold."""
-    return scores.join(thresholds(scores, keys, k), list(keys)).withColumn(
+    scores = scores if ready else cut(scores)
+    return scores.join(thresholds(scores, keys, k, ready=True), list(keys)).withColumn(
         "flag", F.coalesce(finite(F.col("score")) & (F.col("score") > F.col("threshold")), F.lit(False))
     )
 

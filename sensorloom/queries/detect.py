@@ -93,7 +93,7 @@ def d5(spark, sf):
 
 
 _LOF = """, v AS (SELECT series, ts, value, row_number() OVER (PARTITION BY series ORDER BY value, ts) AS id,
-      count(*) OVER (PARTITION BY series) AS n FROM obsd),
+      count(*) OVER (PARTITION BY series) AS n FROM (SELECT series, ts, round(value, 6) AS value FROM obsd)),
     near AS (SELECT a.series, a.id, b.id AS other, abs(a.value - b.value) AS d,
       row_number() OVER (PARTITION BY a.series, a.id ORDER BY abs(a.value - b.value), b.id) AS r, a.n
       FROM v a JOIN v b ON a.series = b.series AND a.id <> b.id AND abs(a.id - b.id) <= 60),
@@ -109,7 +109,7 @@ _LOF = """, v AS (SELECT series, ts, value, row_number() OVER (PARTITION BY seri
 
 @query("D6_local_outlier_factor", OBSERVED + _LOF)
 def d6(spark, sf):
-    return detect.local_outlier_factor(observed(spark, sf))
+    return detect.local_outlier_factor(observed(spark, sf).withColumn("value", F.round("value", 6)))
 
 
 @query("D7_window_pca")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sensorloom.session import configure, ensure_checkpoint_dir
 
-MODULES = ("grid", "detect")
+MODULES = ("grid", "detect", "screen")
 DIGITS = 6
 
 

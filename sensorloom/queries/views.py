@@ -4,8 +4,8 @@
 ``slots``  the same, first reading of every 5-minute slot
 ``grid5``  slots on the regular 5-minute grid
 ``hourly`` trustworthy hourly means
-``daily``  daily order totals per priority
-``ship``   daily mean line price per return flag
+``daily``  daily order totals per priority, in thousands
+``ship``   daily mean line price per return flag, in thousands
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def daily(spark, sf_dir) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-        .agg(F.sum("o_totalprice").alias("value"))
+        .agg((F.sum("o_totalprice") / 1000).alias("value"))
     )
 
 
@@ -57,7 +57,7 @@ def ship(spark, sf_dir) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_returnflag").alias("series"), F.col("l_shipdate").cast("timestamp").alias("ts"))
-        .agg(F.avg("l_extendedprice").alias("value"))
+        .agg((F.avg("l_extendedprice") / 1000).alias("value"))
     )
 
 
@@ -120,7 +120,7 @@ def segments_sql(source: str, name: str = "segments") -> str:
 
 
 HOURLY = f"WITH {OBS}, {SLOTS}, {GRID5}, {frozen_sql('grid5')}, {hourly_sql()}"
-DAILY = f"""WITH daily AS (SELECT o_orderpriority AS series, o_orderdate AS ts, sum(o_totalprice) AS value
+DAILY = f"""WITH daily AS (SELECT o_orderpriority AS series, o_orderdate AS ts, sum(o_totalprice) / 1000 AS value
   FROM orders GROUP BY 1, 2), daily_grid AS ({grid_sql('daily', '1 DAY')})"""
-SHIP = f"""WITH ship AS (SELECT l_returnflag AS series, l_shipdate AS ts, avg(l_extendedprice) AS value
+SHIP = f"""WITH ship AS (SELECT l_returnflag AS series, l_shipdate AS ts, avg(l_extendedprice) / 1000 AS value
   FROM lineitem GROUP BY 1, 2), ship_grid AS ({grid_sql('ship', '1 DAY')})"""
