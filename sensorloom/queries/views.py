@@ -41,6 +41,10 @@ def hourly(spark, sf_dir, min_useful: int = grid.MIN_USEFUL) -> DataFrame:
     return grid.hourly_mean(slots(spark, sf_dir), LIMIT, min_useful=min_useful)
 
 
+def hourly_ppb(spark, sf_dir) -> DataFrame:
+    return hourly(spark, sf_dir).withColumn("value", F.col("value") * F.lit(PPB))
+
+
 def daily(spark, sf_dir) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
@@ -119,7 +123,10 @@ def segments_sql(source: str, name: str = "segments") -> str:
   WINDOW w AS (PARTITION BY series, island))"""
 
 
+# Micrograms of NO2 per cubic metre to parts per billion at 25 degrees.
+PPB = 24.45 / 46.0055
 HOURLY = f"WITH {OBS}, {SLOTS}, {GRID5}, {frozen_sql('grid5')}, {hourly_sql()}"
+HOURLY_PPB = HOURLY + f", ppb AS (SELECT series, ts, value * CAST('{PPB!r}' AS DOUBLE) AS value FROM hourly)"
 DAILY = f"""WITH daily AS (SELECT o_orderpriority AS series, o_orderdate AS ts, sum(o_totalprice) / 1000 AS value
   FROM orders GROUP BY 1, 2), daily_grid AS ({grid_sql('daily', '1 DAY')})"""
 SHIP = f"""WITH ship AS (SELECT l_returnflag AS series, l_shipdate AS ts, avg(l_extendedprice) / 1000 AS value
