@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.functions.blocks import DAY, HOUR
-from sensorloom.operators import detect, grid, windows
+from sensorloom.operators import detect, grid, nearest, windows
 from sensorloom.queries import views as V
 from sensorloom.queries.registry import query
 
@@ -191,8 +191,18 @@ def w2(spark, sf):
     return windows.fold_tails(_scored_run(spark, sf), _W, 5, step=DAY).drop("segment")
 
 
-def _long(df, column):
-    return df.select("series", "start_pos", F.posexplode(column).alias("i", column))
+@query(
+    "W3_nearest_and_furthest",
+    """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+    d AS (SELECT a.id, b.id AS other, power(list_distance(a.v, b.v), 2) AS distance FROM e a JOIN e b ON a.id <> b.id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), other) AS near,
+      row_number() OVER (PARTITION BY id ORDER BY round(distance, 9) DESC, other) AS far FROM d)
+    SELECT id, 'near' AS kind, near AS rank, other, round(distance, 6) AS distance FROM r WHERE near <= 5
+    UNION ALL SELECT id, 'far', far, other, round(distance, 6) FROM r WHERE far <= 5""",
+)
+def w3(spark, sf):
+    vectors = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return nearest.neighbours(vectors, 5)
 
 
 @query("W4_window_triplets")

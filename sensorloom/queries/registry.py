@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sensorloom.session import configure, ensure_checkpoint_dir
 
-MODULES = ("grid", "detect", "screen", "impute")
+MODULES = ("sources", "grid", "detect", "screen", "inject", "metrics", "impute", "forecast", "report")
 DIGITS = 6
 
 

@@ -4,8 +4,12 @@
 ``slots``  the same, first reading of every 5-minute slot
 ``grid5``  slots on the regular 5-minute grid
 ``hourly`` trustworthy hourly means
-``daily``  daily order totals per priority, in thousands
-``ship``   daily mean line price per return flag, in thousands
+``daily``  daily order totals per priority
+``ship``   daily mean line price per return flag
+
+Prices are turned from marks into thousands of euros at the fixed rate, and
+micrograms into parts per billion where a query needs values without a short
+decimal form, which two engines could round to different sides.
 """
 
 from __future__ import annotations
@@ -16,6 +20,10 @@ from pyspark.sql import functions as F
 from sensorloom.functions.blocks import DAY, FIVE_MINUTES
 from sensorloom.operators import grid
 
+# Marks per thousand euros; ppb of NO2 per microgram at 25 degrees.
+RATE = 1955.83
+PPB = 24.45 / 46.0055
+
 LIMIT = grid.DETECTION_LIMITS["NO2"]
 
 
@@ -49,7 +57,7 @@ def daily(spark, sf_dir) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-        .agg((F.sum("o_totalprice") / 1000).alias("value"))
+        .agg((F.sum("o_totalprice") / RATE).alias("value"))
     )
 
 
@@ -61,7 +69,7 @@ def ship(spark, sf_dir) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_returnflag").alias("series"), F.col("l_shipdate").cast("timestamp").alias("ts"))
-        .agg((F.avg("l_extendedprice") / 1000).alias("value"))
+        .agg((F.avg("l_extendedprice") / RATE).alias("value"))
     )
 
 
@@ -123,11 +131,9 @@ def segments_sql(source: str, name: str = "segments") -> str:
   WINDOW w AS (PARTITION BY series, island))"""
 
 
-# Micrograms of NO2 per cubic metre to parts per billion at 25 degrees.
-PPB = 24.45 / 46.0055
 HOURLY = f"WITH {OBS}, {SLOTS}, {GRID5}, {frozen_sql('grid5')}, {hourly_sql()}"
 HOURLY_PPB = HOURLY + f", ppb AS (SELECT series, ts, value * CAST('{PPB!r}' AS DOUBLE) AS value FROM hourly)"
-DAILY = f"""WITH daily AS (SELECT o_orderpriority AS series, o_orderdate AS ts, sum(o_totalprice) / 1000 AS value
+DAILY = f"""WITH daily AS (SELECT o_orderpriority AS series, o_orderdate AS ts, sum(o_totalprice) / {RATE} AS value
   FROM orders GROUP BY 1, 2), daily_grid AS ({grid_sql('daily', '1 DAY')})"""
-SHIP = f"""WITH ship AS (SELECT l_returnflag AS series, l_shipdate AS ts, avg(l_extendedprice) / 1000 AS value
+SHIP = f"""WITH ship AS (SELECT l_returnflag AS series, l_shipdate AS ts, avg(l_extendedprice) / {RATE} AS value
   FROM lineitem GROUP BY 1, 2), ship_grid AS ({grid_sql('ship', '1 DAY')})"""
