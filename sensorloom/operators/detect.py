@@ -177,7 +177,7 @@ def by_block(rows: DataFrame, model: DataFrame, score: Callable, keys: Sequence[
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({**{k: [] for k in keys}, "ts": [], "score": []})
+            return left.iloc[:0][[*keys, "ts"]].assign(score=pd.Series(dtype="float64"))
         return score(left.sort_values("ts"), right)
 
     return rows.groupBy(*keys, "blk").cogroup(

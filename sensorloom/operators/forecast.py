@@ -344,10 +344,9 @@ def forecast_error(
     places = places.withColumnsRenamed({c: f"{c}_of_model" for c in (*keys, "blk")})
 
     def stacks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({**{c: [] for c in keys}, "blk": [], "ts": [], "e": []})
         width = window + horizon
-        if left.empty or right.empty or len(left) < width:
-            return empty
+        if right.empty or len(left) < width:
+            return left.iloc[:0][[*keys, "blk", "ts"]].assign(e=pd.Series(dtype="object"))
         left = left.sort_values("ts")
         x = left["value"].to_numpy()
         coef = np.asarray(right["coef"].iloc[0]).reshape(horizon, window)

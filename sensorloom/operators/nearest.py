@@ -98,7 +98,7 @@ def neighbours(vectors: DataFrame, k: int, *, block: int = BLOCK, cells: int | N
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "kind": [], "other": [], "distance": []})
+            return left.iloc[:0][["id"]].assign(kind="", other=0, distance=0.0)
         a, b = np.stack(left["v"].to_numpy()), np.stack(right["w"].to_numpy())
         rough = _distances(a, b)
         tol = SLACK * (1.0 + rough.max(axis=1, keepdims=True))

@@ -67,9 +67,9 @@ def g16(spark, sf):
     "G17_long_split",
     V.DAILY + """, p AS (SELECT series, ts, value, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS "row",
         count(*) OVER (PARTITION BY series) AS n FROM daily_grid),
-    c AS (SELECT *, greatest(1, least(floor(n * 0.8)::BIGINT, n - 1)) AS at FROM p)
-    SELECT series, ts, round(value, 6) AS value, "row", 'train' AS role FROM c WHERE "row" < at
-    UNION ALL SELECT series, ts, round(value, 6), "row", 'valid' FROM c WHERE "row" >= at - 30""",
+    c AS (SELECT *, greatest(1, least(floor(n * 0.8)::BIGINT, n - 1)) AS edge FROM p)
+    SELECT series, ts, round(value, 6) AS value, "row", 'train' AS role FROM c WHERE "row" < edge
+    UNION ALL SELECT series, ts, round(value, 6), "row", 'valid' FROM c WHERE "row" >= edge - 30""",
 )
 def g17(spark, sf):
     rows = V.daily_grid(spark, sf).select("series", "blk", "ts", "value")
@@ -82,10 +82,10 @@ def g17(spark, sf):
         FROM segments WHERE segment_len >= 8) WHERE back >= 2),
     ship AS (SELECT 'ship_' || l_returnflag AS series, l_shipdate AS ts, avg(l_extendedprice) / {V.RATE} AS value FROM lineitem GROUP BY 1, 2),
     sp AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS "row", count(*) OVER (PARTITION BY series) AS n FROM ship),
-    cutat AS (SELECT *, greatest(1, least(floor(n * 0.6)::BIGINT, n - 1)) AS at FROM sp),
+    cutat AS (SELECT *, greatest(1, least(floor(n * 0.6)::BIGINT, n - 1)) AS edge FROM sp),
     sc AS (SELECT series, avg(value) AS m, stddev_pop(value) AS s FROM (SELECT series, value FROM fitrows
-      UNION ALL SELECT series, value FROM cutat WHERE "row" < at) GROUP BY 1),
-    test AS (SELECT series, ts, value FROM marked WHERE masked UNION ALL SELECT series, ts, value FROM cutat WHERE "row" >= at)
+      UNION ALL SELECT series, value FROM cutat WHERE "row" < edge) GROUP BY 1),
+    test AS (SELECT series, ts, value FROM marked WHERE masked UNION ALL SELECT series, ts, value FROM cutat WHERE "row" >= edge)
     SELECT t.series, t.ts, round(t.value, 6) AS actual, round((t.value - m) / s, 6) AS scaled FROM test t JOIN sc ON sc.series = t.series""",
 )
 def g18(spark, sf):
