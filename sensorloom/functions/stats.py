@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions.blocks import carry
 from sensorloom.session import cut
 
 SMALL_GROUP = 50_000
 ACCURACY = 10_000
+CELLS = 65_536
 
 
 def finite(value: Column) -> Column:
@@ -33,6 +35,7 @@ def quantiles(
     they already lie in a table and can be read again cheaply.
     """
     margin = 2.0 / ACCURACY
+    probs = dict(sorted(probs.items(), key=lambda item: item[1]))
     points: list[float] = []
     for p in probs.values():
         points += [max(0.0, p - margin), min(1.0, p + margin)]
@@ -41,23 +44,31 @@ def quantiles(
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", points, ACCURACY).alias("_q")
     )
-    inside = F.col("_n") <= SMALL_GROUP
-    floor = F.lit(None).cast("double")
+    small = F.col("_n") <= SMALL_GROUP
+    inside, floor = small, F.lit(None).cast("double")
+    # Brackets follow each other, so their cells number blocks in value order.
+    blk = F.lit(0).cast("bigint")
     for i in range(len(probs)):
         low, high = F.col("_q")[2 * i], F.col("_q")[2 * i + 1]
         inside = inside | F.col("_v").between(low, high)
         floor = F.greatest(floor, F.when(high < F.col("_v"), high))
+        cell = value_cell(F.col("_v"), low, high) + F.lit((i + 1) * CELLS)
+        blk = F.when(~small & (F.col("_v") >= low), cell).otherwise(blk)
     counted = (
         rows.join(sketch, list(keys))
         .select(
             *keys, "_n", (~inside).alias("_rest"),
             F.when(inside, F.col("_v")).otherwise(floor).alias("_v"),
+            blk.alias("blk"),
         )
         .groupBy(*keys, "_v", "_rest")
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"), F.min("blk").alias("blk"))
+    )
+    # Counted rows above a bracket stand right behind its top value.
+    place = F.struct(F.coalesce("_v", F.lit(float("-inf"))).alias("v"), "_rest")
+    ranked = carry(
+        counted.withColumn("_place", place), {"_upto": ("sum", F.col("_c"))}, order="_place", keys=keys
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first(), "_rest")
-    ranked = counted.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def at(rank: Column) -> Column:
         held = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")) & ~F.col("_rest")
@@ -96,7 +107,7 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str, *, ready: boo
     return centre.join(spread.select(*keys, "mad"), list(keys))
 
 
-def value_cell(value: Column, low: Column, high: Column, cells: int = 65_536) -> Column:
+def value_cell(value: Column, low: Column, high: Column, cells: int = CELLS) -> Column:
     """Equal-width cell of ``value``: a block number that follows the value order."""
     share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-    return F.least(F.floor(share * cells), F.lit(cells - 1)).cast("bigint")
+    return F.greatest(F.lit(0), F.least(F.floor(share * cells), F.lit(cells - 1))).cast("bigint")

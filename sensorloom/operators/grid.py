@@ -23,6 +23,7 @@ from sensorloom.functions.blocks import (
     run_table,
     runs,
 )
+from sensorloom.session import cut
 
 # Detection limits by pollutant, in the units of the readings.
 DETECTION_LIMITS = {"CO": 6.0, "NO2": 3.762}
@@ -276,15 +277,29 @@ def best_block(obs: DataFrame, step: int, *, w_col: float = 0.6, w_row: float =
     rows^w_row``; ties go to the smaller k, then the earlier stretch.  Result:
     one row per series of the winning block.
     """
-    counts = observed_counts(obs, step).withColumn("series", F.lit("all"))
-    top = counts.agg(F.max("n_observed").alias("top"))
-    levels = counts.join(F.broadcast(top)).withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), "top")))
+    counts = cut(observed_counts(obs, step))
+    # Only counts that occur change the stretches; k is the smallest number that
+    # gives the same ones.  At most one level per series.
+    seen = counts.where("n_observed > 0").select("n_observed").distinct()
+    levels = seen.agg(F.sort_array(F.collect_list("n_observed")).alias("_c")).select(
+        F.transform(
+            "_c", lambda c, i: F.struct((F.coalesce(F.get("_c", i - 1), F.lit(0)) + 1).alias("k"), c.alias("c"))
+        ).alias("_levels")
+    )
     keys = ("series", "k")
-    blocked = in_blocks(levels.select("series", "k", "ts", "n_observed"), step, keys=keys)
-    stretches = runs(blocked, F.col("n_observed") >= F.col("k"), keys=keys).where("n_observed >= k")
+    spread = counts.join(F.broadcast(levels)).select(
+        F.lit("all").alias("series"), "ts", F.explode(F.filter("_levels", lambda x: x["c"] <= F.col("n_observed"))["k"]).alias("k")
+    )
+    blocked = in_blocks(spread, step, keys=keys)
+    # Rows of a level are its covered slots: a stretch ends where time jumps.
+    jumped = carry(blocked, {"_prev": ("before", F.col("ts"))}, keys=keys)
+    opens = F.col("_prev").isNull() | (micros("ts") - micros("_prev") > step * MICROS)
+    placed = carry(jumped, {"run_start": ("last", F.when(opens, F.col("ts")))}, keys=keys)
     spans = (
-        stretches.groupBy("k", "run_start")
-        .agg(F.first("run_end").alias("run_end"), F.first("run_len").alias("run_len"))
+        placed.groupBy("k", "run_start")
+        .agg(F.max("ts").alias("run_end"), F.count(F.lit(1)).alias("run_len"))
+        .groupBy("run_start", "run_end", "run_len")
+        .agg(F.min("k").alias("k"))
     )
     # A series is complete in a stretch when one of its own observed segments
     # covers it; segments and stretches meet through the stretch's first slot.

@@ -41,11 +41,12 @@ def linear_fill(rows: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     return near.withColumn("filled", F.coalesce("value", filled)).drop("prev", "next")
 
 
-def gap_anchors(rows: DataFrame, gaps: DataFrame, step: int = HOUR) -> DataFrame:
+def gap_anchors(rows: DataFrame, gaps: DataFrame, step: int = HOUR, *, natural: bool = False) -> DataFrame:
     """Gaps with the observed points ``(t0, v0)`` and ``(t1, v1)`` around them.
 
     A neighbour inside another gap of the same set is masked too; such gaps are
-    linked and share the anchors of the whole chain.
+    linked and share the anchors of the whole chain.  ``natural`` gaps are the
+    holes of the rows themselves, which never touch.
     """
     near = neighbours(rows.select("series", "blk", "ts", "value"))
     ends = gaps.withColumn(
@@ -54,16 +55,23 @@ def gap_anchors(rows: DataFrame, gaps: DataFrame, step: int = HOUR) -> DataFrame
     ends = ends.join(
         near.select("series", F.col("ts").alias("start_ts"), F.col("prev").alias("_p")), ["series", "start_ts"], "left"
     ).join(near.select("series", F.col("ts").alias("_end"), F.col("next").alias("_n")), ["series", "_end"], "left")
-    # A set has a handful of gaps, fixed by the options.
+    if natural:
+        return _anchored(ends, gaps)
+    # An artificial set has a handful of gaps, fixed by the options.
     line = Window.partitionBy(*SET).orderBy("start_ts")
     reach = F.max("_end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     linked = F.coalesce(F.col("_p.ts") <= reach, reach.isNotNull() & F.col("_p").isNull())
     chain = ends.withColumn("_opens", F.when(linked, 0).otherwise(1))
     chain = chain.withColumn("_chain", F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(*SET, "_chain")
-    return chain.withColumns(
+    chained = chain.withColumns(
         {"_p": F.min_by("_p", "start_ts").over(whole), "_n": F.max_by("_n", "_end").over(whole)}
-    ).select(
+    )
+    return _anchored(chained, gaps)
+
+
+def _anchored(ends: DataFrame, gaps: DataFrame) -> DataFrame:
+    return ends.select(
         *gaps.columns, F.col("_p.ts").alias("t0"), F.col("_p.value").alias("v0"),
         F.col("_n.ts").alias("t1"), F.col("_n.value").alias("v1"),
     )
@@ -82,9 +90,11 @@ def failure_table(gaps: DataFrame, model: str, required: int) -> DataFrame:
     )
 
 
-def linear_imputer(rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, **_) -> tuple[DataFrame, DataFrame]:
+def linear_imputer(
+    rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, natural: bool = False, **_
+) -> tuple[DataFrame, DataFrame]:
     """Straight line between the observed rows around each gap."""
-    anchored = gap_rows(gap_anchors(rows, gaps, step), step)
+    anchored = gap_rows(gap_anchors(rows, gaps, step, natural=natural), step)
     value = _line(F.col("t0"), F.col("v0"), F.col("t1"), F.col("v1"), F.col("ts"))
     return anchored.select(*gaps.columns, "ts", value.alias("pred")), _no_failures(gaps)
 
@@ -94,14 +104,16 @@ def season(ts: Column | str, step: int) -> Column:
     return F.hour(ts) if step == HOUR else F.lit(0)
 
 
-def seasonal_imputer(rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, **_) -> tuple[DataFrame, DataFrame]:
+def seasonal_imputer(
+    rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, natural: bool = False, **_
+) -> tuple[DataFrame, DataFrame]:
     """Hour-of-day mean plus the interpolated distance from it.
 
     The hourly means leave the set's masked rows out: their sums are taken off
     the sums of the series.  Where an hour has no data left, and on steps other
     than an hour, the plain line is used.
     """
-    anchored = gap_rows(gap_anchors(rows, gaps, step), step)
+    anchored = gap_rows(gap_anchors(rows, gaps, step, natural=natural), step)
     plain = _line(F.col("t0"), F.col("v0"), F.col("t1"), F.col("v1"), F.col("ts"))
     if step != HOUR:
         return anchored.select(*gaps.columns, "ts", plain.alias("pred")), _no_failures(gaps)
@@ -231,12 +243,12 @@ def impute_series(rows: DataFrame, imputer=seasonal_imputer, *, step: int = HOUR
     """Complete series: observed rows stay, gaps take the imputer's value, and
     what it leaves open falls back to seasonal interpolation."""
     gaps = cut(natural_gaps(rows, step))
-    pred, _ = imputer(rows, gaps, step=step, **options)
+    pred, _ = imputer(rows, gaps, step=step, natural=True, **options)
     fill = pred.select("series", "ts", F.col("pred").alias("_fill"))
     out = rows.join(fill, ["series", "ts"], "left")
     value = F.coalesce("value", "_fill")
     if imputer is not seasonal_imputer:
-        backstop, _ = seasonal_imputer(rows, gaps, step=step)
+        backstop, _ = seasonal_imputer(rows, gaps, step=step, natural=True)
         out = out.join(
             backstop.select("series", "ts", F.col("pred").alias("_backstop")), ["series", "ts"], "left"
         )

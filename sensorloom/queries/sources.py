@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import DAY
+from sensorloom.functions.blocks import DAY, floor_div
 from sensorloom.operators import splits
 from sensorloom.queries import views as V
 from sensorloom.queries.registry import query
@@ -115,7 +115,7 @@ def s5(spark, sf):
     named = pages.select(
         "page_id", files.short_name(F.col("url")).alias("short"), files.long_name(parent, stem, F.lit("NO2")).alias("name")
     )
-    return files.unique_names(named, order="page_id")
+    return files.unique_names(named, order="page_id", block=floor_div(F.col("page_id"), 100_000))
 
 
 @query(

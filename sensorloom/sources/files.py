@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import HOUR
+from sensorloom.functions.blocks import HOUR, carry
 from sensorloom.operators.grid import regular_grid
 
 SUPPORTED = ("csv", "json")
@@ -124,12 +124,16 @@ def long_name(parent: Column, stem: Column, value: Column) -> Column:
     return F.when(named, base).otherwise(F.concat_ws("__", base, sanitise(value)))
 
 
-def unique_names(files: DataFrame, name: str = "name", order: str = "path") -> DataFrame:
-    """Give clashing names ``_1``, ``_2``, ... in path order.  One row per file."""
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return files.withColumn("_k", rank).withColumn(
-        name, F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat_ws("_", F.col(name), F.col("_k")))
-    ).drop("_k")
+def unique_names(files: DataFrame, name: str = "name", order: str = "path", block: Column | None = None) -> DataFrame:
+    """Give clashing names ``_1``, ``_2``, ... in the given order.
+
+    One row per file or item.  ``block`` numbers stretches along the order when
+    one name may be shared by very many rows.
+    """
+    placed = files.withColumn("blk", F.lit(0).cast("bigint") if block is None else block)
+    counted = carry(placed, {"_k": ("sum", F.lit(1).cast("bigint"))}, order=order, keys=(name,))
+    clash = F.concat_ws("_", F.col(name), F.col("_k") - 1)
+    return counted.withColumn(name, F.when(F.col("_k") == 1, F.col(name)).otherwise(clash)).drop("_k", "blk")
 
 
 def value_at(df: DataFrame, position: int | None) -> DataFrame | None:
