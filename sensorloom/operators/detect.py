@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import chance
-from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, SERIES, carry, halo, in_blocks
+from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, SERIES, attach, carry, halo
 from sensorloom.functions.stats import median_and_mad, quantiles, value_cell
 
 EPSILON = 1e-6
@@ -28,7 +28,7 @@ def modified_z(df: DataFrame, *, keys: Sequence[str] = SERIES, ready: bool = Fal
     """``0.6745 * |x - median| / max(MAD, 1e-6)``."""
     stats = median_and_mad(df, keys, "value", ready=ready)
     score = F.lit(Z_FACTOR) * F.abs(F.col("value") - F.col("median")) / F.greatest("mad", F.lit(EPSILON))
-    return df.join(stats, list(keys)).select(*keys, "ts", score.alias("score"))
+    return attach(df, stats, keys).select(*keys, "ts", score.alias("score"))
 
 
 def iqr_fence(
@@ -40,7 +40,7 @@ def iqr_fence(
     below = F.col("q1") - fence_scale * iqr - F.col("value")
     above = F.col("value") - F.col("q3") - fence_scale * iqr
     score = F.greatest(below, above, F.lit(0.0)) / iqr
-    return df.join(stats, list(keys)).select(*keys, "ts", score.alias("score"))
+    return attach(df, stats, keys).select(*keys, "ts", score.alias("score"))
 
 
 def _array_median(values: Column) -> Column:
@@ -136,7 +136,7 @@ def isolation_forest(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ident = [F.col(k) for k in keys] + [F.col("ts")]
     wanted = 2.0 * sample * trees / F.col("_n")
-    pool = df.select(*keys, "ts", "value").join(sizes, keys).where(
+    pool = attach(df.select(*keys, "blk", "ts", "value"), sizes, keys).where(
         (F.col("_n") <= 2 * sample * trees) | (chance.uniform(seed, "pool", *ident) < wanted)
     )
     pool = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))

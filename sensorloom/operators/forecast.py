@@ -12,11 +12,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import moments
-from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, MICROS, SERIES, halo, in_blocks, micros
+from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, MICROS, SERIES, attach, halo, micros
 from sensorloom.operators import grid, splits
 from sensorloom.operators.gaps import SET, gap_rows
 from sensorloom.operators.impute import context_counts, failure_table, history_scale, left_context
@@ -230,7 +230,7 @@ def backtest(
             group=[*keys, "segment"], step=step,
         )
     )
-    held = rows.join(windows, "series").where("ts between eval_start and eval_end")
+    held = attach(rows, windows).where("ts between eval_start and eval_end")
     lead = ((micros("holdout_start") - micros("eval_start")) / F.lit(step * MICROS)).cast("bigint")
     shifts = windows.select("series", (lead - lags).alias("_shift"))
     table = window_table(held.select("series", "ts", "value"), lags + k, keys=SERIES, step=step)
@@ -292,7 +292,7 @@ def trend_band(
         F.min("ts").alias("_t0"), F.max("ts").alias("_t1"), F.avg("value").alias("_mean")
     )
     span = micros("_t1") - micros("_t0")
-    placed = df.join(bounds, keys).select(
+    placed = attach(df, bounds, keys).select(
         *keys, "blk", "ts", (F.col("value") - F.col("_mean")).alias("value"),
         F.coalesce(F.try_divide(micros("ts") - micros("_t0"), span), F.lit(0.0)).alias("share"),
     )
@@ -316,7 +316,7 @@ def trend_band(
     features = F.array(F.lit(1.0), share, *[F.greatest(share - float(c), F.lit(0.0)) for c in knots])
     fit = F.aggregate(F.zip_with(features, F.col("b"), lambda x, b: x * b), F.lit(0.0), lambda a, x: a + x)
     excess = F.greatest(F.abs(F.col("value") - fit) - F.col("half"), F.lit(0.0))
-    return placed.join(model, keys).select(*keys, "ts", (excess / F.col("half")).alias("score"))
+    return attach(placed, model, keys).select(*keys, "ts", (excess / F.col("half")).alias("score"))
 
 
 def forecast_error(
@@ -330,7 +330,7 @@ def forecast_error(
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= window + 2 * horizon - 1)
-    usable = df.join(sizes.select(*keys), keys, "left_semi")
+    usable = attach(df, sizes.select(*keys), keys)
     scaled = cut(splits.scale(usable.select(*keys, "blk", "ts", "value"), splits.scalers(usable, keys), keys))
     sums = lag_sums(scaled, lags=window, k=horizon, model_keys=keys, group=keys, step=step, block_rows=rows)
 
@@ -376,7 +376,7 @@ def forecast_error(
         moments.gram(errors, keys, build, [*keys, "blk"]), keys, gaussian, "mean array<double>, inv array<double>"
     )
     off = F.zip_with("e", "mean", lambda e, m: e - m)
-    scored = errors.join(normal, keys).withColumn("_o", off)
+    scored = attach(errors, normal, keys).withColumn("_o", off)
     rows_of = lambda i: F.slice("inv", i * horizon + 1, horizon)
     dot = lambda i: F.aggregate(
         F.zip_with("_o", rows_of(i), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x

@@ -22,6 +22,7 @@ from sensorloom.functions.blocks import (
     micros,
     run_table,
     runs,
+    time_block,
 )
 from sensorloom.session import cut
 
@@ -64,18 +65,25 @@ def series_bounds(obs: DataFrame) -> DataFrame:
     return obs.groupBy("series").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def skeleton(bounds: DataFrame, step: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """All slots of ``first_ts .. last_ts``, made block by block."""
-    size = step * MICROS
-    span = size * rows
+def block_bounds(bounds: DataFrame, step: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per block of each series with the series' ``_first`` and ``_last``
+    timestamp in microseconds."""
+    span = step * MICROS * rows
     first, last = micros("first_ts"), micros("last_ts")
     blocks = bounds.select(
         "series", first.alias("_first"), last.alias("_last"),
         floor_div(first, span).alias("_b0"), floor_div(last, span).alias("_b1"),
     )
-    blocks = expand(blocks, F.col("_b1") - F.col("_b0") + 1, "_i").select(
+    return expand(blocks, F.col("_b1") - F.col("_b0") + 1, "_i").select(
         "series", "_first", "_last", (F.col("_b0") + F.col("_i")).alias("blk")
     )
+
+
+def skeleton(bounds: DataFrame, step: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """All slots of ``first_ts .. last_ts``, made block by block."""
+    size = step * MICROS
+    span = size * rows
+    blocks = block_bounds(bounds, step, rows)
     # First and last slot number that fall into the block.
     begin = F.col("blk") * span - F.col("_first")
     low = F.greatest(F.lit(0), floor_div(begin + F.lit(size - 1), size))
@@ -172,19 +180,21 @@ def hourly_mean(
     limit = limit if isinstance(limit, Column) else F.lit(limit)
     clean = obs.where(F.col("ts").isNotNull())
     bounds = series_bounds(clean)
-    off_grid = F.pmod(micros("ts") - micros("first_ts"), F.lit(step * MICROS))
+    off_grid = F.pmod(micros("ts") - F.col("_first"), F.lit(step * MICROS))
+    # Joined per block, so that the rows of a long series stay spread out.
     readings = (
         last_readings(clean, step, tie=tie, rows=rows)
         .where(F.col("value").isNotNull())
-        .join(bounds.select("series", "first_ts"), "series")
+        .join(block_bounds(bounds, step, rows).drop("_last"), ["series", "blk"])
         .where(off_grid == 0)
-        .drop("first_ts")
+        .drop("_first")
     )
     frozen = runs(readings, F.col("value")).withColumn("frozen", F.col("run_len") >= min_run)
     reading = F.when(F.col("frozen"), F.lit(0.0)).otherwise(F.col("value"))
     useful = F.when(reading >= limit, reading)
     means = (
-        frozen.groupBy("series", floor_ts("ts", HOUR).alias("ts"))
+        frozen.withColumn("ts", floor_ts("ts", HOUR))
+        .groupBy("series", time_block("ts", HOUR).alias("blk"), "ts")
         .agg(F.count(useful).alias("n_useful"), F.avg(useful).alias("mean_useful"))
         .where(F.col("n_useful") >= min_useful)
     )
@@ -194,7 +204,7 @@ def hourly_mean(
         ),
         HOUR,
     )
-    return hours.join(means, ["series", "ts"], "left").select(
+    return hours.join(means, ["series", "blk", "ts"], "left").select(
         "series", "blk", "pos", "ts", F.col("mean_useful").alias("value")
     )
 

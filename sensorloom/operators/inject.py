@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import chance
-from sensorloom.functions.blocks import carry, expand, floor_div
+from sensorloom.functions.blocks import attach, carry, expand, floor_div
 from sensorloom.session import cut
 
 # Rows per anomaly and (shortest, longest) length of each kind.
@@ -120,7 +120,7 @@ def apply(cases: DataFrame, sizes: DataFrame, table: DataFrame, seed: int) -> Da
     )
     changed = (F.col("value") + F.col("_add") * F.col("std")) * F.col("_by") + F.col("_noise") * F.col("std")
     rows = (
-        cases.join(sizes.select("series", "std"), "series")
+        attach(cases, sizes.select("series", "std"))
         .join(changes, ["series", "pos"], "left")
         .withColumns(
             {"value": F.when(F.col("_add").isNull(), F.col("value")).otherwise(changed),

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import HOUR, MICROS, SERIES, micros
+from sensorloom.functions.blocks import HOUR, MICROS, SERIES, attach, micros
 from sensorloom.operators.grid import longest_run, observed_segments, positions
 
 
@@ -19,20 +19,24 @@ def enough_points(obs: DataFrame, *, min_points: int, min_ratio: float = 0.0) ->
         .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("value").isNotNull().cast("int")).alias("ratio"))
         .where((F.col("n") >= min_points) & (F.col("ratio") >= min_ratio))
     )
-    return obs.join(good.select("series"), "series", "left_semi")
+    return _only(obs, good)
 
 
 def enough_observed(obs: DataFrame, min_points: int) -> DataFrame:
     """Series with at least ``min_points`` observed rows."""
     good = obs.groupBy("series").agg(F.count("value").alias("n")).where(F.col("n") >= min_points)
-    return obs.join(good.select("series"), "series", "left_semi")
+    return _only(obs, good)
+
+
+def _only(rows: DataFrame, good: DataFrame) -> DataFrame:
+    if "blk" in rows.columns:
+        return attach(rows, good.select("series"))
+    return rows.join(good.select("series"), "series", "left_semi")
 
 
 def rows_before(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """Rows strictly before each series' ``holdout_start``."""
-    return rows.join(starts.select("series", "holdout_start"), "series").where(
-        "ts < holdout_start"
-    ).drop("holdout_start")
+    return attach(rows, starts.select("series", "holdout_start")).where("ts < holdout_start").drop("holdout_start")
 
 
 def hold_out(rows: DataFrame, held: DataFrame) -> DataFrame:
@@ -82,13 +86,17 @@ def scalers(rows: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 
 
 def scale(rows: DataFrame, fitted: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    return rows.join(fitted, list(keys)).withColumn(
+    return _with(rows, fitted, keys).withColumn(
         "value", (F.col("value") - F.col("mean")) / F.col("std")
     ).drop("mean", "std")
 
 
+def _with(rows: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return attach(rows, fitted, keys) if "blk" in rows.columns else rows.join(fitted, list(keys))
+
+
 def unscale(rows: DataFrame, fitted: DataFrame, column: str = "value", keys: Sequence[str] = SERIES) -> DataFrame:
-    return rows.join(fitted, list(keys)).withColumn(
+    return _with(rows, fitted, keys).withColumn(
         column, F.col(column) * F.col("std") + F.col("mean")
     ).drop("mean", "std")
 
@@ -168,7 +176,7 @@ def backtest_runs(rows: DataFrame, *, lags: int, k: int, step: int = HOUR, val_m
     best = best.select("series", F.col("b.segment").alias("_longest"), F.col("b.segment_len").alias("_len"), block.alias("_val"))
     best = best.where(F.col("_len") >= lags + 2 * k + F.col("_val"))
     left = ((micros("segment_end") - micros("ts")) / F.lit(step * MICROS)).cast("bigint")
-    joined = segments.join(best, "series").withColumns({"_left": left, "_is": F.col("segment") == F.col("_longest")})
+    joined = attach(segments, best).withColumns({"_left": left, "_is": F.col("segment") == F.col("_longest")})
     roles = F.array_compact(
         F.array(
             F.when(~F.col("_is") | (F.col("_left") >= F.col("_val")), F.lit("train")),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import chance, moments
-from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, MICROS, halo, micros
+from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, MICROS, attach, halo, micros
 from sensorloom.operators.detect import by_block
 
 SEGMENT = ("series", "segment")
@@ -36,7 +36,7 @@ def window_table(
     if back:
         framed = framed.withColumn("before", F.collect_list("value").over(line.rowsBetween(-back, -1)))
     start = ((micros("ts") - micros("_t0")) / F.lit(step * MICROS)).cast("bigint")
-    full = framed.where(F.col("own") & (F.size("w") == width)).join(bounds, list(keys))
+    full = attach(framed.where(F.col("own") & (F.size("w") == width)), bounds, keys)
     extra = ["before"] if back else []
     return full.withColumn("start_pos", start).where(F.col("start_pos") % stride == 0).select(
         *keys, "start_pos", "ts", "w", *extra
@@ -213,7 +213,7 @@ def pca(
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_mean"))
-    long_enough = df.join(sizes.where(F.col("_n") >= window), keys)
+    long_enough = attach(df, sizes.where(F.col("_n") >= window), keys)
     centred = long_enough.withColumn("value", F.col("value") - F.col("_mean"))
     spread = halo(centred.select(*keys, "ts", "value"), 0, window - 1, step=step, rows=rows, keys=keys)
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import HOUR, MICROS, in_blocks
+from sensorloom.functions.blocks import HOUR, MICROS, attach, in_blocks
 from sensorloom.operators import grid, inject, metrics, screen
 from sensorloom.operators.registry import DETECTORS, resolve_detectors
 from sensorloom.session import cut
@@ -96,7 +96,7 @@ def build_cases(
     kept, _ = grid.drop_repeats(hours)
     kept = cut(kept)
     best = grid.longest_run(kept).where(F.col("run_len") >= min_points)
-    chosen = kept.join(best, "series").where("ts between run_start and run_end")
+    chosen = attach(kept, best).where("ts between run_start and run_end")
     placed = grid.positions(chosen.select("series", "blk", "ts", "value"))
     cases = placed.select(
         "series", F.col("row").alias("pos"), F.col("ts").alias("orig_ts"),
@@ -161,7 +161,7 @@ def benchmark_synthetic(
     size = inject.case_sizes(cases).select("series", "n")
     scored = {}
     for name, rows in (("select", select), ("judge", judge)):
-        sized = cut(rows.join(size, "series"))
+        sized = cut(attach(rows, size))
         scores = score_all(sized, detectors, keys=keys, step=step, seed=seed, size="n")
         scored[name] = cut(scores.join(rows.select("series", "ts", "pos"), ["series", "ts"]))
     ranking = metrics.detection_metrics(scored["select"], select).select(

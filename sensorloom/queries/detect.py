@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import DAY, HOUR
+from sensorloom.functions.blocks import DAY, attach
 from sensorloom.operators import detect, grid, nearest, windows
 from sensorloom.queries import views as V
 from sensorloom.queries.registry import query
@@ -22,7 +22,7 @@ def ship_run(spark, sf):
     """Longest observed run of each daily shipping series."""
     rows = V.ship_grid(spark, sf)
     best = grid.longest_run(rows)
-    return rows.join(best, "series").where("ts between run_start and run_end").select(
+    return attach(rows, best).where("ts between run_start and run_end").select(
         "series", F.col("run_start").alias("segment"), "blk", "ts", "value"
     )
 

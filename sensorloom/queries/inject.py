@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sensorloom.functions.blocks import attach
 from sensorloom.operators import inject
 from sensorloom.queries import views as V
 from sensorloom.queries.detect import RUN, ship_run
@@ -18,7 +19,7 @@ def cases(spark, sf):
     rows = ship_run(spark, sf)
     first = rows.groupBy("series").agg(F.min("ts").alias("t0"))
     pos = F.datediff("ts", "t0").cast("bigint")
-    return cut(rows.join(first, "series").select("series", "blk", pos.alias("pos"), "ts", "value"))
+    return cut(attach(rows, first).select("series", "blk", pos.alias("pos"), "ts", "value"))
 
 
 def _u(kind: str, what: str, extra: str = "series, j") -> str:

@@ -22,6 +22,14 @@ RUNTIME_SETTINGS = {
 }
 
 
+# For the builder, before the session starts: plans here have many stages, whose
+# generated code should stay cached, and call-site capture slows plan building.
+STARTUP_SETTINGS = {
+    "spark.sql.codegen.cache.maxEntries": "4000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to ``spark`` and return it."""
     for key, value in RUNTIME_SETTINGS.items():

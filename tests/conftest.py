@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from sensorloom import configure  # noqa: E402
+from sensorloom.session import STARTUP_SETTINGS  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +19,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
+        .config(map=STARTUP_SETTINGS)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
