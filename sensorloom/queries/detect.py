@@ -219,7 +219,28 @@ def w5(spark, sf):
     )
 
 
-@query("W6_tail_corruptions")
+def _draw(what: str, low: int, high: int) -> str:
+    return f"""({low} + floor(('0x' || substr(md5(concat_ws('|', '13', series, strftime(segment, '%Y-%m-%d %H:%M:%S'), start_pos, '{what}')), 1, 8))::BIGINT
+      / 4294967296.0 * {high - low})::BIGINT)"""
+
+
+_RECENT = "list_aggregate(w[len(w) - 9:], 'avg')"
+
+
+@query(
+    "W6_tail_corruptions",
+    RUN
+    + f""", t AS (SELECT series, segment, pos AS start_pos, w FROM (SELECT series, segment, pos, list(value) OVER (PARTITION BY series ORDER BY ts
+        ROWS BETWEEN CURRENT ROW AND {_W - 1} FOLLOWING) AS w FROM run) WHERE len(w) = {_W} AND pos % 7 = 0),
+    d AS (SELECT *, {_W} - {_draw('cut', 1, max(2, _W // 2))} AS cut, {_draw('kind', 0, 6)} AS kind FROM t),
+    x AS (SELECT series, start_pos, kind, cut, {_RECENT} AS mean, unnest(w) AS v, unnest(range(0, {_W})) AS i FROM d)
+    SELECT series, start_pos, kind, cut, i, round(CASE WHEN kind < 2 AND i >= cut THEN kind
+      WHEN kind = 2 AND i = {_W - 1} THEN mean + 0.5 WHEN kind = 3 AND i = {_W - 1} THEN mean - 0.5
+      WHEN kind = 4 AND i = {_W - 1} THEN 2 WHEN kind = 5 AND i = {_W - 1} THEN -2 ELSE v END, 6) AS value FROM x""",
+)
 def w6(spark, sf):
     table = windows.window_table(ship_run(spark, sf), _W, stride=7, step=DAY)
-    return windows.corrupt_tail(table, _W, 13).select("series", "start_pos", "kind", "cut", "negative")
+    changed = windows.corrupt_tail(table, _W, 13)
+    return changed.select(
+        "series", "start_pos", "kind", "cut", F.posexplode("negative").alias("i", "value")
+    ).withColumn("i", F.col("i").cast("bigint"))

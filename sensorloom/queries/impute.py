@@ -106,10 +106,33 @@ def some_seeds(spark):
     return G.seed_table(spark, n_runs=4, start=42)
 
 
-@query("I1_block_gaps")
+# Three random blocks per set: the first draw, then twice the first draw that
+# does not overlap the ones before.
+_ROOM = "(n - gap_size + 1)"
+_DRAWN = f"""drawn AS (SELECT *, floor(('0x' || substr(md5(concat_ws('|', 'gap', seed, series, gap_size, 'draw', j)), 1, 8))::BIGINT
+        / 4294967296.0 * {_ROOM})::BIGINT AS c FROM (SELECT *, unnest(range(0, 70)) AS j FROM sets)),
+    one AS (SELECT series, gap_size, seed, run, first_ts, c AS a FROM drawn WHERE j = 0),
+    two AS (SELECT o.*, arg_min(d.c, d.j) AS b FROM one o JOIN drawn d ON d.series = o.series AND d.gap_size = o.gap_size AND d.seed = o.seed
+      AND abs(d.c - o.a) >= o.gap_size GROUP BY o.series, o.gap_size, o.seed, o.run, o.first_ts, o.a),
+    three AS (SELECT o.*, arg_min(d.c, d.j) AS c FROM two o JOIN drawn d ON d.series = o.series AND d.gap_size = o.gap_size AND d.seed = o.seed
+      AND abs(d.c - o.a) >= o.gap_size AND abs(d.c - o.b) >= o.gap_size
+      GROUP BY o.series, o.gap_size, o.seed, o.run, o.first_ts, o.a, o.b),
+    random_gaps AS (SELECT series, gap_size, seed, run, pos AS gap_id, pos AS start_pos, first_ts + pos * INTERVAL 1 HOUR AS start_ts, gap_size AS len
+      FROM (SELECT *, unnest([a, b, c]) AS pos FROM three))"""
+
+
+def _sets(sizes: str, runs: int) -> str:
+    return f"""sets AS (SELECT series, min(ts) AS first_ts, count(*) AS n, gap_size, seed, seed - 41 AS run FROM hg,
+      (SELECT unnest({sizes}) AS gap_size), (SELECT unnest(range(42, {42 + runs})) AS seed) GROUP BY series, gap_size, seed)"""
+
+
+@query(
+    "I1_block_gaps",
+    GAPS + f", {_sets('[1, 2, 5, 10]', 4)}, {_DRAWN} SELECT series, gap_size, seed, run, start_pos, start_ts, len FROM random_gaps",
+)
 def i1(spark, sf):
     sets = G.gap_sets(bounds(hours(spark, sf)), [1, 2, 5, 10], some_seeds(spark))
-    return G.block_gaps(sets, [1, 2, 5, 10], 3)
+    return G.block_gaps(sets, [1, 2, 5, 10], 3).drop("gap_id")
 
 
 @query("I2_hybrid_gaps")
@@ -342,11 +365,18 @@ def r9(spark, sf):
     return report.by_gap_size(cut(benchmark(spark, sf).results))
 
 
-@query("R6_monte_carlo")
+# The same benchmark with the gaps drawn at random for five seeds.
+_MONTE_CARLO = RESULTS.replace(
+    "gaps AS (SELECT series, gap_size, seed, run, gap_id, start_ts, len FROM spec WHERE start_ts + (len - 1) * INTERVAL 1 HOUR <= top)",
+    f"{_sets('[1, 5]', 5)}, {_DRAWN}, gaps AS (SELECT series, gap_size, seed, run, gap_id, start_ts, len FROM random_gaps)",
+)
+
+
+@query("R6_monte_carlo", _MONTE_CARLO + f" SELECT model, series, gap_size, seed, run, {_ROUNDED} FROM results")
 def r6(spark, sf):
     rows = hours(spark, sf)
     done = imputation.monte_carlo(
-        rows, bounds(rows), MODELS, gap_sizes=[1, 5], strategy="hybrid", seeds=G.seed_table(spark, n_runs=5), m=M
+        rows, bounds(rows), MODELS, gap_sizes=[1, 5], seeds=G.seed_table(spark, n_runs=5), m=M
     )
     return done.results
 
