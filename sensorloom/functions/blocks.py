@@ -29,7 +29,6 @@ HOUR = 3600
 DAY = 86400
 
 START = Window.unboundedPreceding
-END = Window.unboundedFollowing
 
 
 def micros(ts: Column | str) -> Column:
@@ -125,13 +124,15 @@ def carry(
     ``total``               sum over the whole series
     """
     here = Window.partitionBy(*keys, blk).orderBy(order)
+    # Backwards in place of "until the end": such frames start anew on every row.
+    back = Window.partitionBy(*keys, blk).orderBy(F.col(order).desc())
     frames = {
-        "last": (START, 0), "before": (START, -1), "next": (0, END), "after": (1, END),
+        "last": (START, 0), "before": (START, -1), "next": (START, 0), "after": (START, -1),
         "sum": (START, 0), "max_before": (START, -1),
     }
     local, summary, across, final = {}, [], {}, {}
     earlier = Window.partitionBy(*keys).orderBy(blk).rowsBetween(START, -1)
-    later = Window.partitionBy(*keys).orderBy(blk).rowsBetween(1, END)
+    later = Window.partitionBy(*keys).orderBy(F.col(blk).desc()).rowsBetween(START, -1)
     whole = Window.partitionBy(*keys)
     work = df.withColumns({f"_x_{name}": expr for name, (_, expr) in specs.items()})
     for name, (kind, _) in specs.items():
@@ -143,9 +144,9 @@ def carry(
             across[name] = F.last(f"_b_{name}", ignorenulls=True).over(earlier)
             final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}"))
         elif kind in ("next", "after"):
-            local[name] = F.first(x, ignorenulls=True).over(here.rowsBetween(*frames[kind]))
+            local[name] = F.last(x, ignorenulls=True).over(back.rowsBetween(*frames[kind]))
             summary.append(F.min_by(x, held).alias(f"_b_{name}"))
-            across[name] = F.first(f"_b_{name}", ignorenulls=True).over(later)
+            across[name] = F.last(f"_b_{name}", ignorenulls=True).over(later)
             final[name] = F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}"))
         elif kind == "sum":
             local[name] = F.sum(x).over(here.rowsBetween(*frames[kind]))
@@ -192,30 +193,45 @@ def runs(
     run with the first run of the next one where the state goes on.
     """
     here = Window.partitionBy(*keys, blk).orderBy(order)
-    work = df.withColumn("_state", state)
-    previous = F.lag(F.struct("_state")).over(here)
-    starts = previous.isNull() | ~previous["_state"].eqNullSafe(F.col("_state"))
-    work = work.withColumn("_head", F.when(starts, F.col(order)))
-    work = work.withColumn("_s", F.last("_head", ignorenulls=True).over(here.rowsBetween(START, 0)))
-    same = Window.partitionBy(*keys, blk, "_s")
-    work = work.withColumns({"_n": F.count(F.lit(1)).over(same), "_e": F.max(order).over(same)})
-
-    blocks = work.groupBy(*keys, blk).agg(
+    back = Window.partitionBy(*keys, blk).orderBy(F.col(order).desc())
+    near = df.withColumn("_state", state).withColumns(
+        {"_r": F.row_number().over(here), "_before": F.lag("_state").over(here), "_o": F.lag(order).over(here)}
+    )
+    starts = (F.col("_r") == 1) | ~F.col("_before").eqNullSafe(F.col("_state"))
+    near = near.withColumn("_starts", starts).drop("_before")
+
+    # What a block shows its neighbours: its first and its last run.
+    second = F.col("_starts") & (F.col("_r") > 1)
+    ends = F.min(F.when(second, F.col("_r")))
+    blocks = near.groupBy(*keys, blk).agg(
         F.min(order).alias("lo"),
         F.max(order).alias("hi"),
         F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("_state"), order).alias("first_state"),
-        F.max_by(F.struct("_state"), order).alias("last_state"),
-        F.min_by("_n", order).alias("head_n"),
-        F.min_by("_e", order).alias("head_e"),
-        F.max_by("_s", order).alias("tail_s"),
-        F.max_by("_n", order).alias("tail_n"),
+        F.min_by("_state", order).alias("first_state"),
+        F.max_by("_state", order).alias("last_state"),
+        F.coalesce(ends - 1, F.count(F.lit(1))).cast("bigint").alias("head_n"),
+        F.coalesce(F.min_by("_o", F.when(second, F.col("_r"))), F.max(order)).alias("head_e"),
+        F.max(F.when(F.col("_starts"), F.col(order))).alias("tail_s"),
+        (F.count(F.lit(1)) - F.max(F.when(F.col("_starts"), F.col("_r"))) + 1).alias("tail_n"),
     )
+
+    # Row numbers at both ends give the length; a window per run would be many
+    # tiny ones.
+    stops = F.coalesce(F.lead("_starts").over(here), F.lit(True))
+    work = near.withColumn("_stops", stops)
+    upto, onward = here.rowsBetween(START, 0), back.rowsBetween(START, 0)
+    work = work.withColumns(
+        {"_s": F.last(F.when(F.col("_starts"), F.col(order)), ignorenulls=True).over(upto),
+         "_sr": F.last(F.when(F.col("_starts"), F.col("_r")), ignorenulls=True).over(upto),
+         "_e": F.last(F.when(F.col("_stops"), F.col(order)), ignorenulls=True).over(onward),
+         "_er": F.last(F.when(F.col("_stops"), F.col("_r")), ignorenulls=True).over(onward)}
+    ).withColumn("_n", (F.col("_er") - F.col("_sr") + 1).cast("bigint"))
+
     line = Window.partitionBy(*keys).orderBy(blk)
     prior = F.lag("last_state").over(line)
-    goes_on = F.coalesce(prior["_state"].eqNullSafe(F.col("first_state")["_state"]), F.lit(False))
+    first_block = F.row_number().over(line) == 1
     blocks = blocks.withColumns(
-        {"goes_on": F.when(prior.isNull(), F.lit(False)).otherwise(goes_on),
+        {"goes_on": ~first_block & prior.eqNullSafe(F.col("first_state")),
          "single": F.col("tail_s") == F.col("lo")}
     )
     # ``opens``: block in which the run reaching this block's end has begun.

@@ -35,13 +35,17 @@ MIN_USEFUL = 3
 def last_readings(
     obs: DataFrame, step: int, *, tie: str = "event_id", rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Readings laid out by ``(series, blk)``, the last one of each timestamp."""
-    order = [F.col(tie)] if tie in obs.columns else []
-    latest = F.max_by("value", order[0]) if order else F.last("value")
+    """Readings laid out by ``(series, blk)``, the last one of each timestamp.
+
+    Duplicates fall to a look at the next row; the sort serves later windows too.
+    """
+    order = [tie] if tie in obs.columns else []
+    placed = in_blocks(obs.select("series", "ts", "value", *order), step, rows)
+    following = F.lead("ts").over(Window.partitionBy("series", "blk").orderBy("ts", *order))
     return (
-        in_blocks(obs.select("series", "ts", "value", *order), step, rows)
-        .groupBy("series", "blk", "ts")
-        .agg(latest.cast("double").alias("value"))
+        placed.withColumn("_next", following)
+        .where(F.col("_next").isNull() | (F.col("_next") > F.col("ts")))
+        .select("series", "blk", "ts", F.col("value").cast("double").alias("value"))
     )
 
 

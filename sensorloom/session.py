@@ -27,6 +27,8 @@ RUNTIME_SETTINGS = {
 STARTUP_SETTINGS = {
     "spark.sql.codegen.cache.maxEntries": "4000",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
