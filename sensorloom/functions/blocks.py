@@ -109,7 +109,7 @@ def carry(
     df: DataFrame,
     specs: Mapping[str, tuple[str, Column]],
     *,
-    order: str = "ts",
+    order: str | Sequence[str] = "ts",
     keys: Sequence[str] = SERIES,
     blk: str = "blk",
 ) -> DataFrame:
@@ -123,9 +123,10 @@ def carry(
     ``max_before``          largest value strictly before the row
     ``total``               sum over the whole series
     """
-    here = Window.partitionBy(*keys, blk).orderBy(order)
+    by = [order] if isinstance(order, str) else list(order)
+    here = Window.partitionBy(*keys, blk).orderBy(*by)
     # Backwards in place of "until the end": such frames start anew on every row.
-    back = Window.partitionBy(*keys, blk).orderBy(F.col(order).desc())
+    back = Window.partitionBy(*keys, blk).orderBy(*[F.col(c).desc() for c in by])
     frames = {
         "last": (START, 0), "before": (START, -1), "next": (START, 0), "after": (START, -1),
         "sum": (START, 0), "max_before": (START, -1),
@@ -137,7 +138,7 @@ def carry(
     work = df.withColumns({f"_x_{name}": expr for name, (_, expr) in specs.items()})
     for name, (kind, _) in specs.items():
         x = F.col(f"_x_{name}")
-        held = F.when(x.isNotNull(), F.col(order))
+        held = F.when(x.isNotNull(), F.col(by[0]) if len(by) == 1 else F.struct(*by))
         if kind in ("last", "before"):
             local[name] = F.last(x, ignorenulls=True).over(here.rowsBetween(*frames[kind]))
             summary.append(F.max_by(x, held).alias(f"_b_{name}"))

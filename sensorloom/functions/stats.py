@@ -65,10 +65,7 @@ def quantiles(
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"), F.min("blk").alias("blk"))
     )
     # Counted rows above a bracket stand right behind its top value.
-    place = F.struct(F.coalesce("_v", F.lit(float("-inf"))).alias("v"), "_rest")
-    ranked = carry(
-        counted.withColumn("_place", place), {"_upto": ("sum", F.col("_c"))}, order="_place", keys=keys
-    )
+    ranked = carry(counted, {"_upto": ("sum", F.col("_c"))}, order=("_v", "_rest"), keys=keys)
 
     def at(rank: Column) -> Column:
         held = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")) & ~F.col("_rest")

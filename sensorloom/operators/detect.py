@@ -44,7 +44,7 @@ def iqr_fence(
 
 
 def _array_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     size = F.size(ordered)
     low = F.floor((size - 1) / 2).cast("int")
     high = F.floor(size / 2).cast("int")
