@@ -115,6 +115,7 @@ def carry(
 ) -> DataFrame:
     """Add ordered columns that look across blocks.
 
+    ``order`` must tell the rows of a group apart.
     ``specs`` maps an output name to ``(kind, expression)``:
 
     ``last`` / ``before``   latest non-null value up to / strictly before the row

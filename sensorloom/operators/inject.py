@@ -140,9 +140,9 @@ def _drift(rows: DataFrame, table: DataFrame, seed: int) -> DataFrame:
     placed = table.withColumns(
         {"blk": floor_div(F.col("start"), 100_000), "_end": F.col("start") + F.col("len") - 1}
     )
-    reached = carry(placed, {"_reach": ("max_before", F.col("_end"))}, order="start")
+    reached = carry(placed, {"_reach": ("max_before", F.col("_end"))}, order=("start", "j"))
     opens = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start"))
-    clustered = carry(reached, {"cluster": ("last", opens)}, order="start")
+    clustered = carry(reached, {"cluster": ("last", opens)}, order=("start", "j"))
     groups = clustered.groupBy("series", "cluster").agg(
         F.array_sort(F.collect_list(F.struct("j", "start", "len", "up"))).alias("drifts")
     )
