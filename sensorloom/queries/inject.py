@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.blocks import attach
 from sensorloom.operators import inject
-from sensorloom.queries import views as V
 from sensorloom.queries.detect import RUN, ship_run
 from sensorloom.queries.registry import query
 from sensorloom.session import cut
