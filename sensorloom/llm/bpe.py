@@ -2,18 +2,23 @@
 
 The tree's leaves are the places of a word's symbols; a leaf holds the rank of the
 pair that starts there.  The root yields the least rank and its leftmost place;
-a merge changes three leaves, so it costs logarithmic time.
+a merge changes three leaves, so it costs logarithmic time.  The trees of many words
+take their merges side by side.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import operator
 import re
 import struct
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tokenizers
@@ -21,8 +26,10 @@ from pyspark.sql import DataFrame
 
 from sensorloom.llm import common
 
-# Words kept with their tokens by each worker; a longer word is encoded each time.
-KEPT_WORDS, KEPT_LENGTH = 1 << 18, 64
+# A worker forgets its words' tokens when the words have more bytes than this.
+KEPT_LETTERS = 1 << 22
+# Leaves of the trees that take their merges together.
+TOGETHER = 1 << 15
 
 # First and last of letters that every Unicode version classes alike; texts with others are split by the library.
 SETTLED = (
@@ -55,70 +62,83 @@ def settled_class(kind: str) -> str:
     return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in ranges)
 
 
-class PairTree:
-    """Least (rank, place) over the pairs of a row of symbols."""
-
-    def __init__(self, ranks: list[int], none: int):
-        self.size = 1
-        while self.size < len(ranks):
-            self.size *= 2
-        self.none = none
-        level = ranks + [none] * (self.size - len(ranks))
-        self.least = level
-        while len(level) > 1:
-            level = list(map(min, level[::2], level[1::2]))
-            self.least = level + self.least
-        self.least = [none, *self.least]
-
-    def put(self, place: int, rank: int) -> None:
-        least = self.least
-        node = self.size + place
-        least[node] = rank
-        node >>= 1
-        while node:
-            left, right = least[2 * node], least[2 * node + 1]
-            if right < left:
-                left = right
-            if least[node] == left:
-                return
-            least[node] = left
-            node >>= 1
-
-    def leftmost(self) -> int:
-        """Place of the leftmost pair of the least rank; -1 when no pair can be merged."""
-        least, rank = self.least, self.least[1]
-        if rank == self.none:
-            return -1
-        node = 1
-        while node < self.size:
-            node = 2 * node if least[2 * node] == rank else 2 * node + 1
-        return node - self.size
-
-
-def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """``symbols`` after all merges, each time the leftmost pair of the least rank."""
-    count, none = len(symbols), len(ranks)
-    if count < 2:
-        return symbols
-    tree = PairTree([ranks.get(pair, none) for pair in zip(symbols, symbols[1:], strict=False)], none)
-    after, before = list(range(1, count + 1)), list(range(-1, count - 1))
-    symbols = list(symbols)
-    while (at := tree.leftmost()) >= 0:
-        gone = after[at]
-        symbols[at] += symbols[gone]
-        symbols[gone] = ""
-        follow = after[gone]
-        after[at] = follow
-        if gone < count - 1:
-            tree.put(gone, none)
-        if follow < count:
-            before[follow] = at
-            tree.put(at, ranks.get((symbols[at], symbols[follow]), none))
-        else:
-            tree.put(at, none)
-        if (prior := before[at]) >= 0:
-            tree.put(prior, ranks.get((symbols[prior], symbols[at]), none))
-    return [s for s in symbols if s]
+class PairTrees:
+    """Segment trees over the pair ranks of many words of at most ``width`` symbols.
+
+    Row r of ``least`` is the tree of word r: its root at 1, its leaves from
+    ``width`` on.  All words take one merge at a time together; each costs a walk
+    down from the root and three walks up from the changed leaves.
+    """
+
+    def __init__(self, symbols: list[list[int]], width: int, pairs: Pairs):
+        count = len(symbols)
+        self.width, self.pairs = width, pairs
+        # One place more on either side stands for "no symbol".
+        self.symbols = np.full((count, width + 2), -1, dtype=np.int64)
+        lengths = np.fromiter(map(len, symbols), dtype=np.int64, count=count)
+        inside = np.arange(width) < lengths[:, None]
+        self.symbols[:, 1:-1][inside] = np.fromiter(itertools.chain.from_iterable(symbols), dtype=np.int64, count=int(lengths.sum()))
+        self.after = np.tile(np.arange(1, width + 3), (count, 1))
+        self.after[:, 1:-1][np.arange(1, width + 1) >= lengths[:, None]] = width + 1
+        self.before = np.tile(np.arange(-1, width + 1), (count, 1))
+        leaves = pairs.ranks(self.symbols[:, 1:-1], self.symbols[:, 2:])
+        levels = [leaves]
+        while levels[0].shape[1] > 1:
+            levels.insert(0, np.minimum(levels[0][:, ::2], levels[0][:, 1::2]))
+        self.least = np.concatenate([leaves[:, :1], *levels], axis=1)
+
+    def put(self, rows: np.ndarray, places: np.ndarray, ranks: np.ndarray) -> None:
+        """Point update of one leaf of each row."""
+        least, node = self.least, places - 1 + self.width
+        least[rows, node] = ranks
+        while (node := node >> 1)[0]:
+            least[rows, node] = np.minimum(least[rows, 2 * node], least[rows, 2 * node + 1])
+
+    def leftmost(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The root's rank and the leftmost place that has it."""
+        rank, node = self.least[rows, 1], np.ones(len(rows), dtype=np.int64)
+        for _ in range(self.width.bit_length() - 1):
+            node = 2 * node + (self.least[rows, 2 * node] != rank)
+        return rank, node - self.width + 1
+
+    def merge(self) -> list[np.ndarray]:
+        """Symbols of each word when no pair can be merged any more."""
+        symbols, after, before, none = self.symbols, self.after, self.before, self.pairs.none
+        rows = np.flatnonzero(self.least[:, 1] < none)
+        while len(rows):
+            rank, at = self.leftmost(rows)
+            gone = after[rows, at]
+            follow = after[rows, gone]
+            symbols[rows, at], symbols[rows, gone] = self.pairs.merged[rank], -1
+            after[rows, at], before[rows, follow] = follow, at
+            prior = before[rows, at]
+            self.put(rows, gone, np.full(len(rows), none))
+            self.put(rows, at, self.pairs.ranks(symbols[rows, at], symbols[rows, follow]))
+            left = prior > 0
+            if left.any():
+                some, prior, at = rows[left], prior[left], at[left]
+                self.put(some, prior, self.pairs.ranks(symbols[some, prior], symbols[some, at]))
+            rows = rows[self.least[rows, 1] < none]
+        return [row[row >= 0] for row in symbols]
+
+
+class Pairs:
+    """Rank and result of every pair of symbols that can be merged."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[list[str]]):
+        self.scale, self.none = len(vocabulary), len(merges)
+        left, right, self.merged = (
+            np.array([vocabulary[f(m)] for m in merges], dtype=np.int64)
+            for f in (operator.itemgetter(0), operator.itemgetter(1), "".join)
+        )
+        keys = left * self.scale + right
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * self.scale + right
+        at = np.minimum(np.searchsorted(self.keys, keys), self.none - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == keys), self.order[at], self.none)
 
 
 def lowered(text: str) -> str:
@@ -143,7 +163,7 @@ class WordBpe:
         self.settled = re.compile("[" + settled_class(r"(?s:.)") + "]*").fullmatch
         self.end = spec["end_of_word_suffix"]
         self.vocabulary = spec["vocab"]
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(spec["merges"])}
+        self.pairs = Pairs(self.vocabulary, spec["merges"])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.texts = {i: t for t, i in (self.vocabulary | self.special).items()}
@@ -151,50 +171,68 @@ class WordBpe:
         self.bytes = {letter: b for b, letter in enumerate(self.letters)}
         library = tokenizers.Tokenizer.from_file(path)
         self.normalise, self.pieces = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.kept: dict[str, tuple[int, bytes, str]] = {}
-
-    def word(self, word: str) -> list[int]:
-        symbols = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.end
-        found = (self.vocabulary.get(s) for s in merged(symbols, self.ranks))
-        return [i for i in found if i is not None]
-
-    def _packed(self, word: str) -> tuple[int, bytes, str]:
-        ids = self.word(word)
-        return len(ids), struct.pack(f"<{len(ids)}I", *ids), " ".join(self.texts[i] for i in ids)
-
-    def packed(self, word: str) -> tuple[int, bytes, str]:
-        """Number of ids, ids as bytes and decoded text of a word."""
-        found = self.kept.get(word)
-        if found is None:
-            found = self._packed(word)
-            if len(word) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[word] = found
-        return found
-
-    def split(self, text: str) -> list[str]:
+        self.inner = [self.vocabulary[letter] for letter in self.letters]
+        self.last = [self.vocabulary[letter + self.end] for letter in self.letters]
+        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Special tokens are kept like words; the pattern never yields one."""
+        self.kept = {content: (struct.pack("<I", i), content) for content, i in self.special.items()}
+        self.held = 0
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode words that are not kept; of each width all together, as many as fill ``TOGETHER`` leaves."""
+        by_width: dict[int, list[str]] = {}
+        for word in words:
+            by_width.setdefault(1 << (len(word.encode("utf-8", "surrogatepass")) - 1).bit_length(), []).append(word)
+        for width, members in by_width.items():
+            step = max(1, TOGETHER // width)
+            for start in range(0, len(members), step):
+                self._learn(members[start : start + step], width)
+
+    def _learn(self, words: list[str], width: int) -> None:
+        rows = []
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            rows.append([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
+            self.held += len(raw)
+        texts = self.texts
+        for word, ids in zip(words, PairTrees(rows, width, self.pairs).merge(), strict=True):
+            self.kept[word] = (ids.astype("<u4").tobytes(), " ".join([texts[i] for i in ids.tolist()]))
+
+    def plain_words(self, text: str) -> list[str]:
         """The words of a text without special tokens, normalised."""
         if text.isascii():
             return self.words(text.lower())
-        if self.settled(text):
-            return self.words(lowered(unicodedata.normalize("NFC", text)))
+        if self.settled(text) and self.settled(lower := lowered(unicodedata.normalize("NFC", text))):
+            return self.words(lower)
         found = self.pieces(self.normalise(text))
         return [bytes(map(self.bytes.__getitem__, piece)).decode("utf-8") for piece, _ in found]
 
-    def parts(self, text: str) -> list[tuple[int, bytes, str]]:
+    def split(self, text: str) -> list[str]:
+        """Words and special tokens of a text."""
+        if "<|" not in text:
+            return self.plain_words(text)
         out = []
-        for piece in self.cut(text) if "<|" in text else [text]:
-            if piece in self.special:
-                out.append((1, struct.pack("<I", self.special[piece]), piece))
-            elif piece:
-                kept = self.kept.get
-                out += [kept(w) or self.packed(w) for w in self.split(piece)]
+        for piece in self.cut(text):
+            out += [piece] if piece in self.special else self.plain_words(piece)
         return out
 
+    def parts(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
+        """For every text the ids, as bytes, and the decoded text of each of its words."""
+        split = [self.split(text) for text in texts]
+        new = set().union(*split) - self.kept.keys()
+        if new and self.held > KEPT_LETTERS:
+            self.forget()
+            new = set().union(*split) - self.kept.keys()
+        self.learn(new)
+        kept = self.kept
+        for words in split:
+            yield [kept[word] for word in words]
+
     def encode(self, text: str) -> list[int]:
-        joined = b"".join(p[1] for p in self.parts(text))
+        joined = b"".join([p[0] for p in next(self.parts([text]))])
         return list(struct.unpack(f"<{len(joined) // 4}I", joined))
 
     def decode(self, ids: list[int]) -> str:
@@ -244,11 +282,11 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = tokenizer(path)
         for batch in batches:
             counts, ids, texts = [], [], []
-            for text in batch.column("text").to_pylist():
-                parts = bpe.parts(text)
-                counts.append(sum(p[0] for p in parts))
-                ids.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
-                texts.append(hashlib.sha256(" ".join([p[2] for p in parts if p[0]]).encode("utf-8", "surrogatepass")).hexdigest())
+            for parts in bpe.parts(batch.column("text").to_pylist()):
+                joined = b"".join([p[0] for p in parts])
+                counts.append(len(joined) // 4)
+                ids.append(hashlib.sha256(joined).hexdigest())
+                texts.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
