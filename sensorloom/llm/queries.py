@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm import bpe, exact, simhash, urls
+from sensorloom.llm import bpe, exact, pii, quality, simhash, toxicity, urls
 from sensorloom.llm.common import read
 
 
@@ -15,6 +15,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(read(spark, sf_dir, "documents"))
 
@@ -27,7 +35,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = [op1_simhash, op4_exact, op5_urls, op6_bpe]
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = [op1_simhash, op2_toxicity, op3_pii, op4_exact, op5_urls, op6_bpe, op7_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
