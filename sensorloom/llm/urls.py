@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,10 +198,11 @@ def judged(pages: DataFrame, *, rules=RULES) -> DataFrame:
     ratio = Ratio(model(counts).toPandas())
 
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(ratio=ratio.score(pdf["url"])).drop(columns="url")
+        for batch in batches:
+            ratios = ratio.score(batch.column("url").to_pandas())
+            yield batch.drop_columns("url").append_column("ratio", pa.array(ratios, pa.float64()))
 
-    scored = rows.mapInPandas(
+    scored = rows.mapInArrow(
         run, "page_id bigint, host string, path string, rule string, verdict string, ratio double"
     )
     place = F.floor((F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("ratio"))) / SPAN + 1) / 2 * BINS).cast("int")
