@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, exact, pii, quality, simhash, toxicity, urls
+from sensorloom.llm import ann, bpe, exact, lines, packing, pii, quality, simhash, toxicity, urls
 from sensorloom.llm.common import read
 
 
+def byte_bpe_files() -> tuple[str, str, str]:
+    """Tokenizers file, the same vocabulary as ranks, and its word pattern."""
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -39,7 +45,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = [op1_simhash, op2_toxicity, op3_pii, op4_exact, op5_urls, op6_bpe, op7_quality]
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), byte_bpe_files())
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = [
+    op1_simhash, op2_toxicity, op3_pii, op4_exact, op5_urls, op6_bpe, op7_quality, op8_lines, op9_packing, op10_ann,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
