@@ -222,12 +222,10 @@ class WordBpe:
     def parts(self, texts: list[str]) -> Iterator[list[tuple[bytes, str]]]:
         """For every text the ids, as bytes, and the decoded text of each of its words."""
         split = [self.split(text) for text in texts]
-        new = set().union(*split) - self.kept.keys()
-        if new and self.held > KEPT_LETTERS:
+        if self.held > KEPT_LETTERS:
             self.forget()
-            new = set().union(*split) - self.kept.keys()
-        self.learn(new)
         kept = self.kept
+        self.learn(word for word in set().union(*split) if word not in kept)
         for words in split:
             yield [kept[word] for word in words]
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.session import cut
+from sensorloom.session import cut, ensure_checkpoint_dir
 
 # Rows of long texts travel to Python in batches small enough for a worker.
 BATCH_ROWS = 256
@@ -15,7 +16,7 @@ BATCH_ROWS = 256
 # ASCII white space of the contracts (space, tab to carriage return).
 SPACES = r"[\x20\x09-\x0D]+"
 
-__all__ = ["BATCH_ROWS", "SPACES", "ascii_lower", "components", "cut", "prepare", "read", "texts"]
+__all__ = ["BATCH_ROWS", "SPACES", "ascii_lower", "components", "cut", "prepare", "read", "saved", "texts"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -67,6 +68,19 @@ def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again.
+
+    For wide or long tables of which later steps read some columns; the files stay
+    until the folder is cleared.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def any_of(parts: Iterable[Column]) -> Column:
     out = F.lit(False)
     for part in parts:

@@ -2,17 +2,17 @@
 
 Lines are normalised (lower case, digits as zero, runs of other than letters and
 digits as one space).  Two normalised lines are linked when their SimHash over
-words differs in at most ``bits`` bits and their edit similarity reaches
+their different words differs in at most ``bits`` bits and their edit similarity reaches
 ``similarity``; equal ones are one line.  Connected lines are a group, of which the
 occurrence in the document with the smallest id, there the first, stays.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,36 +23,68 @@ from sensorloom.session import cut
 
 # Words a line must have to be compared, bits that may differ, least edit similarity.
 WORDS, BITS, SIMILARITY = 5, 3, 0.8
-# Marks of lines whose text is needed: 512 pages of 2 ** 15 bits, 2 MB whatever the input.
-MARK_BITS, PAGE_BITS = 24, 15
 KEPT_WORDS = 1 << 18
 
 FIND = re.compile(r"[^\W_]+").findall
 DIGITS = str.maketrans("0123456789", "0000000000")
+# The same for bytes, all at once, where only ASCII letters part words.
+PLAIN = bytes(
+    b if b >= 128 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256)
+)
+OTHER = re.compile(r"[^\x00-\x7f\w]").search
 
 
-def normalised(line: str) -> list[str]:
+def normalised(line: str) -> list[bytes]:
     """Words of the normalised line."""
-    return FIND(line.lower().translate(DIGITS))
+    return [word.encode("utf-8", "surrogatepass") for word in FIND(line.lower().translate(DIGITS))]
 
 
-def key(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+def split_lines(text: str) -> list[list[bytes]]:
+    """Words of each line of a text."""
+    lower = text.lower()
+    if lower.isascii() or not OTHER(lower):
+        return [line.split() for line in lower.encode("utf-8", "surrogatepass").translate(PLAIN).split(b"\n")]
+    return [normalised(line) for line in text.split("\n")]
+
+
+def key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
 class Hashes:
-    """64-bit hashes of words, remembered."""
+    """Sums of the bits of words' 64-bit hashes, a byte for each bit.
 
-    def __init__(self):
-        self.kept: dict[str, int] = {}
+    Eight numbers hold the 64 bytes of a word, so eight additions count all bits;
+    up to 255 words are added before the bytes are widened.
+    """
 
-    def prints(self, lines: list[list[str]]) -> np.ndarray:
-        """SimHash of each line, which has a word at least, as signed numbers: a bit is set if over half of the words have it."""
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.kept: dict[bytes, int] = {}
+        self.lanes = np.zeros((1 << 12, 8), dtype="<u8")
+
+    def learn(self, words: list[bytes]) -> None:
+        start = len(self.kept)
+        self.kept.update(zip(words, range(start, start + len(words)), strict=True))
+        while len(self.lanes) < len(self.kept):
+            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
+        hashes = np.array([xxhash.xxh64_intdigest(word, 42) for word in words], dtype="<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        self.lanes[start : len(self.kept)] = bits.view("<u8")
+
+    def prints(self, lines: list[list[bytes]]) -> np.ndarray:
+        """SimHash of each line, which has a word at least, as signed numbers.
+
+        A bit is set if over half of the line's different words have it; repeats
+        do not count, else a few frequent words would make unlike lines alike.
+        """
+        if len(self.kept) > KEPT_WORDS:
+            self.forget()
+        lines = [set(line) for line in lines]
         kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        for word in set().union(*lines) - kept.keys():
-            kept[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        self.learn([word for word in set().union(*lines) if word not in kept])
         out, start = np.zeros(len(lines), dtype=np.int64), 0
         while start < len(lines):
             # As many lines as have some 65536 words together.
@@ -60,20 +92,36 @@ class Hashes:
             while stop < len(lines) and (total == 0 or total + len(lines[stop]) <= 1 << 16):
                 total += len(lines[stop])
                 stop += 1
-            part = lines[start:stop]
-            lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
-            hashes = np.fromiter((kept[w] for line in part for w in line), dtype="<u8", count=total)
-            ones = np.empty((len(part), 64), dtype=np.int64)
-            edges = np.cumsum(lengths) - lengths
-            if len(part) == 1:
-                ones[0] = sum(np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, total, 1 << 16))
-            else:
-                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
-            out[start:stop] = np.packbits(2 * ones > lengths[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+            out[start:stop] = self._prints(lines[start:stop])
             start = stop
         return out
 
+    def _prints(self, lines: list[set[bytes]]) -> np.ndarray:
+        get = self.kept.__getitem__
+        lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+        places = np.array(list(map(get, itertools.chain.from_iterable(lines))), dtype=np.int64)
+        # Steps of at most 255 words that end with their line.
+        steps = -(-lengths // 255)
+        owner = np.repeat(np.arange(len(lines)), steps)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(steps) - steps, steps)
+        starts = (np.cumsum(lengths) - lengths)[owner] + 255 * within
+        sums = np.concatenate([
+            np.add.reduceat(self.lanes[places[lo:hi]], starts[i:j] - lo, axis=0)
+            for i, j, lo, hi in _slices(starts, len(places))
+        ]).view(np.uint8).reshape(-1, 64)
+        if len(owner) > len(lines):
+            sums = np.add.reduceat(sums, np.cumsum(steps) - steps, axis=0, dtype=np.int64)
+        return np.packbits(2 * sums.astype(np.int64) > lengths[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def _slices(starts: np.ndarray, total: int):
+    """Runs of steps with at most some 65536 words, as (first step, end, first word, end)."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 16))))
+        yield i, j, int(starts[i]), int(starts[j]) if j < len(starts) else total
+        i = j
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the common beginning."""
@@ -136,73 +184,67 @@ def occurrences(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches):
         hashes = Hashes()
         for batch in batches:
-            ids, owners, places, found = batch.column("doc_id").to_pylist(), [], [], []
+            owners, places, found = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for pos, line in enumerate(text.split("\n")):
-                    parts = normalised(line)
-                    if len(parts) >= words:
+                for pos, line in enumerate(split_lines(text)):
+                    if len(line) >= words:
                         owners.append(i)
                         places.append(pos)
-                        found.append(parts)
-            th = batch.column("th").to_pylist()
+                        found.append(line)
+            taken = pa.array(owners, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[i] for i in owners], pa.int64()), pa.array([th[i] for i in owners], pa.int64()),
-                    pa.array(places, pa.int32()), pa.array(map(key, found), pa.binary()), pa.array(hashes.prints(found), pa.int64()),
+                    batch.column("doc_id").take(taken), batch.column("th").take(taken), pa.array(places, pa.int32()),
+                    pa.array(list(map(key, found)), pa.binary()), pa.array(hashes.prints(found), pa.int64()),
                 ],
                 ["doc_id", "th", "pos", "key", "fp"],
             )
 
-    rows = common.texts(docs).withColumn("th", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, pos int, key binary, fp bigint")
+    return hashed(docs).mapInArrow(run, "doc_id bigint, th bigint, pos int, key binary, fp bigint")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return common.texts(docs).withColumn("th", F.xxhash64("text"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``key, line``: normalised text of the ``wanted (key)`` lines.
+    """``key, line``: normalised text of the ``wanted (key, th)`` lines.
 
-    A second pass over the documents yields the lines whose mark is set; the join
-    leaves out those that only share a mark.
+    A second pass reads the documents whose hash ``th`` is marked and yields the
+    lines whose key is; the join leaves out lines that only share a mark.
     """
-    place = F.conv(F.substring(F.hex("key"), 1, 16), 16, 10).cast("decimal(20,0)") % (1 << MARK_BITS)
-    marks = wanted.select(place.cast("bigint").alias("at")).groupBy(F.shiftright("at", PAGE_BITS).alias("page")).agg(
-        F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit((1 << PAGE_BITS) - 1))).alias("bits")
+    at = F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("bigint")
+    marks = wanted.groupBy(F.shiftright(at, pigeonhole.PAGE_BITS).alias("page")).agg(
+        F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << pigeonhole.PAGE_BITS) - 1))).alias("bits")
     )
+    size = 1 << (pigeonhole.PAGE_BITS - 3)
     # At most 512 pages of 4096 bytes.
-    table = np.zeros(1 << (MARK_BITS - 3), dtype=np.uint8)
-    size = 1 << (PAGE_BITS - 3)
+    table = bytearray(size << (pigeonhole.MARK_BITS - pigeonhole.PAGE_BITS))
     for row in marks.collect():
-        table[row.page * size : (row.page + 1) * size] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+        table[row.page * size : (row.page + 1) * size] = row.bits
+    table = bytes(table)
 
     def run(batches):
         for batch in batches:
-            keys, lines, seen = [], [], set()
+            found = {}
             for text in batch.column("text").to_pylist():
-                for line in text.split("\n"):
-                    parts = normalised(line)
-                    if len(parts) >= words:
-                        k = key(parts)
-                        at = int.from_bytes(k[:8], "big") % (1 << MARK_BITS)
-                        if table[at >> 3] >> (at & 7) & 1 and k not in seen:
-                            seen.add(k)
-                            keys.append(k)
-                            lines.append(" ".join(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string())], ["key", "line"])
-
-    found = common.texts(docs).mapInArrow(run, "key binary, line string")
-    return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-
-
-def links(docs: DataFrame, lines: DataFrame, *, words: int = WORDS, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """``a, b``: keys of the linked ones of the distinct ``lines (key, fp)``."""
-    prints = cut(lines.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-    near = pigeonhole.close_pairs(prints.select("fp"), bits)
-    near = near.unionByName(prints.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    near = near.withColumnsRenamed({"a": "fa", "b": "fb"})
-    one = lines.select(F.col("fp").alias("fa"), F.col("key").alias("a"))
-    two = lines.select(F.col("fp").alias("fb"), F.col("key").alias("b"))
-    pairs = cut(near.join(one, "fa").join(two, "fb").where("fa <> fb or a < b").select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = cut(_texts_of(docs, wanted, words))
+                for line in split_lines(text):
+                    if len(line) >= words:
+                        k = key(line)
+                        place = int.from_bytes(k[:3], "big")
+                        if table[place >> 3] >> (place & 7) & 1:
+                            found[k] = b" ".join(line).decode("utf-8", "surrogatepass")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["key", "line"]
+            )
+
+    rows = pigeonhole.marked(hashed(docs), "th", wanted.select("th"))
+    found = rows.select("text").mapInArrow(run, "key binary, line string")
+    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs (a, b)`` that are alike."""
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b"
     )
@@ -211,20 +253,35 @@ def links(docs: DataFrame, lines: DataFrame, *, words: int = WORDS, bits: int =
         for pdf in batches:
             yield pdf[[alike(x, y, similarity) for x, y in zip(pdf["x"], pdf["y"], strict=True)]][["a", "b"]]
 
-    return both.mapInPandas(verify, "a binary, b binary")
+    return cut(both.mapInPandas(verify, "a binary, b binary"))
+
+
+def groups(docs: DataFrame, lines: DataFrame, *, words: int = WORDS, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """``key, root`` of the distinct ``lines (key, fp, n, th)`` that are linked to others."""
+    same = lines.groupBy("fp").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    near = pigeonhole.light_pairs(lines.select("fp"), bits).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    near = cut(near.unionByName(same.select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))))
+    concerned = near.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct()
+    known = cut(lines.join(concerned, "fp").select("fp", "key", "th"))
+    texts = cut(_texts_of(docs, known.select("key", "th"), words))
+    one = known.select(F.col("fp").alias("fa"), F.col("key").alias("a"))
+    two = known.select(F.col("fp").alias("fb"), F.col("key").alias("b"))
+    pairs = near.join(one, "fa").join(two, "fb").where("fa <> fb or a < b").select("a", "b")
+    edges = _verified(pairs, texts, similarity)
+    return common.components(edges).select(F.col("node").alias("key"), "root")
 
 
 def repeats(docs: DataFrame, *, words: int = WORDS, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, th, gone``: for each document with lines to remove their places, counted from 0."""
-    seen = cut(occurrences(docs, words))
-    lines = cut(seen.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first")))
-    roots = common.components(links(docs, lines.select("key", "fp"), words=words, bits=bits, similarity=similarity))
-    grouped = lines.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    whole = grouped.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("keep")).where("total > 1")
-    several = grouped.join(whole, "root").select("key", "keep")
-    here = F.struct("doc_id", "th", "pos")
-    gone = seen.join(several, "key").where(~here.eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    seen = common.saved(occurrences(docs, words))
+    lines = common.saved(seen.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")))
+    roots = groups(docs, lines, words=words, bits=bits, similarity=similarity)
+    several = lines.select("key", "n").join(roots, "key", "left").where("n > 1 or root is not null")
+    rows = seen.join(several.select("key", F.coalesce("root", "key").alias("root")), "key")
+    rows = rows.select("root", F.struct("doc_id", "th", "pos").alias("here"))
+    kept = rows.groupBy("root").agg(F.min("here").alias("keep"))
+    gone = rows.join(kept, "root").where(~F.col("here").eqNullSafe(F.col("keep")))
+    return gone.groupBy("here.doc_id", "here.th").agg(F.collect_set("here.pos").alias("gone"))
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -69,3 +69,41 @@ def close_pairs(prints: DataFrame, k: int, *, blocks: int = 5, bound: int = BOUN
             return found.distinct()
         # A fingerprint hot under several masks stays one row for each of them.
         rows = hot.select("fp", "mask")
+
+
+def light_pairs(prints: DataFrame, k: int, *, blocks: int = 5, bound: int = BOUND) -> DataFrame:
+    """The pairs of :func:`close_pairs` of ``prints (fp)``, which may repeat, where few buckets have several members.
+
+    Only a count per bucket is shuffled for all rows; members follow for the
+    buckets marked as shared.  Members of buckets over ``bound`` are cut further.
+    """
+    masks = [signed(x) for x in submasks(list(range(64)), blocks, k)]
+    # Buckets are named by a hash; two of one name only have more members.
+    names = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    keyed = prints.select("fp", F.explode(names).alias("bucket"))
+    several = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    shared = marked(keyed, "bucket", several).join(several, "bucket", "left_semi").select("bucket", "fp").distinct()
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(shared.join(sizes, "bucket"))
+    one = shared.where(F.col("n") <= bound)
+    two = one.select("bucket", F.col("fp").alias("other"))
+    pairs = one.join(two, "bucket").where((F.col("fp") < F.col("other")) & (distance(F.col("fp"), F.col("other")) <= k))
+    pairs = pairs.select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    hot = shared.where(F.col("n") > bound).select("fp").distinct()
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(close_pairs(hot, k, blocks=blocks, bound=bound))
+    return pairs.distinct()
+
+
+# Marks of hashes: 512 pages of 2 ** 15 bits, 2 MB whatever the input.
+MARK_BITS, PAGE_BITS = 24, 15
+
+
+def marked(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose hash in ``column`` may be among those of ``wanted``: none of these is missing."""
+    at = F.shiftrightunsigned(F.col(column), 64 - MARK_BITS)
+    page, bit = F.shiftright(at, PAGE_BITS), at.bitwiseAND(F.lit((1 << PAGE_BITS) - 1))
+    pages = wanted.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+    byte = F.conv(F.hex(F.substring(F.col("_marks"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.withColumn("_page", page).join(F.broadcast(pages), "_page").where(hit).select(*rows.columns)
