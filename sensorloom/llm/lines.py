@@ -24,6 +24,8 @@ from sensorloom.session import cut
 # Words a line must have to be compared, bits that may differ, least edit similarity.
 WORDS, BITS, SIMILARITY = 5, 3, 0.8
 KEPT_WORDS = 1 << 18
+# Parts of a fingerprint; any number above BITS finds the same pairs.
+BLOCKS = 6
 
 FIND = re.compile(r"[^\W_]+").findall
 DIGITS = str.maketrans("0123456789", "0000000000")
@@ -257,18 +259,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def groups(docs: DataFrame, lines: DataFrame, *, words: int = WORDS, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """``key, root`` of the distinct ``lines (key, fp, n, th)`` that are linked to others."""
-    same = lines.groupBy("fp").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    near = pigeonhole.light_pairs(lines.select("fp"), bits).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
-    near = cut(near.unionByName(same.select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))))
-    concerned = near.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct()
+    """``key, root`` of the distinct ``lines (key, fp, n, th)`` that are linked to others.
+
+    First every line is compared with the least of its fingerprint, and that with
+    the least of each of its buckets, which connects families of like lines without
+    their pairs.  Then all pairs in a bucket are compared that are not connected
+    yet, so no two linked lines end in different groups.
+    """
+    shared = pigeonhole.shared_buckets(lines.select("fp"), bits, blocks=BLOCKS)
+    near = shared.where((F.col("fp") != F.col("least")) & (pigeonhole.distance(F.col("fp"), F.col("least")) <= bits))
+    stars = cut(near.select("fp", "least").distinct())
+    same = lines.groupBy("fp").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("fp")
+    concerned = stars.select(F.explode(F.array("fp", "least")).alias("fp")).unionByName(same).distinct()
     known = cut(lines.join(concerned, "fp").select("fp", "key", "th"))
     texts = cut(_texts_of(docs, known.select("key", "th"), words))
-    one = known.select(F.col("fp").alias("fa"), F.col("key").alias("a"))
-    two = known.select(F.col("fp").alias("fb"), F.col("key").alias("b"))
-    pairs = near.join(one, "fa").join(two, "fb").where("fa <> fb or a < b").select("a", "b")
-    edges = _verified(pairs, texts, similarity)
-    return common.components(edges).select(F.col("node").alias("key"), "root")
+    least = known.groupBy("fp").agg(F.min("key").alias("rep"))
+    first = stars.join(least, "fp").withColumnRenamed("rep", "a").join(
+        least.select(F.col("fp").alias("least"), F.col("rep").alias("b")), "least"
+    ).select("a", "b")
+    own = known.join(least, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    edges = _verified(own.unionByName(first), texts, similarity)
+    roots = common.components(edges).select(F.col("node").alias("key"), "root")
+    # A fingerprint whose lines are all of one group is settled with others of that group.
+    placed = known.join(roots, "key", "left").select("fp", "key", "th", F.coalesce("root", "key").alias("root"))
+    of_print = cut(placed.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+    settled = of_print.where("low = high").select("fp", F.col("low").alias("settled"))
+    open_ = pigeonhole.open_pairs(shared.join(settled, "fp", "left"), bits, "settled")
+    split = of_print.where("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    pairs = cut(open_.unionByName(split).select(F.col("a").alias("fa"), F.col("b").alias("fb")))
+    if pairs.isEmpty():
+        return roots
+    concerned = pairs.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct()
+    known = cut(lines.join(concerned, "fp").join(roots, "key", "left").select("fp", "key", "th", F.coalesce("root", "key").alias("root")))
+    one = known.select(F.col("fp").alias("fa"), F.col("key").alias("a"), F.col("root").alias("ra"))
+    two = known.select(F.col("fp").alias("fb"), F.col("key").alias("b"), F.col("root").alias("rb"))
+    more = pairs.join(one, "fa").join(two, "fb").where("ra <> rb and (fa <> fb or a < b)").select("a", "b")
+    further = _verified(more, cut(_texts_of(docs, known.select("key", "th"), words)), similarity)
+    return common.components(edges.unionByName(further)).select(F.col("node").alias("key"), "root")
 
 
 def repeats(docs: DataFrame, *, words: int = WORDS, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:

@@ -36,22 +36,26 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def close_pairs(prints: DataFrame, k: int, *, blocks: int = 5, bound: int = BOUND) -> DataFrame:
-    """``a, b`` with a < b of distinct ``prints (fp bigint)`` at most k bits apart."""
+def close_pairs(prints: DataFrame, k: int, *, blocks: int = 5, bound: int = BOUND, settled: str | None = None) -> DataFrame:
+    """``a, b`` with a < b of distinct ``prints (fp bigint)`` at most k bits apart.
+
+    Pairs with the same value other than null in the column ``settled`` are not wanted.
+    """
     spark = prints.sparkSession
-    rows = prints.select("fp", F.lit(0).cast("bigint").alias("mask"))
+    extra = [settled] if settled else []
+    rows = prints.select("fp", *extra, F.lit(0).cast("bigint").alias("mask"))
     masks, found = {0: list(range(64))}, None
     while True:
         cuts = {m: submasks(free, blocks, k) for m, free in masks.items()}
         if len(cuts) == 1:
             finer = F.array(*[F.lit(signed(x)) for x in next(iter(cuts.values()))])
-            keyed = rows.select("fp", F.explode(finer).alias("sub"), F.lit(0).cast("bigint").alias("mask"))
+            keyed = rows.select("fp", *extra, F.explode(finer).alias("sub"), F.lit(0).cast("bigint").alias("mask"))
         else:
             # One row per mask of the level, whatever the number of fingerprints.
             table = [(signed(m), signed(x)) for m, subs in cuts.items() for x in subs]
             keyed = rows.join(F.broadcast(spark.createDataFrame(table, "mask bigint, sub bigint")), "mask")
         keyed = keyed.select(
-            "fp", F.col("mask").bitwiseOR(F.col("sub")).alias("mask"),
+            "fp", *extra, F.col("mask").bitwiseOR(F.col("sub")).alias("mask"),
             F.col("fp").bitwiseAND(F.col("mask").bitwiseOR(F.col("sub"))).alias("part"),
         )
         sizes = keyed.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -59,39 +63,46 @@ def close_pairs(prints: DataFrame, k: int, *, blocks: int = 5, bound: int = BOUN
         masks = {m | x: [b for b in masks[m] if not x >> b & 1] for m, subs in cuts.items() for x in subs}
         last = max(map(len, masks.values())) <= LAST
         near = shared if last else shared.where(F.col("n") <= bound)
-        other = near.select("mask", "part", F.col("fp").alias("other"))
-        pairs = near.join(other, ["mask", "part"]).where(
-            (F.col("fp") < F.col("other")) & (distance(F.col("fp"), F.col("other")) <= k)
-        ).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+        pairs = _joined(near, ["mask", "part"], k, settled)
         found = pairs if found is None else found.unionByName(pairs)
         hot = shared.where(F.col("n") > bound)
         if last or hot.isEmpty():
             return found.distinct()
         # A fingerprint hot under several masks stays one row for each of them.
-        rows = hot.select("fp", "mask")
+        rows = hot.select("fp", *extra, "mask")
+
 
+def _joined(members: DataFrame, bucket: list[str], k: int, settled: str | None) -> DataFrame:
+    """Close pairs within the buckets."""
+    other = members.select(*bucket, F.col("fp").alias("other"), (F.col(settled) if settled else F.lit(None)).alias("_settled"))
+    wanted = (F.col("fp") < F.col("other")) & (distance(F.col("fp"), F.col("other")) <= k)
+    if settled:
+        wanted = wanted & ~F.coalesce(F.col(settled) == F.col("_settled"), F.lit(False))
+    return members.join(other, bucket).where(wanted).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
-def light_pairs(prints: DataFrame, k: int, *, blocks: int = 5, bound: int = BOUND) -> DataFrame:
-    """The pairs of :func:`close_pairs` of ``prints (fp)``, which may repeat, where few buckets have several members.
 
-    Only a count per bucket is shuffled for all rows; members follow for the
-    buckets marked as shared.  Members of buckets over ``bound`` are cut further.
+def shared_buckets(prints: DataFrame, k: int, *, blocks: int) -> DataFrame:
+    """``bucket, fp, n, least``: members of buckets with several, their number and the least of them.
+
+    ``prints (fp)`` may repeat.  Only a count per bucket is shuffled for all rows;
+    members follow for the buckets marked as shared.
     """
     masks = [signed(x) for x in submasks(list(range(64)), blocks, k)]
     # Buckets are named by a hash; two of one name only have more members.
     names = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(names).alias("bucket"))
     several = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    shared = marked(keyed, "bucket", several).join(several, "bucket", "left_semi").select("bucket", "fp").distinct()
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(shared.join(sizes, "bucket"))
-    one = shared.where(F.col("n") <= bound)
-    two = one.select("bucket", F.col("fp").alias("other"))
-    pairs = one.join(two, "bucket").where((F.col("fp") < F.col("other")) & (distance(F.col("fp"), F.col("other")) <= k))
-    pairs = pairs.select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    hot = shared.where(F.col("n") > bound).select("fp").distinct()
+    shared = cut(marked(keyed, "bucket", several).join(several, "bucket", "left_semi").select("bucket", "fp").distinct())
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).where("n > 1")
+    return cut(shared.join(sizes, "bucket"))
+
+
+def open_pairs(shared: DataFrame, k: int, settled: str, *, bound: int = BOUND) -> DataFrame:
+    """Close pairs of :func:`shared_buckets` whose values in the column ``settled`` are not the same."""
+    pairs = _joined(shared.where(F.col("n") <= bound), ["bucket"], k, settled)
+    hot = shared.where(F.col("n") > bound).select("fp", settled).distinct()
     if not hot.isEmpty():
-        pairs = pairs.unionByName(close_pairs(hot, k, blocks=blocks, bound=bound))
+        pairs = pairs.unionByName(close_pairs(hot, k, bound=bound, settled=settled))
     return pairs.distinct()
 
 
