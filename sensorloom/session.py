@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -40,7 +38,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; make one only where none is named."""
+    """Use the cluster's checkpoint folder; on a local master without one, a folder of the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
@@ -48,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="sensorloom-checkpoint-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(named)
 
 

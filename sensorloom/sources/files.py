@@ -76,10 +76,13 @@ def read_tolerant(spark: SparkSession, globs: Sequence[str]) -> tuple[DataFrame,
     """Good rows ``path, ts, value`` of all readable files, and one row per file
     that was left out with the reason.
 
-    A file is left out when its kind is not supported or none of its rows has a
-    timestamp.
+    A file is left out when its kind is not supported or it yields no row with a
+    timestamp: an empty one, one with a header alone, broken JSON.  JSON may
+    span lines.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(globs)).select("path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(globs)).select(
+        F.col("_metadata.file_path").alias("path")
+    )
     kind = F.regexp_extract("path", r"\.([A-Za-z0-9]+)(/[^/]*)?$", 1)
     named = listed.withColumn("kind", F.lower(F.coalesce(
         F.nullif(F.regexp_extract("path", r"/[^/]*\.([A-Za-z0-9]+)/[^/]*$", 1), F.lit("")), kind
@@ -92,13 +95,14 @@ def read_tolerant(spark: SparkSession, globs: Sequence[str]) -> tuple[DataFrame,
     for extension in SUPPORTED:
         wanted = [g for g in globs if g.endswith(f".{extension}")]
         if wanted:
-            read = read_csv if extension == "csv" else (lambda s, g: read_payloads(s, g, multi_line=False))
+            read = read_csv if extension == "csv" else read_payloads
             parts += [read(spark, g) for g in wanted]
     rows = reduce(DataFrame.unionByName, parts)
     usable = rows.where(F.col("ts").isNotNull())
     good_files = usable.select("path").distinct()
+    # From the listing, as a file without rows is in no reader's output.
     unreadable = (
-        rows.select("path").distinct()
+        named.where(F.col("kind").isin(*SUPPORTED))
         .join(good_files, "path", "left_anti")
         .select("path", F.lit("no row with a timestamp").alias("reason"))
     )
