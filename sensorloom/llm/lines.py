@@ -9,7 +9,6 @@ occurrence in the document with the smallest id, there the first, stays.
 
 from __future__ import annotations
 
-import itertools
 import re
 
 import numpy as np
@@ -24,6 +23,9 @@ from sensorloom.session import cut
 # Words a line must have to be compared, bits that may differ, least edit similarity.
 WORDS, BITS, SIMILARITY = 5, 3, 0.8
 KEPT_WORDS = 1 << 18
+RUN_BYTES = 1 << 21
+# Odd base of the words' numbers, and the lowest bit of each byte.
+BASE, EACH_BYTE = 0x9E3779B97F4A7C15, np.uint64(0x0101010101010101)
 # Parts of a fingerprint; any number above BITS finds the same pairs.
 BLOCKS = 6
 
@@ -41,88 +43,145 @@ def normalised(line: str) -> list[bytes]:
     return [word.encode("utf-8", "surrogatepass") for word in FIND(line.lower().translate(DIGITS))]
 
 
-def split_lines(text: str) -> list[list[bytes]]:
-    """Words of each line of a text."""
+def normal_bytes(text: str) -> bytes:
+    """The text's words apart by spaces, lines apart by newlines; there may be more spaces."""
     lower = text.lower()
     if lower.isascii() or not OTHER(lower):
-        return [line.split() for line in lower.encode("utf-8", "surrogatepass").translate(PLAIN).split(b"\n")]
-    return [normalised(line) for line in text.split("\n")]
+        return lower.encode("utf-8", "surrogatepass").translate(PLAIN)
+    return b"\n".join(b" ".join(normalised(line)) for line in text.split("\n"))
+
 
+def split_lines(text: str) -> list[list[bytes]]:
+    """Words of each line of a text."""
+    return [line.split() for line in normal_bytes(text).split(b"\n")]
 
-def key(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
 
+def key(line: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(line)
 
-class Hashes:
-    """Sums of the bits of words' 64-bit hashes, a byte for each bit.
 
-    Eight numbers hold the 64 bytes of a word, so eight additions count all bits;
-    up to 255 words are added before the bytes are widened.
+class Lines:
+    """Lines with a number of words at least, of one buffer of normalised texts.
+
+    ``at`` are their places among the buffer's lines, ``lines`` their bytes with one
+    space between words.  Words are spans ``begin, end`` of ``chars``; line i has
+    ``counts[i]`` words from number ``first[i]`` on.
     """
 
+    def __init__(self, buffer: bytes, words: int):
+        raw = np.frombuffer(b"\n" + buffer + b"\n", dtype=np.uint8)
+        letter = raw > 32
+        # A space stays only before a word.
+        stay = letter | (raw == 10)
+        stay[:-1] |= letter[1:]
+        self.chars = chars = raw[stay]
+        letter = letter[stay]
+        self.begin = np.flatnonzero(letter[1:] > letter[:-1]) + 1
+        self.end = np.flatnonzero(letter[1:] < letter[:-1]) + 1
+        breaks = np.flatnonzero(chars == 10)
+        border = np.searchsorted(self.begin, breaks)
+        counts = np.diff(border)
+        self.at = np.flatnonzero(counts >= words)
+        self.first, self.counts = border[:-1][self.at], counts[self.at]
+        data = chars.tobytes()
+        stops = breaks[1:][self.at]
+        starts = self.begin[self.first] if words else breaks[:-1][self.at] + 1
+        self.lines = [data[lo:hi] for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True)]
+
+
+class Hashes:
+    """SimHash of lines over the 64-bit hashes of their words, kept from line to line."""
+
     def __init__(self):
+        self.powers = np.zeros((2, 0), dtype="<u8")
         self.forget()
 
     def forget(self) -> None:
-        self.kept: dict[bytes, int] = {}
-        self.lanes = np.zeros((1 << 12, 8), dtype="<u8")
-
-    def learn(self, words: list[bytes]) -> None:
-        start = len(self.kept)
-        self.kept.update(zip(words, range(start, start + len(words)), strict=True))
-        while len(self.lanes) < len(self.kept):
-            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
-        hashes = np.array([xxhash.xxh64_intdigest(word, 42) for word in words], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        self.lanes[start : len(self.kept)] = bits.view("<u8")
-
-    def prints(self, lines: list[list[bytes]]) -> np.ndarray:
+        # Numbers of known words in order, and their hashes.
+        self.spans, self.hashes = np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<u8")
+
+    def _numbers(self, lines: Lines) -> np.ndarray:
+        """A number for each word from its bytes: a polynomial in an odd base, modulo 2 ** 64."""
+        size = len(lines.chars)
+        if self.powers.shape[1] < size:
+            self.powers = np.array([np.full(2 * size, x, dtype="<u8") for x in (BASE, pow(BASE, -1, 1 << 64))])
+            self.powers[:, 0] = 1
+            np.multiply.accumulate(self.powers, axis=1, out=self.powers)
+        sums = np.cumsum(lines.chars * self.powers[0, :size], dtype="<u8")
+        return (sums[lines.end - 1] - sums[lines.begin - 1]) * self.powers[1, lines.begin]
+
+    def _words(self, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word among the different ones, and the hashes of these."""
+        spans = self._numbers(lines)
+        order = np.argsort(spans)
+        spans = spans[order]
+        new = np.ones(len(spans), dtype=bool)
+        new[1:] = spans[1:] != spans[:-1]
+        number = np.empty(len(spans), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        different, some = spans[new], order[new]
+        if len(self.spans) > KEPT_WORDS:
+            self.forget()
+        place = np.searchsorted(self.spans, different)
+        missing = np.append(self.spans, np.uint64(0))[place] != different
+        missing |= place == len(self.spans)
+        if missing.any():
+            data, words = lines.chars.tobytes(), some[missing]
+            ends = zip(lines.begin[words].tolist(), lines.end[words].tolist(), strict=True)
+            found = np.array([xxhash.xxh64_intdigest(data[lo:hi], 42) for lo, hi in ends], dtype="<u8")
+            self.spans = np.insert(self.spans, place[missing], different[missing])
+            self.hashes = np.insert(self.hashes, place[missing], found)
+            place = np.searchsorted(self.spans, different)
+        return number, self.hashes[place]
+
+    def of(self, lines: Lines) -> np.ndarray:
         """SimHash of each line, which has a word at least, as signed numbers.
 
         A bit is set if over half of the line's different words have it; repeats
         do not count, else a few frequent words would make unlike lines alike.
         """
-        if len(self.kept) > KEPT_WORDS:
-            self.forget()
-        lines = [set(line) for line in lines]
-        kept = self.kept
-        self.learn([word for word in set().union(*lines) if word not in kept])
-        out, start = np.zeros(len(lines), dtype=np.int64), 0
-        while start < len(lines):
-            # As many lines as have some 65536 words together.
-            stop, total = start, 0
-            while stop < len(lines) and (total == 0 or total + len(lines[stop]) <= 1 << 16):
-                total += len(lines[stop])
-                stop += 1
-            out[start:stop] = self._prints(lines[start:stop])
-            start = stop
-        return out
-
-    def _prints(self, lines: list[set[bytes]]) -> np.ndarray:
-        get = self.kept.__getitem__
-        lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-        places = np.array(list(map(get, itertools.chain.from_iterable(lines))), dtype=np.int64)
-        # Steps of at most 255 words that end with their line.
+        if not len(lines.at):
+            return np.zeros(0, dtype=np.int64)
+        number, hashes = self._words(lines)
+        owner = np.repeat(np.arange(len(lines.at)), lines.counts)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(lines.counts) - lines.counts, lines.counts)
+        pairs = np.sort(owner << 32 | number[lines.first[owner] + within])
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        lengths = np.bincount(pairs >> 32, minlength=len(lines.at))
+        hashes = hashes[pairs & 0xFFFFFFFF]
+        # Steps of at most 255 words that end with their line; a byte counts a bit within a step.
         steps = -(-lengths // 255)
-        owner = np.repeat(np.arange(len(lines)), steps)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(steps) - steps, steps)
-        starts = (np.cumsum(lengths) - lengths)[owner] + 255 * within
-        sums = np.concatenate([
-            np.add.reduceat(self.lanes[places[lo:hi]], starts[i:j] - lo, axis=0)
-            for i, j, lo, hi in _slices(starts, len(places))
-        ]).view(np.uint8).reshape(-1, 64)
-        if len(owner) > len(lines):
-            sums = np.add.reduceat(sums, np.cumsum(steps) - steps, axis=0, dtype=np.int64)
-        return np.packbits(2 * sums.astype(np.int64) > lengths[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-
-
-def _slices(starts: np.ndarray, total: int):
-    """Runs of steps with at most some 65536 words, as (first step, end, first word, end)."""
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 16))))
-        yield i, j, int(starts[i]), int(starts[j]) if j < len(starts) else total
-        i = j
+        first = np.cumsum(steps) - steps
+        within = np.arange(steps.sum()) - np.repeat(first, steps)
+        starts = np.repeat(np.cumsum(lengths) - lengths, steps) + 255 * within
+        sums = np.stack([np.add.reduceat(hashes >> np.uint64(i) & EACH_BYTE, starts) for i in range(8)], axis=1)
+        # From (bit in byte, byte) to the order of bits.
+        sums = sums.view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+        sums = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+        return np.packbits(2 * sums > lengths[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+
+    def prints(self, lines: list[list[bytes]]) -> np.ndarray:
+        """SimHash of lines given as words."""
+        return self.of(Lines(b"\n".join(map(b" ".join, lines)), 1))
+
+
+def runs(texts: list[str], words: int):
+    """``(owners, places, lines)`` for runs of texts that have some 2 MB together.
+
+    A text stays in one run, whose arrays are a few times its size.
+    """
+    start = 0
+    while start < len(texts):
+        parts, size = [], 0
+        while start + len(parts) < len(texts) and size < RUN_BYTES:
+            parts.append(normal_bytes(texts[start + len(parts)]))
+            size += len(parts[-1])
+        lines = Lines(b"\n".join(parts), words)
+        heights = np.array([part.count(b"\n") + 1 for part in parts])
+        tops = np.cumsum(heights) - heights
+        owners = np.searchsorted(tops, lines.at, side="right") - 1
+        yield start + owners, (lines.at - tops[owners]).astype(np.int32), lines
+        start += len(parts)
 
 
 def common_length(a: str, b: str) -> int:
@@ -186,21 +245,15 @@ def occurrences(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches):
         hashes = Hashes()
         for batch in batches:
-            owners, places, found = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for pos, line in enumerate(split_lines(text)):
-                    if len(line) >= words:
-                        owners.append(i)
-                        places.append(pos)
-                        found.append(line)
-            taken = pa.array(owners, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(taken), batch.column("th").take(taken), pa.array(places, pa.int32()),
-                    pa.array(list(map(key, found)), pa.binary()), pa.array(hashes.prints(found), pa.int64()),
-                ],
-                ["doc_id", "th", "pos", "key", "fp"],
-            )
+            for owners, places, found in runs(batch.column("text").to_pylist(), words):
+                taken = pa.array(owners)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(taken), batch.column("th").take(taken), pa.array(places),
+                        pa.array(list(map(key, found.lines)), pa.binary()), pa.array(hashes.of(found)),
+                    ],
+                    ["doc_id", "th", "pos", "key", "fp"],
+                )
 
     return hashed(docs).mapInArrow(run, "doc_id bigint, th bigint, pos int, key binary, fp bigint")
 
@@ -215,27 +268,17 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     A second pass reads the documents whose hash ``th`` is marked and yields the
     lines whose key is; the join leaves out lines that only share a mark.
     """
-    at = F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("bigint")
-    marks = wanted.groupBy(F.shiftright(at, pigeonhole.PAGE_BITS).alias("page")).agg(
-        F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << pigeonhole.PAGE_BITS) - 1))).alias("bits")
-    )
-    size = 1 << (pigeonhole.PAGE_BITS - 3)
-    # At most 512 pages of 4096 bytes.
-    table = bytearray(size << (pigeonhole.MARK_BITS - pigeonhole.PAGE_BITS))
-    for row in marks.collect():
-        table[row.page * size : (row.page + 1) * size] = row.bits
-    table = bytes(table)
+    table = pigeonhole.marks(wanted, F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("bigint"))
 
     def run(batches):
         for batch in batches:
             found = {}
-            for text in batch.column("text").to_pylist():
-                for line in split_lines(text):
-                    if len(line) >= words:
-                        k = key(line)
-                        place = int.from_bytes(k[:3], "big")
-                        if table[place >> 3] >> (place & 7) & 1:
-                            found[k] = b" ".join(line).decode("utf-8", "surrogatepass")
+            for _, _, part in runs(batch.column("text").to_pylist(), words):
+                for line in part.lines:
+                    k = key(line)
+                    place = int.from_bytes(k[:3], "big")
+                    if table[place >> 3] >> (place & 7) & 1:
+                        found[k] = line.decode("utf-8", "surrogatepass")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["key", "line"]
             )

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,18 +83,88 @@ def _joined(members: DataFrame, bucket: list[str], k: int, settled: str | None)
     return members.join(other, bucket).where(wanted).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
+# So many names of buckets are sorted at once.
+SORTED = 1 << 22
+
+
+def _named(batches, masks: np.ndarray):
+    """``(fp, names)`` of bounded runs of fingerprints: each one's bucket under each mask, by a hash."""
+    salts = np.arange(1, len(masks) + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
+    most = max(1, SORTED // len(masks))
+
+    def named(prints):
+        prints = np.concatenate(prints).view("<u8")
+        names = (prints[:, None] & masks) ^ salts
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            names = (names ^ names >> np.uint64(shift)) * np.uint64(factor)
+        return prints, names ^ names >> np.uint64(31)
+
+    waiting, size = [], 0
+    for batch in batches:
+        fp = batch.column("fp").to_numpy(zero_copy_only=False)
+        while len(fp):
+            waiting.append(fp[: most - size])
+            size, fp = size + len(waiting[-1]), fp[len(waiting[-1]) :]
+            if size == most:
+                yield named(waiting)
+                waiting, size = [], 0
+    if size:
+        yield named(waiting)
+
+
+def _several(prints: DataFrame, masks: np.ndarray) -> DataFrame:
+    """``bucket``: names that at least two rows of ``prints (fp)`` have.
+
+    Names travel packed by ranges of names, each at most twice from a run, so a
+    bucket of any size is a few numbers.  The ranges grow in number with the rows.
+    """
+    tasks = max(8, -(-prints.count() * len(masks) // (1 << 20)))
+    ranges = 8 * tasks
+
+    def pack(batches):
+        for _, names in _named(batches, masks):
+            names = np.sort(names, axis=None)
+            same = np.zeros(len(names) + 1, dtype=bool)
+            same[1:-1] = names[1:] == names[:-1]
+            names = names[~(same[:-1] & np.concatenate([[False], same[:-2]]))]
+            part = (names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            offsets = np.append(starts, len(names)).astype(np.int32) * 8
+            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(names)])
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), packed], ["part", "names"])
+
+    def unpack(batches):
+        found = [name for batch in batches for name in batch.column("names").to_pylist()]
+        names = np.sort(np.frombuffer(b"".join(found), dtype="<i8"))
+        again = names[1:][names[1:] == names[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(again), pa.int64())], ["bucket"])
+
+    packed = prints.mapInArrow(pack, "part bigint, names binary")
+    return cut(packed.repartition(tasks, "part").mapInArrow(unpack, "bucket bigint"))
+
+
 def shared_buckets(prints: DataFrame, k: int, *, blocks: int) -> DataFrame:
     """``bucket, fp, n, least``: members of buckets with several, their number and the least of them.
 
-    ``prints (fp)`` may repeat.  Only a count per bucket is shuffled for all rows;
+    ``prints (fp)`` may repeat.  Only names of buckets are shuffled for all rows;
     members follow for the buckets marked as shared.
     """
-    masks = [signed(x) for x in submasks(list(range(64)), blocks, k)]
+    masks = np.array(submasks(list(range(64)), blocks, k), dtype="<u8")
     # Buckets are named by a hash; two of one name only have more members.
-    names = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    keyed = prints.select("fp", F.explode(names).alias("bucket"))
-    several = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    shared = cut(marked(keyed, "bucket", several).join(several, "bucket", "left_semi").select("bucket", "fp").distinct())
+    several = _several(prints, masks)
+    table = marks(several, F.shiftrightunsigned("bucket", 64 - MARK_BITS))
+
+    def members(batches):
+        bits = np.frombuffer(table, dtype=np.uint8)
+        for fp, names in _named(batches, masks):
+            place = names >> np.uint64(64 - MARK_BITS)
+            row, column = np.nonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[row, column].view("<i8")), pa.array(fp[row].view("<i8"))], ["bucket", "fp"]
+            )
+
+    keyed = prints.mapInArrow(members, "bucket bigint, fp bigint")
+    shared = cut(keyed.join(several, "bucket", "left_semi").distinct())
     sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).where("n > 1")
     return cut(shared.join(sizes, "bucket"))
 
@@ -110,6 +182,19 @@ def open_pairs(shared: DataFrame, k: int, settled: str, *, bound: int = BOUND) -
 MARK_BITS, PAGE_BITS = 24, 15
 
 
+def marks(wanted: DataFrame, place: Column) -> bytes:
+    """One bit for each of 2 ** 24 places: whether a row of ``wanted`` has it."""
+    pages = wanted.groupBy(F.shiftright(place, PAGE_BITS).alias("page")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << PAGE_BITS) - 1))).alias("bits")
+    )
+    size = 1 << (PAGE_BITS - 3)
+    # At most 512 pages of 4096 bytes.
+    table = bytearray(size << (MARK_BITS - PAGE_BITS))
+    for row in pages.collect():
+        table[row.page * size : (row.page + 1) * size] = row.bits
+    return bytes(table)
+
+
 def marked(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """The ``rows`` whose hash in ``column`` may be among those of ``wanted``: none of these is missing."""
     at = F.shiftrightunsigned(F.col(column), 64 - MARK_BITS)
