@@ -1,9 +1,9 @@
 """Fuzzy line dedup: one occurrence of each group of like lines stays.
 
 Lines are normalised (lower case, digits as zero, runs of other than letters and
-digits as one space).  Two normalised lines are linked when their SimHash over
-their different words differs in at most ``bits`` bits and their edit similarity reaches
-``similarity``; equal ones are one line.  Connected lines are a group, of which the
+digits as one space).  Two normalised lines are linked when their edit similarity
+reaches ``similarity``; equal ones are one line.  Pairs to compare come from MinHash
+over the letters' runs of ``GRAM`` bytes; the edit similarity alone decides.  Connected lines are a group, of which the
 occurrence in the document with the smallest id, there the first, stays.
 """
 
@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from sensorloom.llm import common, pigeonhole
 from sensorloom.session import cut
 
-# Words a line must have to be compared, bits that may differ, least edit similarity.
-WORDS, BITS, SIMILARITY = 5, 3, 0.8
+# Words a line must have to be compared, bits of SimHash that may differ (all: it decides nothing), least edit similarity.
+WORDS, BITS, SIMILARITY = 5, 64, 0.8
+# Bytes of a feature; bands of a line, and minima that make one.
+GRAM, BANDS, ROWS = 6, 32, 4
+FACTORS = np.random.default_rng(42).integers(0, 1 << 32, size=(BANDS * ROWS, 2), dtype="<u4") | np.uint32(1)
 KEPT_WORDS = 1 << 18
 RUN_BYTES = 1 << 21
 # Odd base of the words' numbers, and the lowest bit of each byte.
 BASE, EACH_BYTE = 0x9E3779B97F4A7C15, np.uint64(0x0101010101010101)
-# Parts of a fingerprint; any number above BITS finds the same pairs.
-BLOCKS = 6
 
 FIND = re.compile(r"[^\W_]+").findall
 DIGITS = str.maketrans("0123456789", "0000000000")
@@ -84,9 +85,9 @@ class Lines:
         self.at = np.flatnonzero(counts >= words)
         self.first, self.counts = border[:-1][self.at], counts[self.at]
         data = chars.tobytes()
-        stops = breaks[1:][self.at]
-        starts = self.begin[self.first] if words else breaks[:-1][self.at] + 1
-        self.lines = [data[lo:hi] for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True)]
+        self.stops = breaks[1:][self.at]
+        self.starts = self.begin[self.first] if words else breaks[:-1][self.at] + 1
+        self.lines = [data[lo:hi] for lo, hi in zip(self.starts.tolist(), self.stops.tolist(), strict=True)]
 
 
 class Hashes:
@@ -165,6 +166,35 @@ class Hashes:
         return self.of(Lines(b"\n".join(map(b" ".join, lines)), 1))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, scattered."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
+    """Names of the buckets of the ``wanted`` lines: ``BANDS`` numbers for each, of ``ROWS`` minima over its grams."""
+    if not len(wanted):
+        return np.zeros((0, BANDS), dtype="<u8")
+    size = len(lines.chars)
+    padded = np.append(lines.chars, np.zeros(GRAM, dtype=np.uint8)).astype("<u8")
+    grams = np.zeros(size, dtype="<u8")
+    for k in range(GRAM):
+        grams = grams * np.uint64(BASE) + padded[k : size + k] + np.uint64(1)
+    grams = (mixed(grams) >> np.uint64(32)).astype("<u4")
+    # A line shorter than a gram is one gram with what follows it.
+    edges = np.stack([lines.starts[wanted], np.maximum(lines.starts[wanted], lines.stops[wanted] - GRAM) + 1], axis=1)
+    names = np.empty((len(wanted), BANDS), dtype="<u8")
+    for band in range(BANDS):
+        name = np.full(len(wanted), band + 1, dtype="<u8")
+        for factor, other in FACTORS[band * ROWS : (band + 1) * ROWS]:
+            least = np.minimum.reduceat(grams * factor ^ other, edges.ravel())[::2]
+            name = mixed(name * np.uint64(BASE) + least)
+        names[:, band] = name
+    return names
+
+
 def runs(texts: list[str], words: int):
     """``(owners, places, lines)`` for runs of texts that have some 2 MB together.
 
@@ -240,22 +270,32 @@ def alike(a: str, b: str, similarity: float) -> bool:
 
 
 def occurrences(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, th, pos, key, fp`` of every line that is compared; ``th`` tells texts with one doc_id apart."""
+    """``doc_id, th, pos, key, fp, size, names`` of every line that is compared.
+
+    ``th`` tells texts with one doc_id apart, ``fp`` is the key's beginning, ``size``
+    the letters; the packed ``names`` of buckets are null where a run repeats a line.
+    """
 
     def run(batches):
-        hashes = Hashes()
         for batch in batches:
             for owners, places, found in runs(batch.column("text").to_pylist(), words):
-                taken = pa.array(owners)
+                taken, keys = pa.array(owners), list(map(key, found.lines))
+                first = {k: i for i, k in reversed(list(enumerate(keys)))}
+                wanted = np.array(sorted(first.values()), dtype=np.int64)
+                names = [None] * len(keys)
+                for i, name in zip(wanted.tolist(), bands(found, wanted), strict=True):
+                    names[i] = name.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(taken), batch.column("th").take(taken), pa.array(places),
-                        pa.array(list(map(key, found.lines)), pa.binary()), pa.array(hashes.of(found)),
+                        pa.array(keys, pa.binary()), pa.array(np.frombuffer(b"".join(k[:8] for k in keys), dtype="<i8")),
+                        pa.array([len(line.decode("utf-8", "surrogatepass")) for line in found.lines], pa.int32()),
+                        pa.array(names, pa.binary()),
                     ],
-                    ["doc_id", "th", "pos", "key", "fp"],
+                    ["doc_id", "th", "pos", "key", "fp", "size", "names"],
                 )
 
-    return hashed(docs).mapInArrow(run, "doc_id bigint, th bigint, pos int, key binary, fp bigint")
+    return hashed(docs).mapInArrow(run, "doc_id bigint, th bigint, pos int, key binary, fp bigint, size int, names binary")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -301,51 +341,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return cut(both.mapInPandas(verify, "a binary, b binary"))
 
 
-def groups(docs: DataFrame, lines: DataFrame, *, words: int = WORDS, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
-    """``key, root`` of the distinct ``lines (key, fp, n, th)`` that are linked to others.
+def _near(pairs: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of the ``pairs (a, na, b, nb)`` whose lengths ``na, nb`` allow the similarity."""
+    return pairs.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6).select("a", "b")
+
+
+def groups(docs: DataFrame, lines: DataFrame, names: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``key, root`` of the distinct ``lines (key, fp, size, th)`` that are linked to others.
 
-    First every line is compared with the least of its fingerprint, and that with
-    the least of each of its buckets, which connects families of like lines without
+    ``names (fp, names)`` are their buckets.  First every line is compared with the
+    least of each of its buckets, which connects families of like lines without
     their pairs.  Then all pairs in a bucket are compared that are not connected
-    yet, so no two linked lines end in different groups.
+    yet, so no two lines of a bucket that are alike end in different groups.
     """
-    shared = pigeonhole.shared_buckets(lines.select("fp"), bits, blocks=BLOCKS)
-    near = shared.where((F.col("fp") != F.col("least")) & (pigeonhole.distance(F.col("fp"), F.col("least")) <= bits))
-    stars = cut(near.select("fp", "least").distinct())
-    same = lines.groupBy("fp").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("fp")
-    concerned = stars.select(F.explode(F.array("fp", "least")).alias("fp")).unionByName(same).distinct()
-    known = cut(lines.join(concerned, "fp").select("fp", "key", "th"))
-    texts = cut(_texts_of(docs, known.select("key", "th"), words))
-    least = known.groupBy("fp").agg(F.min("key").alias("rep"))
-    first = stars.join(least, "fp").withColumnRenamed("rep", "a").join(
-        least.select(F.col("fp").alias("least"), F.col("rep").alias("b")), "least"
-    ).select("a", "b")
-    own = known.join(least, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-    edges = _verified(own.unionByName(first), texts, similarity)
+    shared = pigeonhole.shared_names(names, BANDS)
+    stars = cut(shared.where("fp <> least").select("fp", "least").distinct())
+    concerned = stars.select(F.explode(F.array("fp", "least")).alias("fp")).distinct()
+    known = cut(lines.join(concerned, "fp").select("fp", "key", "size", "th"))
+    texts = common.saved(_texts_of(docs, known.select("key", "th"), words))
+    one = known.select("fp", F.col("key").alias("a"), F.col("size").alias("na"))
+    two = known.select(F.col("fp").alias("least"), F.col("key").alias("b"), F.col("size").alias("nb"))
+    edges = _verified(_near(stars.join(one, "fp").join(two, "least"), similarity), texts, similarity)
     roots = common.components(edges).select(F.col("node").alias("key"), "root")
-    # A fingerprint whose lines are all of one group is settled with others of that group.
-    placed = known.join(roots, "key", "left").select("fp", "key", "th", F.coalesce("root", "key").alias("root"))
-    of_print = cut(placed.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high")))
-    settled = of_print.where("low = high").select("fp", F.col("low").alias("settled"))
-    open_ = pigeonhole.open_pairs(shared.join(settled, "fp", "left"), bits, "settled")
-    split = of_print.where("low <> high").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    pairs = cut(open_.unionByName(split).select(F.col("a").alias("fa"), F.col("b").alias("fb")))
-    if pairs.isEmpty():
-        return roots
-    concerned = pairs.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct()
-    known = cut(lines.join(concerned, "fp").join(roots, "key", "left").select("fp", "key", "th", F.coalesce("root", "key").alias("root")))
-    one = known.select(F.col("fp").alias("fa"), F.col("key").alias("a"), F.col("root").alias("ra"))
-    two = known.select(F.col("fp").alias("fb"), F.col("key").alias("b"), F.col("root").alias("rb"))
-    more = pairs.join(one, "fa").join(two, "fb").where("ra <> rb and (fa <> fb or a < b)").select("a", "b")
-    further = _verified(more, cut(_texts_of(docs, known.select("key", "th"), words)), similarity)
+    placed = known.select("fp", "key", "size").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = cut(shared.where("n > 2").select("bucket", "fp", "least").join(placed, "fp"))
+    several_roots = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    # The least of a bucket has been compared with all others.
+    left = placed.where("fp <> least").join(several_roots.select("bucket"), "bucket").drop("least", "fp")
+    other = left.select("bucket", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    pairs = left.withColumnsRenamed({"key": "a", "size": "na", "root": "ra"}).join(other, "bucket").where("ra <> rb and a < b")
+    further = _verified(_near(pairs, similarity).distinct(), texts, similarity)
     return common.components(edges.unionByName(further)).select(F.col("node").alias("key"), "root")
 
 
-def repeats(docs: DataFrame, *, words: int = WORDS, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def repeats(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, th, gone``: for each document with lines to remove their places, counted from 0."""
     seen = common.saved(occurrences(docs, words))
-    lines = common.saved(seen.groupBy("key", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")))
-    roots = groups(docs, lines, words=words, bits=bits, similarity=similarity)
+    lines = common.saved(seen.groupBy("key", "fp", "size").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")))
+    roots = groups(docs, lines, seen.where("names is not null").select("fp", "names"), words=words, similarity=similarity)
     several = lines.select("key", "n").join(roots, "key", "left").where("n > 1 or root is not null")
     rows = seen.join(several.select("key", F.coalesce("root", "key").alias("root")), "key")
     rows = rows.select("root", F.struct("doc_id", "th", "pos").alias("here"))

@@ -112,17 +112,18 @@ def _named(batches, masks: np.ndarray):
         yield named(waiting)
 
 
-def _several(prints: DataFrame, masks: np.ndarray) -> DataFrame:
-    """``bucket``: names that at least two rows of ``prints (fp)`` have.
+def _several(prints: DataFrame, named, each: int) -> DataFrame:
+    """``bucket``: names that at least two rows of ``prints`` have.
 
-    Names travel packed by ranges of names, each at most twice from a run, so a
+    ``named`` makes ``(fp, names)`` of batches of rows, ``each`` names a row.  Names
+    travel packed by ranges of names, each at most twice from a run, so a
     bucket of any size is a few numbers.  The ranges grow in number with the rows.
     """
-    tasks = max(8, -(-prints.count() * len(masks) // (1 << 20)))
+    tasks = max(8, -(-prints.count() * each // (1 << 20)))
     ranges = 8 * tasks
 
     def pack(batches):
-        for _, names in _named(batches, masks):
+        for _, names in named(batches):
             names = np.sort(names, axis=None)
             same = np.zeros(len(names) + 1, dtype=bool)
             same[1:-1] = names[1:] == names[:-1]
@@ -151,12 +152,38 @@ def shared_buckets(prints: DataFrame, k: int, *, blocks: int) -> DataFrame:
     """
     masks = np.array(submasks(list(range(64)), blocks, k), dtype="<u8")
     # Buckets are named by a hash; two of one name only have more members.
-    several = _several(prints, masks)
+    return _shared(prints, lambda batches: _named(batches, masks), len(masks))
+
+
+def shared_names(rows: DataFrame, each: int) -> DataFrame:
+    """The same of ``rows (fp, names)`` that bring ``each`` names, packed as 64-bit numbers."""
+
+    most = max(1, SORTED // each)
+
+    def one(prints, packed):
+        return np.concatenate(prints).view("<u8"), np.frombuffer(b"".join(packed), dtype="<u8").reshape(-1, each)
+
+    def named(batches):
+        prints, packed = [], []
+        for batch in batches:
+            prints.append(batch.column("fp").to_numpy(zero_copy_only=False))
+            packed.extend(batch.column("names").to_pylist())
+            if len(packed) >= most:
+                yield one(prints, packed)
+                prints, packed = [], []
+        if packed:
+            yield one(prints, packed)
+
+    return _shared(rows, named, each)
+
+
+def _shared(prints: DataFrame, named, each: int) -> DataFrame:
+    several = _several(prints, named, each)
     table = marks(several, F.shiftrightunsigned("bucket", 64 - MARK_BITS))
 
     def members(batches):
         bits = np.frombuffer(table, dtype=np.uint8)
-        for fp, names in _named(batches, masks):
+        for fp, names in named(batches):
             place = names >> np.uint64(64 - MARK_BITS)
             row, column = np.nonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
             yield pa.RecordBatch.from_arrays(
