@@ -5,7 +5,10 @@ further, overlapping spans: digit runs, dotted quads and numbers that fail the
 check, numbers in telephone groups, addresses that avoid the at sign.  Trees learn
 from all candidates of the corpus how base spans look - length, separators,
 neighbouring letters, nearby words, never the check itself - and a candidate is
-added where its score reaches a threshold of the wanted precision.
+added where its score reaches a threshold of the wanted precision.  Telephone groups
+and addresses without an at sign are never base spans: there the good ones are base
+spans rewritten into the wider form where they stand, and candidates behind a word
+that announces them; the others, of the same shape in neutral text, are the bad ones.
 
 Everything runs as DataFrame expressions.  What the trees learn from is a count
 per combination of feature values, whose number is bounded by the features.
@@ -116,8 +119,28 @@ def _side(letter: Column) -> Column:
     return F.when(letter == "", 0).when(letter.rlike(r"\s"), 1).when(letter.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3)
 
 
+def rewritten(found: DataFrame) -> DataFrame:
+    """Base telephone numbers as groups without a country code, base addresses without the at sign."""
+    digits = F.regexp_replace("match", "[^0-9]", "")
+    sep = F.coalesce(F.nullif(F.regexp_extract("match", r"[0-9]([\x20.-])[0-9]", 1), F.lit("")), F.lit(" "))
+    # The last ten digits, with the number's own separator.
+    groups = F.concat(F.substring(digits, -10, 3), sep, F.substring(digits, -7, 3), sep, F.substring(digits, -4, 4))
+    host = F.regexp_replace(F.substring_index("match", "@", -1), r"\.", " [dot] ")
+    address = F.concat(F.substring_index("match", "@", 1), F.lit(" [at] "), host)
+    phone = (F.col("gen") == 3) & valid(F.col("gen"), F.col("match")) & (F.length(digits) >= 10)
+    changed = found.where((F.col("gen") == 0) | phone)
+    return changed.withColumn("match", F.when(F.col("gen") == 0, address).otherwise(groups)).withColumn(
+        "gen", F.when(F.col("gen") == 0, 5).otherwise(4)
+    )
+
+
 def described(found: DataFrame) -> DataFrame:
-    """``found`` with its feature values, ``base`` and the ``label`` the trees learn."""
+    """``found`` with its feature values, ``base`` and the ``label`` the trees learn.
+
+    Rows that are ``rewritten`` are learned from and no candidates.
+    """
+    found = found.withColumn("rewritten", F.lit(False))
+    found = found.unionByName(rewritten(found).withColumn("rewritten", F.lit(True)))
     digits = F.length(F.regexp_replace("match", "[^0-9]", ""))
     seps = F.regexp_replace("match", r"[0-9A-Za-z@_%]", "")
     hint = F.lit(0)
@@ -126,9 +149,10 @@ def described(found: DataFrame) -> DataFrame:
     base = valid(F.col("gen"), F.col("match"))
     # A telephone group counts as base where it continues a number with a country code.
     inside = (F.col("gen") == 4) & F.col("before").rlike(r"\+[0-9]{1,3}[\x20.-]?$")
+    announced = ((F.col("gen") == 4) & (hint == 1)) | ((F.col("gen") == 5) & (hint == 3))
     return found.withColumns({
         "base": base,
-        "label": (base | inside).cast("int"),
+        "label": (base | inside | announced | F.col("rewritten")).cast("int"),
         "digits": F.when(digits < 7, 0).when(digits < 10, 1).when(digits < 12, 2).when(digits < 14, 3)
         .when(digits < 16, 4).when(digits == 16, 5).when(digits < 20, 6).otherwise(7),
         "sep": F.when(seps == "", 0).when(seps.rlike(r"^ +$"), 1).when(seps.rlike(r"^-+$"), 2).when(seps.rlike(r"^\.+$"), 3).otherwise(4),
@@ -202,10 +226,10 @@ def spans(docs: DataFrame, *, precision: float = PRECISION, rounds: int = ROUNDS
     """``doc_id, rk, kind, start, end, base`` of all spans: base ones and those the trees add.
 
     Trees are fitted on the candidates of half of the documents, thresholds per
-    generator on those of the other half; a generator without 20 base spans in that half
+    generator on those of the other half; a generator without 20 good ones in that half
     adds nothing.
     """
-    found = cut(described(matches(docs)))
+    found = cut(described(cut(matches(docs))))
     names = list(FEATURES)
     counted = found.groupBy(*names, F.pmod("rk", F.lit(2)).alias("fold")).agg(
         F.count(F.lit(1)).alias("all"), F.sum("label").alias("good")
@@ -228,7 +252,7 @@ def spans(docs: DataFrame, *, precision: float = PRECISION, rounds: int = ROUNDS
         (F.col("gen") == gen) & (margin >= limit - 1e-6) for gen, limit in limits.items() if limit < math.inf
     )
     kinds = F.array(*[F.lit(kind) for kind, _ in GENERATORS])
-    taken = found.where(F.col("base") | passes).select(
+    taken = found.where(~F.col("rewritten") & (F.col("base") | passes)).select(
         "doc_id", "rk", F.element_at(kinds, F.col("gen") + 1).alias("kind"), "start", "end", "base"
     )
     return taken.groupBy("doc_id", "rk", "kind", "start", "end").agg(F.max("base").alias("base"))
