@@ -22,6 +22,8 @@ from sensorloom.session import cut
 
 # Words a line must have to be compared, bits of SimHash that may differ (all: it decides nothing), least edit similarity.
 WORDS, BITS, SIMILARITY = 5, 64, 0.8
+# Letters of scripts without spaces between words that stand for the words.
+LETTERS = 20
 # Bytes of a feature; bands of a line, and minima that make one.
 GRAM, BANDS, ROWS = 6, 32, 4
 FACTORS = np.random.default_rng(42).integers(0, 1 << 32, size=(BANDS * ROWS, 2), dtype="<u4") | np.uint32(1)
@@ -61,8 +63,18 @@ def key(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
+def unspaced(chars: np.ndarray) -> np.ndarray:
+    """First bytes of letters of scripts without spaces: Han, kana, Thai, Lao, Tibetan, Myanmar, Khmer."""
+    after = np.append(chars[1:], np.uint8(0))
+    return (
+        (chars >= 0xE3) & (chars <= 0xE9) | (chars == 0xE0) & (after >= 0xB8)
+        | (chars == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after == 0x9E) | (after == 0x9F))
+        | (chars == 0xF0) & (after >= 0xA0) & (after <= 0xB3)
+    )
+
+
 class Lines:
-    """Lines with a number of words at least, of one buffer of normalised texts.
+    """Lines with a number of words, or of unspaced letters, at least, of one buffer of normalised texts.
 
     ``at`` are their places among the buffer's lines, ``lines`` their bytes with one
     space between words.  Words are spans ``begin, end`` of ``chars``; line i has
@@ -82,7 +94,10 @@ class Lines:
         breaks = np.flatnonzero(chars == 10)
         border = np.searchsorted(self.begin, breaks)
         counts = np.diff(border)
-        self.at = np.flatnonzero(counts >= words)
+        enough = counts >= words
+        if len(chars) and chars.max() >= 0xE0:
+            enough |= np.diff(np.cumsum(unspaced(chars))[breaks]) >= LETTERS
+        self.at = np.flatnonzero(enough)
         self.first, self.counts = border[:-1][self.at], counts[self.at]
         data = chars.tobytes()
         self.stops = breaks[1:][self.at]
@@ -407,7 +422,8 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_lines, n_removed, text``: one row per row of ``docs (doc_id, text)``.
 
-    Lines with fewer than ``words`` words are left alone.  A null text stays null
+    Lines with fewer than ``words`` words and ``LETTERS`` letters of scripts without
+    spaces are left alone.  A null text stays null
     and has no lines, an empty one neither.  Rows that repeat a doc_id and its text
     are one document and lose the same lines.  A null doc_id comes before all
     others.  No rows give no rows; other columns are not read.
