@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions import chance
 from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, SERIES, attach, carry, halo
 from sensorloom.functions.stats import median_and_mad, quantiles, value_cell
 
@@ -123,26 +122,38 @@ def _forest(key: tuple, pdf: pd.DataFrame, keys: Sequence[str], seed: int) -> pd
     )
 
 
+def forest_rows(df: DataFrame, keys: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
+    """For each tree the ``sample`` rows of a group with the smallest hash for that tree, over all its rows.
+
+    Hashes beyond the place where four times as many and 64 more are expected are left
+    out before the sort; fewer than wanted lie below it in one of e^60 cases at most.
+    A tree that fell short raises an error.
+    """
+    keys = list(keys)
+    ident = [F.col(k) for k in keys] + [F.col("ts")]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = attach(df.select(*keys, "blk", "ts", "value"), sizes, keys)
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("tree"), *ident))
+    limit = F.lit(4.0 * sample + 64) / F.col("_n") * F.lit(2.0**64) - F.lit(2.0**63)
+    low = rows.where((F.col("_n") <= 4 * sample + 64) | (F.col("_h").cast("double") < limit))
+    first = Window.partitionBy(*keys, "tree").orderBy("_h", "ts")
+    ranked = low.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= sample)
+    every = Window.partitionBy(*keys, "tree")
+    short = F.count(F.lit(1)).over(every) < F.least(F.col("_n"), F.lit(sample))
+    failure = F.raise_error(F.lit("too few rows below the hash limit")).cast("double")
+    return ranked.withColumn("value", F.when(short, failure).otherwise(F.col("value")))
+
+
 def isolation_forest(
     df: DataFrame, *, keys: Sequence[str] = SERIES, trees: int = 100, sample: int = 256, seed: int = 13, **_
 ) -> DataFrame:
     """``2^(-mean path / expected path)`` over random trees of one value.
 
-    Rows enter a pool by a hash, each tree takes the ``sample`` pool rows with
-    the smallest hash for that tree.  In one dimension a forest is a step
-    function, so scoring a row is one lookup.
+    In one dimension a forest is a step function, so scoring a row is one lookup.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ident = [F.col(k) for k in keys] + [F.col("ts")]
-    wanted = 2.0 * sample * trees / F.col("_n")
-    pool = attach(df.select(*keys, "blk", "ts", "value"), sizes, keys).where(
-        (F.col("_n") <= 2 * sample * trees) | (chance.uniform(seed, "pool", *ident) < wanted)
-    )
-    pool = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    pool = pool.withColumn("_h", F.xxhash64(F.lit(seed), F.col("tree"), *ident))
-    first = Window.partitionBy(*keys, "tree").orderBy("_h", "ts")
-    drawn = pool.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= sample)
+    drawn = forest_rows(df, keys, trees, sample, seed)
     types = dict(df.dtypes)
     model_schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         ", edges array<double>, path array<double>, usual double"
