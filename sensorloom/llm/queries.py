@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import ann, bpe, exact, lines, packing, pii, quality, simhash, toxicity, urls
+from sensorloom.llm import ann, bpe, exact, language, lexical, lines, packing, pii, quality, simhash, spelling, toxicity, urls
 from sensorloom.llm.common import read
 
 
@@ -57,8 +57,21 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(read(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_simhash, op2_toxicity, op3_pii, op4_exact, op5_urls, op6_bpe, op7_quality, op8_lines, op9_packing, op10_ann,
+    op11_language, op12_lexical, op13_spelling,
 ]
 
 
@@ -67,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact": exact.SQL}
+    return {"op4_exact": exact.SQL, "op12_lexical": lexical.SQL, "op13_spelling": spelling.SQL}
