@@ -58,15 +58,15 @@ def in_blocks(
     return df.withColumn("blk", time_block("ts", step, rows)).repartition(*keys, "blk")
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str] = SERIES, blk: str = "blk") -> DataFrame:
     """Join one row of ``stats`` per group to the rows of that group.
 
     A join on the group would bring all its rows to one task.  So the statistics
     go to the blocks of their group, and rows meet them where they already lie.
     Groups without statistics drop out.
     """
-    places = rows.select(*keys, "blk").distinct().join(stats, list(keys))
-    return rows.join(places, [*keys, "blk"])
+    places = rows.select(*keys, blk).distinct().join(stats, list(keys))
+    return rows.join(places, [*keys, blk])
 
 
 def halo(

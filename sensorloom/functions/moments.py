@@ -1,17 +1,21 @@
 """Grouped sums of outer products, the input of every linear fit here.
 
-Each block of rows gives one small matrix; matrices are added entry by entry, so
-no task holds more than a block of rows or one matrix.
+Each block of rows gives one small matrix, packed as its upper triangle in an array.
+Arrays are added in two levels, so no task holds more than a block of rows or a
+bounded number of matrices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+# Groups of blocks whose sums are added first: both levels add some thousand arrays at most.
+SLOTS = 1024
 
 
 def key_schema(df: DataFrame, keys: Sequence[str]) -> str:
@@ -19,25 +23,50 @@ def key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {types[k]}" for k in keys)
 
 
+def packed(matrix: np.ndarray) -> np.ndarray:
+    """The upper triangle of a symmetric matrix, row by row."""
+    return matrix[np.triu_indices(len(matrix))]
+
+
+def unpacked(triangle: Sequence[float]) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    size = int(round((8 * len(triangle) + 1) ** 0.5 - 1)) // 2
+    matrix = np.zeros((size, size))
+    matrix[np.triu_indices(size)] = triangle
+    return matrix + np.triu(matrix, 1).T
+
+
 def gram(
     rows: DataFrame, keys: Sequence[str], build: Callable[[pd.DataFrame], np.ndarray], block: Sequence[str]
 ) -> DataFrame:
-    """``keys, cell, s``: the entries of the sum of ``zᵀz`` over all rows.
+    """``keys, g``: the packed sum of ``zᵀz`` over all rows of a group.
 
     ``build`` turns the rows of one block (grouped by ``block``) into a matrix
-    with one row per sample; ``cell`` counts entries row by row.
+    with one row per sample.  Groups without samples have no row.
     """
     keys = list(keys)
 
     def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
         z = build(pdf)
-        out = pdf[keys].head(1).copy()
-        out["g"] = [(z.T @ z).ravel()] if len(z) else [np.empty(0)]
-        return out
+        at = zlib.crc32("|".join(str(v) for v in pdf[list(block)].iloc[0]).encode())
+        out = pdf[keys].head(1).assign(_slot=at % SLOTS, _at=at)
+        out["g"] = [packed(z.T @ z)]
+        return out if len(z) else out.iloc[:0]
+
+    def added(level: list[str], order: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            # In the same order whenever the task runs.
+            pdf = pdf.sort_values(order)
+            out = pdf[level].head(1).reset_index(drop=True)
+            out["g"] = [np.sum(np.stack(pdf["g"].tolist()), axis=0)]
+            return out
+
+        return add
 
-    parts = rows.groupBy(*block).applyInPandas(one_block, f"{key_schema(rows, keys)}, g array<double>")
-    cells = parts.select(*keys, F.posexplode("g").alias("cell", "x"))
-    return cells.groupBy(*keys, "cell").agg(F.sum("x").alias("s"))
+    schema = key_schema(rows, keys)
+    parts = rows.groupBy(*block).applyInPandas(one_block, f"{schema}, _slot bigint, _at bigint, g array<double>")
+    near = parts.groupBy(*keys, "_slot").applyInPandas(added([*keys, "_slot"], "_at"), f"{schema}, _slot bigint, g array<double>")
+    return near.groupBy(*keys).applyInPandas(added(keys, "_slot"), f"{schema}, g array<double>")
 
 
 def fit(
@@ -46,15 +75,14 @@ def fit(
     """One model row per group from its matrix of sums."""
     keys = list(keys)
 
-    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(round(len(pdf) ** 0.5))
-        matrix = np.empty(size * size)
-        matrix[pdf["cell"].to_numpy()] = pdf["s"].to_numpy()
-        model = solve(matrix.reshape(size, size))
-        out = pdf[keys].head(1).reset_index(drop=True)
-        return out.assign(**{name: [value] for name, value in model.items()})
+    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            models = [solve(unpacked(g)) for g in pdf["g"]]
+            if models:
+                out = pdf[keys].reset_index(drop=True)
+                yield out.assign(**{name: [m[name] for m in models] for name in models[0]})
 
-    return sums.groupBy(*keys).applyInPandas(one_group, f"{key_schema(sums, keys)}, {schema}")
+    return sums.mapInPandas(solved, f"{key_schema(sums, keys)}, {schema}")
 
 
 def sliding(values: np.ndarray, width: int) -> np.ndarray:

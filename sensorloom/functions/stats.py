@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import carry
 from sensorloom.session import cut
 
-SMALL_GROUP = 50_000
-ACCURACY = 10_000
-CELLS = 65_536
+# Values one task sorts at most, edges of one pass, accuracy of the sketch they come from.
+INNER, EDGES, ACCURACY = 50_000, 256, 10_000
+# Rows of statistics that are sent to all tasks; larger tables are joined by a shuffle.
+FEW = 100_000
+# Rows of a rank block, and blocks of a table of some thousand rows.
+BLOCK, BLOCKS = 32_768, 64
 
 
 def finite(value: Column) -> Column:
@@ -21,71 +23,104 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < huge)
 
 
+def beside(rows: DataFrame, stats: DataFrame, keys: Sequence[str], *, count: int | None = None, few: int = FEW) -> DataFrame:
+    """Join one row of ``stats`` per group to the rows, wherever these lie.
+
+    ``stats`` are counted (written first, unless ``count`` says how many there are).
+    Up to ``few`` are sent to the rows; more are joined by a shuffle, where the
+    skew join splits hot groups.
+    """
+    if count is None:
+        stats = cut(stats)
+        count = stats.count()
+    return rows.join(F.broadcast(stats) if count <= few else stats, list(keys))
+
+
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float], *, ready: bool = False
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, plus the count ``n``.
 
-    ``percentile`` keeps every distinct value of a group in one buffer.  Here a
-    bounded sketch first brackets each quantile; rows inside a bracket are
-    counted by value, the rest only by number, and the ranks are read off the
-    counts.  A rank outside its bracket raises an error, it is never guessed.
+    Every quantile has a range of values its two ranks lie in, at first all of its
+    group.  While a range holds more values than a task should sort, a pass cuts
+    it at the edges of a sketch, counts the values at and between the edges, and goes
+    on with the cells of the two ranks.  The counts are exact, so the sketch only
+    decides how fast ranges shrink.  In the end the values of a range are counted
+    one by one and the ranks read off.
 
-    The rows are read twice, so they are written once first; ``ready`` says that
-    they already lie in a table and can be read again cheaply.
+    The rows are read several times, so they are written once first; ``ready`` says
+    that they already lie in a table or follow cheaply from one.
     """
-    margin = 2.0 / ACCURACY
-    probs = dict(sorted(probs.items(), key=lambda item: item[1]))
-    points: list[float] = []
-    for p in probs.values():
-        points += [max(0.0, p - margin), min(1.0, p + margin)]
+    keys = list(keys)
     rows = df.where(value.isNotNull()).select(*keys, value.cast("double").alias("_v"))
     rows = rows if ready else cut(rows)
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", points, ACCURACY).alias("_q")
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(float(p)).alias("p")) for q, p in probs.items()]))
+    rank = F.col("a.p") * (F.col("n") - 1)
+    state = groups.withColumn("a", asked).select(
+        *keys, "a.q", "n", F.floor(rank).alias("k"), (rank - F.floor(rank)).alias("part"),
+        "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inner"),
     )
-    small = F.col("_n") <= SMALL_GROUP
-    inside, floor = small, F.lit(None).cast("double")
-    # Brackets follow each other, so their cells number blocks in value order.
-    blk = F.lit(0).cast("bigint")
-    for i in range(len(probs)):
-        low, high = F.col("_q")[2 * i], F.col("_q")[2 * i + 1]
-        inside = inside | F.col("_v").between(low, high)
-        floor = F.greatest(floor, F.when(high < F.col("_v"), high))
-        cell = value_cell(F.col("_v"), low, high) + F.lit((i + 1) * CELLS)
-        blk = F.when(~small & (F.col("_v") >= low), cell).otherwise(blk)
-    counted = (
-        rows.join(sketch, list(keys))
-        .select(
-            *keys, "_n", (~inside).alias("_rest"),
-            F.when(inside, F.col("_v")).otherwise(floor).alias("_v"),
-            blk.alias("blk"),
-        )
-        .groupBy(*keys, "_v", "_rest")
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"), F.min("blk").alias("blk"))
+    while True:
+        most, count = state.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("inner"))), F.count(F.lit(1))).first()
+        if most is None or most <= INNER:
+            break
+        state = cut(_narrowed(rows, state, keys, count))
+
+    last = F.least(F.col("k") + 1, F.col("n") - 1)
+    ranges = state.groupBy(*keys, "lo", "hi").agg(F.first("below").alias("below"))
+    near = beside(rows, ranges, keys, count=count).where("_v between lo and hi")
+    counted = near.groupBy(*keys, "lo", "hi", "below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    line = Window.partitionBy(*keys, "lo", "hi").orderBy("_v")
+    upto = F.col("below") + F.sum("_c").over(line)
+    ranked = counted.select(*keys, "lo", "hi", "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
+    held = ranked.join(state.drop("below", "inner"), [*keys, "lo", "hi"]).where((F.col("_to") > F.col("k")) & (F.col("_from") <= last))
+    at = lambda q, rank: F.max(F.when((F.col("q") == q) & (F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+    found = held.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[at(q, F.col("k")).alias(f"_lo_{q}") for q in probs],
+        *[at(q, last).alias(f"_hi_{q}") for q in probs],
+        *[F.max(F.when(F.col("q") == q, F.col("part"))).alias(f"_part_{q}") for q in probs],
     )
-    # Counted rows above a bracket stand right behind its top value.
-    ranked = carry(counted, {"_upto": ("sum", F.col("_c"))}, order=("_v", "_rest"), keys=keys)
-
-    def at(rank: Column) -> Column:
-        held = (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto")) & ~F.col("_rest")
-        return F.max(F.when(held, F.col("_v")))
-
-    sides = []
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
-        low = F.floor(rank)
-        high = F.least(low + 1, F.col("_n") - 1)
-        sides += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}")]
-    found = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *sides)
-    out = []
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        missed = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
-        exact = low + (high - low) * (rank - F.floor(rank))
-        out.append(F.when(low.isNull() | high.isNull(), missed).otherwise(exact).alias(name))
-    return found.select(*keys, "n", *out)
+    between = lambda q: F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * F.col(f"_part_{q}")
+    # Equal neighbours need no sum: it would make infinities undefined.
+    exact = lambda q: F.when(F.col(f"_lo_{q}") == F.col(f"_hi_{q}"), F.col(f"_lo_{q}")).otherwise(between(q))
+    return found.select(*keys, "n", *[exact(q).alias(q) for q in probs])
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Ranges of ``state`` with too many values cut down to the cells of their ranks."""
+    wide = (F.col("inner") > INNER) & (F.col("lo") < F.col("hi"))
+    todo, group = state.where(wide), [*keys, "q"]
+    near = beside(rows, todo.select(*group, "lo", "hi"), keys, count=count).where("_v between lo and hi")
+    grid = [i / EDGES for i in range(1, EDGES)]
+    edges = cut(near.groupBy(*group).agg(F.array_distinct(F.percentile_approx("_v", grid, ACCURACY)).alias("_e")))
+    # A row of edges is some kilobytes.
+    cells = beside(rows, todo.select(*group, "lo", "hi").join(edges, group), keys, count=count, few=FEW // EDGES)
+    cells = cells.where("_v between lo and hi").withColumn("_at", F.lit(0))
+    step = EDGES // 2
+    while step:
+        # The number of edges below the value, by halving.
+        ahead = F.get("_e", F.col("_at") + (step - 1)) < F.col("_v")
+        cells, step = cells.withColumn("_at", F.when(ahead, F.col("_at") + step).otherwise(F.col("_at"))), step // 2
+    on_edge = F.coalesce(F.get("_e", F.col("_at")) == F.col("_v"), F.lit(False))
+    counted = cells.groupBy(*group, (F.col("_at") * 2 + on_edge.cast("int")).alias("cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+    line = Window.partitionBy(*group).orderBy("cell")
+    upto = F.col("below") + F.sum("_c").over(line)
+    placed = counted.join(todo, group).withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+    last = F.least(F.col("k") + 1, F.col("n") - 1)
+    holds = lambda rank: (F.col("_from") <= rank) & (rank < F.col("_to"))
+    # Cells between edges count; a single value is one value however often it occurs.
+    open_cell = (holds(F.col("k")) | holds(last)) & (F.col("cell") % 2 == 0)
+    cutdown = placed.groupBy(*group, "n", "k", "part").agg(
+        F.max(F.when(holds(F.col("k")), F.col("_lo"))).alias("lo"),
+        F.max(F.when(holds(last), F.col("_hi"))).alias("hi"),
+        F.max(F.when(holds(F.col("k")), F.col("_from"))).alias("below"),
+        F.coalesce(F.sum(F.when(open_cell, F.col("_c"))), F.lit(0)).alias("inner"),
+    )
+    return state.where(~wide).unionByName(cutdown.select(*state.columns))
 
 
 def median(
@@ -99,12 +134,24 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], value: str, *, ready: boo
     rows = df.select(*keys, value)
     rows = rows if ready else cut(rows)
     centre = cut(median(rows, keys, F.col(value), ready=True))
-    off = rows.join(centre, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_off"))
+    off = beside(rows, centre, keys, count=centre.count()).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_off"))
     spread = quantiles(off, keys, F.col("_off"), {"mad": 0.5}, ready=True)
     return centre.join(spread.select(*keys, "mad"), list(keys))
 
 
-def value_cell(value: Column, low: Column, high: Column, cells: int = CELLS) -> Column:
-    """Equal-width cell of ``value``: a block number that follows the value order."""
-    share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(0), F.least(F.floor(share * cells), F.lit(cells - 1))).cast("bigint")
+def rank_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, block: int = BLOCK) -> DataFrame:
+    """Add ``blk``: stretches of about equally many rows along ``keys`` and ``order``.
+
+    The stretches are cut at ranks, estimated from samples of all partitions, so a
+    far value widens one of them and crowds none.  ``order`` must tell the rows of a
+    group apart; then no row, however frequent what it stands for, outgrows a block.
+    Where the cuts fall changes no result of :func:`~sensorloom.functions.blocks.carry`.
+    """
+    rows = cut(rows)
+    count = rows.count()
+    blocks = max(1, -(-count // block), min(BLOCKS, count // (block // 32)))
+    if blocks == 1:
+        return rows.withColumn("blk", F.lit(0).cast("bigint"))
+    # Written at once: from then on the numbers are a column like any other.
+    laid = rows.repartitionByRange(blocks, *keys, *order)
+    return cut(laid.withColumn("blk", F.spark_partition_id().cast("bigint")))

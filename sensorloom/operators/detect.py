@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, SERIES, attach, carry, halo
-from sensorloom.functions.stats import median_and_mad, quantiles, value_cell
+from sensorloom.functions.stats import median_and_mad, quantiles, rank_blocks
 
 EPSILON = 1e-6
 MAD_TO_SIGMA = 1.4826
@@ -245,18 +245,18 @@ def local_outlier_factor(
     """Local outlier factor of the values of each series, k = min(50, n-1).
 
     In one dimension the neighbours of a value lie next to it in value order:
-    distinct values are ranked, cut into stretches with a margin of 3k ranks on
-    each side, and every stretch is worked on alone.
+    distinct values are ranked in blocks of equally many, cut into stretches with a
+    margin of 3k ranks on each side, and every stretch is worked on alone.  Factors go
+    back by block and value, so rows of one frequent value stay spread out.
     """
     keys = list(keys)
-    bounds = df.groupBy(*keys).agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count(F.lit(1)).alias("n")
-    )
-    distinct = df.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c")).join(bounds, keys)
-    cells = distinct.withColumn("blk", value_cell(F.col("value"), F.col("_lo"), F.col("_hi")))
+    rows = df.select(*keys, "blk", "ts", "value")
+    # Per block first: a value that fills a third of a group is one row of each block.
+    distinct = rows.groupBy(*keys, "blk", "value").agg(F.count(F.lit(1)).alias("c"))
+    distinct = distinct.groupBy(*keys, "value").agg(F.sum("c").alias("c"))
     ranked = carry(
-        cells.select(*keys, "blk", "value", "c", "n"),
-        {"rank": ("sum", F.lit(1).cast("bigint"))}, order="value", keys=keys,
+        rank_blocks(distinct, keys, ["value"]),
+        {"rank": ("sum", F.lit(1).cast("bigint")), "n": ("total", F.col("c"))}, order="value", keys=keys,
     )
     margin = 3 * neighbours
     home = F.floor(F.col("rank") / stretch)
@@ -270,7 +270,7 @@ def local_outlier_factor(
     factors = spread.select(*keys, "part", "value", "c", "n", "own").groupBy(*keys, "part").applyInPandas(
         lambda pdf: _lof_block(pdf, keys, neighbours), schema
     )
-    return df.select(*keys, "ts", "value").join(factors, [*keys, "value"]).select(*keys, "ts", "score")
+    return attach(rows, factors, [*keys, "value"]).select(*keys, "ts", "score")
 
 
 def predict(scores: DataFrame, threshold: Column | float) -> DataFrame:

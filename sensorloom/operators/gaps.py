@@ -34,28 +34,15 @@ def gap_sets(bounds: DataFrame, gap_sizes: Sequence[int], seeds: DataFrame) -> D
     )
 
 
-def _candidates(room: Column, wanted: int, excluded: int, *labels) -> Column:
-    """Positions below ``room`` in random order, enough of them for sure.
+def _candidates(room: Column, excluded: int, *labels) -> Column:
+    """Different positions below ``room`` in random order, enough of them for sure.
 
-    Everything accepted so far rules out at most ``excluded`` positions.  Short
-    series get the whole random order; on long ones at most one draw in eight
-    is ruled out, so twice the wanted number and 64 more are plenty.
+    ``excluded`` is one more than all but the last position taken can rule out: of
+    that many different ones at least one is left for the last.
     """
-    whole = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0).cast("bigint"), room - 1),
-            lambda i: F.struct(chance.uniform(*labels, i).alias("u"), i.alias("i")),
-        )
-    )
-    drawn = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(2 * wanted + 63).cast("bigint")),
-        lambda j: F.floor(chance.uniform(*labels, "draw", j) * room).cast("bigint"),
-    )
-    return (
-        F.when(room <= 0, F.array().cast("array<bigint>"))
-        .when(room <= 8 * excluded, F.transform(whole, lambda s: s["i"]))
-        .otherwise(drawn)
-    )
+    some = F.sequence(F.lit(0).cast("bigint"), F.least(room, F.lit(excluded).cast("bigint")) - 1)
+    order = F.transform(some, lambda j: chance.permuted(j, room, *labels))
+    return F.when(room <= 0, F.array().cast("array<bigint>")).otherwise(order)
 
 
 def _accept(candidates: Column, wanted: int, clashes) -> Column:
@@ -70,29 +57,15 @@ def _accept(candidates: Column, wanted: int, clashes) -> Column:
     )
 
 
-def _complete(taken: Column, wanted: int, room: Column, excluded: int) -> Column:
-    short = (room > 8 * excluded) & (F.size(taken) < wanted)
-    failure = F.raise_error(F.lit("too few gap positions drawn")).cast("array<bigint>")
-    return F.when(short, failure).otherwise(F.array_sort(taken))
-
-
 def _block_starts(sets: DataFrame, size: int, wanted: int, apart: int) -> DataFrame:
-    excluded = max(1, wanted - 1) * (2 * (size + apart) - 1) + 1
-    room = F.col("n") - (size - 1)
-    labels = ("gap", F.col("seed"), F.col("series"), size)
+    excluded = (wanted - 1) * (2 * (size + apart) - 1) + 1
     wide = size + apart
-    return (
-        sets.withColumn("_cand", _candidates(room, wanted, excluded, *labels))
-        .withColumn(
-            "_taken",
-            _accept(
-                F.col("_cand"), wanted,
-                lambda taken, c: F.exists(taken, lambda s: (c < s + wide) & (s < c + wide)),
-            ),
-        )
-        .withColumn("starts", _complete(F.col("_taken"), wanted, room, excluded))
-        .drop("_cand", "_taken")
+    # Candidates become a column once: each is a chain of hashes.
+    placed = sets.withColumn("_cand", _candidates(F.col("n") - (size - 1), excluded, "gap", F.col("seed"), F.col("series"), size))
+    taken = _accept(
+        F.col("_cand"), wanted, lambda taken, c: F.exists(taken, lambda s: (c < s + wide) & (s < c + wide))
     )
+    return placed.withColumn("starts", F.array_sort(taken)).drop("_cand")
 
 
 def _as_gaps(sets: DataFrame, step: int) -> DataFrame:
@@ -103,7 +76,11 @@ def _as_gaps(sets: DataFrame, step: int) -> DataFrame:
 
 
 def block_gaps(sets: DataFrame, gap_sizes: Sequence[int], num_gaps: int, *, step: int = HOUR, apart: int = 0) -> DataFrame:
-    """``num_gaps`` blocks per set that do not overlap, in random places."""
+    """``num_gaps`` blocks per set that do not overlap, in random places.
+
+    Places are tried in a random order of all of them; a series too short for so
+    many gets fewer.
+    """
     parts = []
     for size in gap_sizes:
         chosen = _block_starts(sets.where(F.col("gap_size") == size), size, num_gaps, apart)
@@ -131,15 +108,13 @@ def hybrid_gaps(
         chosen = _block_starts(sets.where(F.col("gap_size") == size), size, blocks, 1)
         excluded = blocks * (size + 2) + (points - 1) * 3 + 1
         labels = ("point", F.col("seed"), F.col("series"), size)
-        chosen = chosen.withColumn("_cand", _candidates(F.col("n"), points, excluded, *labels))
+        chosen = chosen.withColumn("_cand", _candidates(F.col("n"), excluded, *labels))
         near_block = lambda c: F.exists("starts", lambda s: (c >= s - 1) & (c <= s + size))
         taken = _accept(
             F.col("_cand"), points,
             lambda taken, c: near_block(c) | F.exists(taken, lambda p: F.abs(p - c) <= 1),
         )
-        chosen = chosen.withColumn("_taken", taken).withColumn(
-            "_points", _complete(F.col("_taken"), points, F.col("n"), excluded)
-        )
+        chosen = chosen.withColumn("_points", F.array_sort(taken))
         windows = F.concat(
             F.transform("starts", lambda s: F.struct(s.alias("s"), F.lit(size).cast("bigint").alias("l"))),
             F.transform("_points", lambda s: F.struct(s.alias("s"), F.lit(1).cast("bigint").alias("l"))),
@@ -147,7 +122,7 @@ def hybrid_gaps(
         parts.append(
             chosen.withColumn("_w", F.explode(windows)).withColumns(
                 {"start_pos": F.col("_w.s"), "len": F.col("_w.l")}
-            ).drop("_w", "_cand", "_taken", "_points", "starts")
+            ).drop("_w", "_cand", "_points", "starts")
         )
     return _as_gaps(reduce(DataFrame.unionByName, parts), step)
 

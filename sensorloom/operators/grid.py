@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,12 @@ def last_readings(
 ) -> DataFrame:
     """Readings laid out by ``(series, blk)``, the last one of each timestamp.
 
+    ``tie`` says which is last; without that column it is the largest value.
     Duplicates fall to a look at the next row; the sort serves later windows too.
     """
     order = [tie] if tie in obs.columns else []
     placed = in_blocks(obs.select("series", "ts", "value", *order), step, rows)
-    following = F.lead("ts").over(Window.partitionBy("series", "blk").orderBy("ts", *order))
+    following = F.lead("ts").over(Window.partitionBy("series", "blk").orderBy("ts", *(order or ["value"])))
     return (
         placed.withColumn("_next", following)
         .where(F.col("_next").isNull() | (F.col("_next") > F.col("ts")))
@@ -103,7 +106,7 @@ def skeleton(bounds: DataFrame, step: int, rows: int = BLOCK_ROWS) -> DataFrame:
 
 def floor_slots(obs: DataFrame, step: int, *, tie: str = "event_id") -> DataFrame:
     """Cut timestamps to their slot and keep the first reading of each slot."""
-    order = F.struct("ts", tie) if tie in obs.columns else F.struct("ts")
+    order = F.struct("ts", tie) if tie in obs.columns else F.struct("ts", "value")
     return (
         obs.withColumn("_slot", floor_ts("ts", step))
         .groupBy("series", "_slot")
@@ -283,6 +286,10 @@ def mask_times(gaps: DataFrame, step: int, keys: Sequence[str] = SERIES) -> Data
     ).distinct()
 
 
+# Stretches whose series are counted in the first and in any later round.
+FIRST_LOOK, LOOK = 64, 1024
+
+
 def best_block(obs: DataFrame, step: int, *, w_col: float = 0.6, w_row: float = 0.4) -> DataFrame:
     """Block of time and series without holes that covers most.
 
@@ -290,68 +297,110 @@ def best_block(obs: DataFrame, step: int, *, w_col: float = 0.6, w_row: float =
     candidate; the series complete in it count.  Score: ``columns^w_col *
     rows^w_row``; ties go to the smaller k, then the earlier stretch.  Result:
     one row per series of the winning block.
+
+    No more series can be complete than are observed at the stretch's poorest slot.
+    Stretches are looked at from the best such bound down, some at a time, until no
+    bound reaches the best score found.
     """
-    counts = cut(observed_counts(obs, step))
-    # Only counts that occur change the stretches; k is the smallest number that
-    # gives the same ones.  At most one level per series.
-    seen = counts.where("n_observed > 0").select("n_observed").distinct()
-    levels = seen.agg(F.sort_array(F.collect_list("n_observed")).alias("_c")).select(
-        F.transform(
-            "_c", lambda c, i: F.struct((F.coalesce(F.get("_c", i - 1), F.lit(0)) + 1).alias("k"), c.alias("c"))
-        ).alias("_levels")
-    )
-    keys = ("series", "k")
-    spread = counts.join(F.broadcast(levels)).select(
-        F.lit("all").alias("series"), "ts", F.explode(F.filter("_levels", lambda x: x["c"] <= F.col("n_observed"))["k"]).alias("k")
-    )
-    blocked = in_blocks(spread, step, keys=keys)
-    # Rows of a level are its covered slots: a stretch ends where time jumps.
-    jumped = carry(blocked, {"_prev": ("before", F.col("ts"))}, keys=keys)
-    opens = F.col("_prev").isNull() | (micros("ts") - micros("_prev") > step * MICROS)
-    placed = carry(jumped, {"run_start": ("last", F.when(opens, F.col("ts")))}, keys=keys)
-    spans = (
-        placed.groupBy("k", "run_start")
-        .agg(F.max("ts").alias("run_end"), F.count(F.lit(1)).alias("run_len"))
-        .groupBy("run_start", "run_end", "run_len")
-        .agg(F.min("k").alias("k"))
-    )
-    # A series is complete in a stretch when one of its own observed segments
-    # covers it; segments and stretches meet through the stretch's first slot.
-    own = segment_table(regular_grid(obs, step)).select("series", "segment", "segment_end")
-    members = _cover(spans, own, step)
-    ranked = members.groupBy("k", "run_start", "run_end", "run_len").agg(F.count("series").alias("n_series"))
-    ranked = ranked.withColumn(
-        "score", F.pow(F.col("n_series"), F.lit(w_col)) * F.pow(F.col("run_len"), F.lit(w_row))
+    spark = obs.sparkSession
+    own = cut(segment_table(regular_grid(obs, step)).select("series", "segment", "segment_end"))
+    bound = F.pow(F.col("n"), F.lit(w_col)) * F.pow(F.col("run_len"), F.lit(w_row))
+    spans = cut(stretches(observed_counts(obs, step), step).withColumn("bound", F.round(bound, 9)))
+    order = [F.col("bound").desc(), "k", "run_start"]
+    best, seen, look = None, 0, FIRST_LOOK
+    while True:
+        # At most a thousand rows: the stretches of this round, and the first of the next one.
+        page = spans.orderBy(*order).offset(seen).limit(look + 1).collect()
+        if not page or (best is not None and page[0]["bound"] < best[0]):
+            break
+        asked = spark.createDataFrame(page[:look], spans.schema)
+        covered = own.join(F.broadcast(asked), (F.col("segment") <= F.col("run_start")) & (F.col("run_end") <= F.col("segment_end")))
+        counted = covered.groupBy("k", "run_start", "run_end", "run_len").agg(F.count(F.lit(1)).alias("n_series"))
+        score = F.pow(F.col("n_series"), F.lit(w_col)) * F.pow(F.col("run_len"), F.lit(w_row))
+        # Score alone decides first; comparing rounded keeps equal blocks equal.
+        ranked = counted.withColumn("score", score).withColumn("_r", F.round("score", 9))
+        top = ranked.orderBy(F.col("_r").desc(), "k", "run_start").first()
+        if top is not None:
+            found = (top["_r"], -top["k"], top["run_start"], top)
+            if best is None or found[:2] > best[:2] or (found[:2] == best[:2] and found[2] < best[2]):
+                best = found
+        seen, look = seen + len(page[:look]), LOOK
+    if best is None:
+        return own.where("false").selectExpr(
+            "series", "segment AS run_start", "segment_end AS run_end", "0L AS run_len", "0L AS n_series", "0D AS score"
+        )
+    won = spark.createDataFrame([best[3]], ranked.schema).drop("k", "_r")
+    inside = own.join(F.broadcast(won), (F.col("segment") <= F.col("run_start")) & (F.col("run_end") <= F.col("segment_end")))
+    return inside.select("series", "run_start", "run_end", "run_len", "n_series", "score")
+
+
+def stretches(counts: DataFrame, step: int, *, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Longest stretches of slots with at least k observed series, for every k: ``k, n, run_start, run_end, run_len``.
+
+    ``n`` is the number at the poorest slot of a stretch, ``k`` the smallest one that
+    gives the same stretch.  Only slots where ``counts (ts, n_observed)`` changes
+    matter.  A stack of growing numbers finds the stretches that begin and end
+    within a block of changes; of the others, only the changes lower than all before
+    or all behind them in their block can be the poorest or the border, and one more
+    stack goes over those alone.
+    """
+    size = step * MICROS
+    line = in_blocks(counts.withColumn("series", F.lit("all")), step, rows)
+    changes = carry(line, {"_before": ("before", F.col("n_observed"))})
+    changes = changes.where(F.col("_before").isNull() | (F.col("_before") != F.col("n_observed")))
+    last = counts.agg(F.max("ts").alias("last"))
+    ends = carry(changes.select("series", "blk", "ts", "n_observed"), {"_next": ("after", F.col("ts"))})
+    changes = ends.join(F.broadcast(last)).select(
+        "blk", micros("ts").alias("s"), F.coalesce(micros("_next") - size, micros("last")).alias("e"), F.col("n_observed").alias("n")
     )
-    # Score alone decides first; comparing rounded keeps equal blocks equal.
-    best = ranked.agg(
-        F.max_by(
-            F.struct("k", "run_start", "run_end", "run_len", "n_series", "score"),
-            F.struct(F.round("score", 9), -F.col("k"), -micros("run_start")),
-        ).alias("b")
-    ).select("b.*")
-    return members.join(F.broadcast(best), ["k", "run_start", "run_end", "run_len"]).select(
-        "series", "run_start", "run_end", "run_len", "n_series", "score"
+    schema = "s bigint, e bigint, n bigint, k bigint"
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s")
+        found = pd.DataFrame(_closed(pdf, size, [], whole=False), columns=["s", "e", "n", "k"])
+        n = pdf["n"].to_numpy()
+        low = (np.minimum.accumulate(n) == n) | (np.minimum.accumulate(n[::-1])[::-1] == n)
+        # Changes that the whole line needs have no k yet.
+        return pd.concat([found, pdf.loc[low, ["s", "e", "n"]].assign(k=-1)])
+
+    near = cut(changes.groupBy("blk").applyInPandas(within, schema))
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list = []
+        end = None
+        for pdf in batches:
+            yield pd.DataFrame(_closed(pdf, size, stack, whole=True), columns=["s", "e", "n", "k"])
+            end = pdf["e"].iloc[-1] if len(pdf) else end
+        if stack:
+            rest = [(left, end, n, (stack[i - 1][1] if i else 0) + 1) for i, (left, n, _) in enumerate(stack)]
+            yield pd.DataFrame(rest, columns=["s", "e", "n", "k"])
+
+    borders = near.where("k = -1").drop("k").repartition(1).sortWithinPartitions("s")
+    found = near.where("k > 0").unionByName(borders.mapInPandas(across, schema)).where("n > 0")
+    return found.select(
+        "k", "n", F.timestamp_micros("s").alias("run_start"), F.timestamp_micros("e").alias("run_end"),
+        (floor_div(F.col("e") - F.col("s"), size) + 1).alias("run_len"),
     )
 
 
-def _cover(spans: DataFrame, own: DataFrame, step: int, rows: int = 4096) -> DataFrame:
-    """Pairs (stretch, series) where a segment of the series covers the stretch.
+def _closed(changes: pd.DataFrame, size: int, stack: list, *, whole: bool) -> list[tuple]:
+    """Stretches that end at one of ``changes``: ``(start, end, n, k)``.
 
-    Both sides are cut into time cells, so the range condition becomes an equal
-    join on the cell of the stretch's start.
+    ``stack`` holds ``[start, n, end of the last such slots]`` with growing n.  Stretches
+    without a poorer slot on the left end are given only where the line is ``whole``.
     """
-    size = step * MICROS * rows
-    low, high = floor_div(micros("segment"), size), floor_div(micros("segment_end"), size)
-    cells = expand(own.withColumn("_low", low), high - low + 1, "_i").withColumn(
-        "cell", F.col("_low") + F.col("_i")
-    )
-    starts = spans.withColumn("cell", floor_div(micros("run_start"), size))
-    return (
-        starts.join(cells, "cell")
-        .where("segment <= run_start and run_end <= segment_end")
-        .select("k", "run_start", "run_end", "run_len", "series")
-    )
+    out = []
+    for s, e, n in zip(changes["s"].tolist(), changes["e"].tolist(), changes["n"].tolist(), strict=True):
+        left = stack[-1][2] + size if stack else s
+        while stack and stack[-1][1] > n:
+            left, most, _ = stack.pop()
+            if stack or whole:
+                out.append((left, s - size, most, max(stack[-1][1] if stack else 0, n) + 1))
+        if stack and stack[-1][1] == n:
+            stack[-1][2] = e
+        else:
+            stack.append([left, n, e])
+    return out
 
 
 def positions(df: DataFrame, keys: Sequence[str] = SERIES, order: str = "ts") -> DataFrame:

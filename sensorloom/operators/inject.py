@@ -100,7 +100,8 @@ def inject_one_of_each(cases: DataFrame, seed: int) -> tuple[DataFrame, DataFram
     return apply(cases, sizes, table, seed), table
 
 
-def _points(table: DataFrame) -> DataFrame:
+def points_of(table: DataFrame) -> DataFrame:
+    """One row per position of every anomaly."""
     return table.withColumn(
         "pos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))
     )
@@ -108,7 +109,7 @@ def _points(table: DataFrame) -> DataFrame:
 
 def apply(cases: DataFrame, sizes: DataFrame, table: DataFrame, seed: int) -> DataFrame:
     """Put the anomalies of ``table`` into ``cases``."""
-    points = _points(table)
+    points = points_of(table)
     kind, up = F.col("kind"), F.col("up")
     draw = chance.normal(seed, "noise", F.col("series"), F.col("j"), F.col("pos"))
     # The first three kinds commute with themselves, so each is one number per
@@ -146,7 +147,7 @@ def _drift(rows: DataFrame, table: DataFrame, seed: int) -> DataFrame:
     groups = clustered.groupBy("series", "cluster").agg(
         F.array_sort(F.collect_list(F.struct("j", "start", "len", "up"))).alias("drifts")
     )
-    where = _points(clustered).select("series", "cluster", "pos").distinct()
+    where = points_of(clustered).select("series", "cluster", "pos").distinct()
     values = (
         rows.select("series", "pos", "value", "std")
         .join(where, ["series", "pos"])

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import SERIES, carry, expand, floor_div, run_table, runs
-from sensorloom.functions.stats import quantiles, value_cell
+from sensorloom.functions.blocks import SERIES, attach, carry, expand, floor_div, run_table, runs
+from sensorloom.functions.stats import beside, quantiles, rank_blocks
 from sensorloom.session import cut
 
 CASE = ("detector", "series")
@@ -28,15 +28,11 @@ def score_counts(scored: DataFrame, keys: Sequence[str] = CASE) -> DataFrame:
     """Distinct scores with their positives ``p`` and negatives ``q``, the
     running counts up to and including them, and the totals."""
     keys = list(keys)
-    span = scored.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     counts = scored.groupBy(*keys, "score").agg(
         F.sum("label").cast("bigint").alias("p"), F.sum(1 - F.col("label")).cast("bigint").alias("q")
     )
-    cells = counts.join(span, keys).withColumn(
-        "blk", value_cell(F.col("score"), F.col("_lo"), F.col("_hi"))
-    ).drop("_lo", "_hi")
     return carry(
-        cells,
+        rank_blocks(counts, keys, ["score"]),
         {"cp": ("sum", F.col("p")), "cq": ("sum", F.col("q")),
          "tp": ("total", F.col("p")), "tq": ("total", F.col("q"))},
         order="score", keys=keys,
@@ -124,9 +120,10 @@ def volumes(
 
     spans = cut(_growing_runs(found, tolerance))
     near = _near_rows(found, tolerance, sizes.groupBy("series").agg(F.max("n").alias("n")))
+    reached = cut(scored.join(near, ["series", "pos"]).withColumn("_pb", floor_div(F.col("pos"), POS_BLOCK)))
+    # By stretch of positions and score: rows of one frequent score stay spread out.
     rows = (
-        scored.join(near, ["series", "pos"])
-        .join(levels.select(*keys, "score", "i"), [*keys, "score"])
+        attach(reached, levels.select(*keys, "score", "i"), [*keys, "score"], "_pb")
         .withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("d_min") * 2), F.col("tolerance"))))
     )
     soft = F.least(F.lit(1.0), F.col("label") + F.aggregate(
@@ -380,7 +377,7 @@ def detection_metrics(scored: DataFrame, labels: DataFrame, keys: Sequence[str]
     found = cut(label_runs(labels))
     tolerance = cut(tolerances(labels, found))
     half = (F.col("score") - F.col("_lo")) > 0.5 * (F.col("_hi") - F.col("_lo"))
-    marked = joined.join(span, keys).withColumn("mark", half)
+    marked = beside(joined, span, keys, count=span.count()).withColumn("mark", half)
     predicted = cut(events(marked, keys))
     truth = span.where("_positive > 0").select(*keys).join(
         found.select("series", F.col("s").alias("start"), (F.col("e") + 1).alias("stop")), "series"

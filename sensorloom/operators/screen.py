@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import chance
-from sensorloom.functions.stats import finite, median_and_mad
+from sensorloom.functions.stats import beside, finite, median_and_mad
 from sensorloom.operators.detect import MAD_TO_SIGMA
 from sensorloom.session import cut
 
@@ -23,13 +23,14 @@ AOM_BUCKET_SIZE = 5
 METHODS = ("AVG", "MAX", "AOM")
 
 
-def normalise(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+def normalise(scores: DataFrame, keys: Sequence[str], *, ready: bool = False) -> DataFrame:
     """Add ``norm``: min-max scaled per group, 0 where all scores are equal."""
+    scores = scores if ready else cut(scores)
     span = scores.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     scaled = F.when(
         F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     ).otherwise(F.lit(0.0))
-    return scores.join(span, list(keys)).withColumn("norm", scaled).drop("_lo", "_hi")
+    return beside(scores, span, keys).withColumn("norm", scaled).drop("_lo", "_hi")
 
 
 def thresholds(
@@ -47,7 +48,7 @@ def thresholds(
 def flag(scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K, *, ready: bool = False) -> DataFrame:
     """Add ``threshold`` and ``flag``: finite and strictly above the threshold."""
     scores = scores if ready else cut(scores)
-    return scores.join(thresholds(scores, keys, k, ready=True), list(keys)).withColumn(
+    return beside(scores, thresholds(scores, keys, k, ready=True), keys).withColumn(
         "flag", F.coalesce(finite(F.col("score")) & (F.col("score") > F.col("threshold")), F.lit(False))
     )
 
@@ -88,14 +89,13 @@ def consensus(
     method: str = "AVG",
     *,
     weights: DataFrame | None = None,
-    detectors: Sequence[str] | None = None,
     seed: int = 13,
 ) -> DataFrame:
     """Fuse the normalised scores of all detectors of a row into ``score``.
 
     ``AVG`` is a mean, weighted when ``weights (detector, ..., weight)`` is
-    given; ``MAX`` a maximum; ``AOM`` the mean over random buckets of detectors
-    of the bucket's maximum.
+    given; ``MAX`` a maximum; ``AOM`` the mean over random buckets of the detectors
+    that scored the group of ``keys``, of the bucket's maximum.
     """
     method = method.upper()
     if method not in METHODS:
@@ -104,44 +104,38 @@ def consensus(
     if method == "MAX":
         return normed.groupBy(*row).agg(F.max("norm").alias("score"))
     if method == "AOM":
-        return _average_of_maxima(normed, row, detectors, seed)
+        return _average_of_maxima(normed, list(keys), seed)
     if weights is None:
         return normed.groupBy(*row).agg(F.avg("norm").alias("score"))
     on = [c for c in weights.columns if c != "weight"]
-    return normed.join(weights, on).groupBy(*row).agg(
+    return beside(normed, weights, on).groupBy(*row).agg(
         F.try_divide(F.sum(F.col("weight") * F.col("norm")), F.sum("weight")).alias("score")
     )
 
 
-def bucket_table(detectors: Sequence[str], spark, seed: int = 13) -> DataFrame:
-    """``bucket, detector`` of the random buckets."""
-    size = min(AOM_BUCKET_SIZE, len(detectors))
-    names = spark.createDataFrame([(d,) for d in sorted(detectors)], "detector string")
-    drawn = spark.range(AOM_BUCKETS).withColumnRenamed("id", "bucket").join(F.broadcast(names))
-    order = Window.partitionBy("bucket").orderBy(
-        chance.uniform(seed, "bucket", F.col("bucket"), F.col("detector")), "detector"
-    )
-    return drawn.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= size).drop("_k")
+def buckets_of(names: Column, seed: int = 13) -> Column:
+    """Random buckets of the detectors in the array ``names``."""
 
+    def bucket(b: Column) -> Column:
+        drawn = F.transform(names, lambda d: F.struct(chance.whole(seed, "bucket", b, d).alias("u"), d.alias("d")))
+        return F.slice(F.transform(F.array_sort(drawn), lambda s: s["d"]), 1, AOM_BUCKET_SIZE)
 
-def _average_of_maxima(
-    normed: DataFrame, row: Sequence[str], detectors: Sequence[str] | None, seed: int
-) -> DataFrame:
-    if not detectors:
-        raise ValueError("AOM needs the detector names")
-    # At most 20 buckets of 5 names: one small row next to every group.
-    buckets = bucket_table(detectors, normed.sparkSession, seed)
-    lists = buckets.groupBy("bucket").agg(F.collect_set("detector").alias("members"))
-    packed = lists.agg(F.collect_list("members").alias("buckets"))
-    by_row = normed.groupBy(*row).agg(
+    return F.transform(F.sequence(F.lit(0), F.lit(AOM_BUCKETS - 1)), bucket)
+
+
+def _average_of_maxima(normed: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    by_row = normed.groupBy(*keys, "ts").agg(
         F.map_from_entries(F.collect_list(F.struct("detector", "norm"))).alias("m")
     )
+    # One row of at most 20 buckets of 5 names per group.
+    names = normed.select(*keys, "detector").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("detector")).alias("names"))
+    buckets = names.select(*keys, buckets_of(F.col("names"), seed).alias("buckets"))
     peaks = F.filter(
-        F.transform("buckets", lambda b: F.array_max(F.transform(b, lambda d: F.element_at(F.col("m"), d)))),
+        F.transform("buckets", lambda b: F.array_max(F.transform(b, lambda d: F.try_element_at(F.col("m"), d)))),
         lambda x: x.isNotNull(),
     )
     mean: Column = F.aggregate(peaks, F.lit(0.0), lambda a, x: a + x) / F.size(peaks)
-    return by_row.join(F.broadcast(packed)).select(*row, mean.alias("score"))
+    return beside(by_row, buckets, keys).select(*keys, "ts", mean.alias("score"))
 
 
 def remove_flagged(obs: DataFrame, flags: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.blocks import HOUR, MICROS, SERIES, attach, micros
+from sensorloom.functions.stats import beside
 from sensorloom.operators.grid import longest_run, observed_segments, positions
 
 
@@ -31,7 +32,7 @@ def enough_observed(obs: DataFrame, min_points: int) -> DataFrame:
 def _only(rows: DataFrame, good: DataFrame) -> DataFrame:
     if "blk" in rows.columns:
         return attach(rows, good.select("series"))
-    return rows.join(good.select("series"), "series", "left_semi")
+    return beside(rows, good.select("series"), SERIES)
 
 
 def rows_before(rows: DataFrame, starts: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def scale(rows: DataFrame, fitted: DataFrame, keys: Sequence[str] = SERIES) -> D
 
 
 def _with(rows: DataFrame, fitted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return attach(rows, fitted, keys) if "blk" in rows.columns else rows.join(fitted, list(keys))
+    return attach(rows, fitted, keys) if "blk" in rows.columns else beside(rows, fitted, keys)
 
 
 def unscale(rows: DataFrame, fitted: DataFrame, column: str = "value", keys: Sequence[str] = SERIES) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import chance, moments
 from sensorloom.functions.blocks import BLOCK_ROWS, HOUR, MICROS, attach, halo, micros
+from sensorloom.functions.stats import beside
 from sensorloom.operators.detect import by_block
 
 SEGMENT = ("series", "segment")
@@ -48,22 +49,27 @@ def capped_stride(n: Column, most: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / F.lit(most))).cast("bigint")
 
 
+# Parts of a group whose first windows are found apart.
+PARTS = 64
+
+
 def sample_windows(
     windows: DataFrame, most: int, seed: int, *, keys: Sequence[str] = ("series",), order: str = "ts"
 ) -> DataFrame:
-    """At most ``most`` windows per group, drawn by a seeded hash.
+    """``most`` windows per group, or all if there are fewer, drawn by a seeded hash.
 
-    Windows first pass a hash threshold that lets through a little more than
-    ``most``, so the ranking sorts a bounded number of rows.
+    The windows with the smallest hashes are kept, first of every part of a group
+    (and, before the shuffle, of every task), then of the parts' ones: no task holds
+    more of a group than a part and ``most`` windows of each part.
     """
-    sizes = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = windows.join(sizes, list(keys)).withColumn(
-        "_u", chance.uniform(seed, "window", *[F.col(k) for k in keys], F.col(order))
+    drawn = windows.withColumns(
+        {"_u": chance.whole(seed, "window", *[F.col(k) for k in keys], F.col(order)),
+         "_part": F.pmod(F.xxhash64(order), F.lit(PARTS))}
     )
-    near = float(most + 10 * most**0.5 + 50)
-    some = drawn.where((F.col("_n") <= most) | (F.col("_u") * F.col("_n") < near))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_u", order))
-    return some.withColumn("_k", rank).where(F.col("_k") <= most).drop("_n", "_u", "_k")
+    for group in ([*keys, "_part"], list(keys)):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy("_u", order))
+        drawn = drawn.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
+    return drawn.drop("_u", "_part")
 
 
 def _fold(
@@ -181,7 +187,7 @@ def triplets(
     table = window_table(df, width, keys=keys, step=step, rows=rows, back=reach)
     stats = df.groupBy(*keys).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_std"))
     labels = (seed, *[F.col(k) for k in keys], F.col("start_pos"))
-    drawn = table.join(stats, list(keys)).withColumns(
+    drawn = beside(table, stats, keys).withColumns(
         {**window_draws(width, *labels), "_shift": chance.integer(1, reach + 1, *labels, "shift").cast("int")}
     )
     led = F.concat("before", "w")

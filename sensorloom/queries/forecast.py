@@ -8,7 +8,7 @@ from sensorloom.functions.blocks import DAY
 from sensorloom.operators import forecast, grid, registry, report, splits
 from sensorloom.plans import cleaning, comparison
 from sensorloom.queries import views as V
-from sensorloom.queries.detect import RUN, ship_run
+from sensorloom.queries.detect import RUN, STRETCHES, ship_stretches
 from sensorloom.queries.grid import _BEST
 from sensorloom.queries.impute import RESULTS, benchmark
 from sensorloom.queries.registry import query
@@ -150,26 +150,32 @@ def g22(spark, sf):
     return splits.covariates(V.hourly(spark, sf))
 
 
-def _run_rows(spark, sf):
-    return cut(ship_run(spark, sf).drop("segment"))
+def _stretches(spark, sf):
+    return cut(ship_stretches(spark, sf))
 
 
 @query("D8_trend_band")
 def d8(spark, sf):
-    return forecast.trend_band(_run_rows(spark, sf), step=DAY)
+    return forecast.trend_band(_stretches(spark, sf), keys=cleaning.SEGMENT, step=DAY)
 
 
 @query("D9_forecast_error")
 def d9(spark, sf):
-    return forecast.forecast_error(_run_rows(spark, sf), step=DAY)
+    return forecast.forecast_error(_stretches(spark, sf), keys=cleaning.SEGMENT, step=DAY)
 
 
-@query("D11_all_detectors")
+_LENGTHS = ", ".join(f"('{name}', {d.min_len})" for name, d in registry.DETECTORS.items())
+
+
+@query(
+    "D11_all_detectors",
+    STRETCHES + f""" SELECT detector, series, segment, count(*) AS n_scored FROM run
+    JOIN (VALUES {_LENGTHS}) m(detector, least) ON segment_len >= least GROUP BY 1, 2, 3""",
+)
 def d11(spark, sf):
-    rows = cut(ship_run(spark, sf))
-    sizes = rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    scores = cleaning.score_all(cut(rows.join(sizes, "series")), ["all"], keys=cleaning.SEGMENT, step=DAY, size="n")
-    return scores.groupBy("detector", "series").agg(F.count("score").alias("n_scored"))
+    rows = cut(grid.observed_segments(V.ship_grid(spark, sf)))
+    scores = cleaning.score_all(rows, ["all"], keys=cleaning.SEGMENT, step=DAY, size="segment_len")
+    return scores.groupBy("detector", "series", "segment").agg(F.count("score").alias("n_scored"))
 
 
 def _backtest(spark, sf, names):

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.functions.blocks import DAY, HOUR
+from sensorloom.functions.blocks import DAY, FIVE_MINUTES, HOUR, attach, floor_ts
 from sensorloom.operators import grid
 from sensorloom.queries import views as V
 from sensorloom.queries.registry import query
 
 
+_HALF_SLOT = 150
+
+
 @query(
     "G1_regular_grid",
-    f"WITH {V.OBS}, {V.SLOTS}, {V.GRID5} SELECT series, pos, ts, round(value, 6) AS value FROM grid5",
+    f"""WITH raw AS (SELECT event_type AS series, {V.floor_sql('ts', _HALF_SLOT)} AS ts, value, event_id FROM events),
+    latest AS (SELECT series, ts, arg_max(value, event_id) AS value FROM raw GROUP BY 1, 2),
+    placed AS ({V.grid_sql('latest', '5 MINUTE')}) SELECT series, pos, ts, round(value, 6) AS value FROM placed""",
 )
 def g1(spark, sf):
-    return V.grid5(spark, sf).select("series", "pos", "ts", "value")
+    # Times cut to half a slot: some readings share one, and every second one is off the grid.
+    raw = V.obs(spark, sf).withColumn("ts", floor_ts("ts", _HALF_SLOT))
+    return grid.regular_grid(raw, FIVE_MINUTES).select("series", "pos", "ts", "value")
 
 
 @query(
@@ -79,7 +86,7 @@ _STEPPED = "stepped AS (SELECT series, ts, floor(value / 10) AS value FROM hourl
 def g6(spark, sf):
     stepped = V.hourly(spark, sf).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
     kept, counts = grid.drop_repeats(stepped)
-    return kept.join(counts, "series").select("series", "ts", "value", "n_repeats")
+    return attach(kept, counts).select("series", "ts", "value", "n_repeats")
 
 
 def hourly_blocks(spark, sf):

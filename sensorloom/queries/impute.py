@@ -106,19 +106,57 @@ def some_seeds(spark):
     return G.seed_table(spark, n_runs=4, start=42)
 
 
-# Three random blocks per set: the first draw, then twice the first draw that
-# does not overlap the ones before.
+def _hash(kind: str, r: str, x: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{kind}', seed, series, gap_size, {r}, {x})), 1, 13))::BIGINT"
+
+
+def _order(kind: str, room: str, count: str) -> str:
+    """The first ``count`` of the places below ``room`` in their random order, on a grid of ``a`` by ``b``."""
+
+    def mixed(v: str) -> str:
+        return f"""list_reduce([{v}, 0, 1, 2, 3], lambda x, r: CASE WHEN r % 2 = 0
+          THEN ((x // b + {_hash(kind, 'r', 'x % b')}) % a) * b + x % b
+          ELSE (x // b) * b + (x % b + {_hash(kind, 'r', 'x // b')}) % b END)"""
+
+    return f"""list_transform(range(0, least({room}, {count})), lambda j: list_reduce(list_prepend({mixed('j')}, range(24)),
+      lambda y, step: CASE WHEN y < {room} THEN y ELSE {mixed('y')} END))"""
+
+
+def _grid(name: str, source: str, room: str) -> str:
+    """``source`` with the sides ``a`` and ``b`` of the grid of its places."""
+    return f"""{name} AS (SELECT *, ({room} + a - 1) // a AS b FROM (
+      SELECT * EXCLUDE (a, b), ceil(sqrt({room}))::BIGINT AS a FROM (SELECT *, 0 AS a, 0 AS b FROM {source})))"""
+
+
+def _taken(candidates: str, wanted: str, clash: str) -> str:
+    """Candidates ``c[1]`` in order, unless ``clash`` with those ``taken`` before."""
+    return f"""list_reduce(list_prepend([]::BIGINT[], list_transform({candidates}, lambda c: [c])), lambda taken, c:
+      CASE WHEN len(taken) >= {wanted} OR {clash} THEN taken ELSE list_concat(taken, c) END)"""
+
+
+def _near(apart: int) -> str:
+    return f"len(list_filter(taken, lambda s: c[1] < s + gap_size + {apart} AND s < c[1] + gap_size + {apart})) > 0"
+
+
 _ROOM = "(n - gap_size + 1)"
-_DRAWN = f"""drawn AS (SELECT *, floor(('0x' || substr(md5(concat_ws('|', 'gap', seed, series, gap_size, 'draw', j)), 1, 8))::BIGINT
-        / 4294967296.0 * {_ROOM})::BIGINT AS c FROM (SELECT *, unnest(range(0, 70)) AS j FROM sets)),
-    one AS (SELECT series, gap_size, seed, run, first_ts, c AS a FROM drawn WHERE j = 0),
-    two AS (SELECT o.*, arg_min(d.c, d.j) AS b FROM one o JOIN drawn d ON d.series = o.series AND d.gap_size = o.gap_size AND d.seed = o.seed
-      AND abs(d.c - o.a) >= o.gap_size GROUP BY o.series, o.gap_size, o.seed, o.run, o.first_ts, o.a),
-    three AS (SELECT o.*, arg_min(d.c, d.j) AS c FROM two o JOIN drawn d ON d.series = o.series AND d.gap_size = o.gap_size AND d.seed = o.seed
-      AND abs(d.c - o.a) >= o.gap_size AND abs(d.c - o.b) >= o.gap_size
-      GROUP BY o.series, o.gap_size, o.seed, o.run, o.first_ts, o.a, o.b),
+# Three random blocks per set.
+_DRAWN = f"""{_grid('spaced', 'sets', _ROOM)},
     random_gaps AS (SELECT series, gap_size, seed, run, pos AS gap_id, pos AS start_pos, first_ts + pos * INTERVAL 1 HOUR AS start_ts, gap_size AS len
-      FROM (SELECT *, unnest([a, b, c]) AS pos FROM three))"""
+      FROM (SELECT *, unnest({_taken(_order('gap', _ROOM, '2 * (2 * gap_size - 1) + 1'), '3', _near(0))}) AS pos FROM spaced))"""
+# Points for three quarters of the rows, separated blocks for the rest.
+_POINTS = "greatest(1, floor(3 * gap_size * 0.75)::BIGINT)"
+_BLOCKS = "greatest(1, (3 * gap_size - floor(3 * gap_size * 0.75)::BIGINT) // gap_size)"
+_HYBRID = f"""{_grid('spaced', 'sets', _ROOM)},
+    blocked AS (SELECT * EXCLUDE (a, b), {_taken(
+        _order('gap', _ROOM, f'({_BLOCKS} - 1) * (2 * (gap_size + 1) - 1) + 1'), _BLOCKS, _near(1))} AS starts FROM spaced),
+    {_grid('pointed', 'blocked', 'n')},
+    hybrid AS (SELECT *, {_taken(
+        _order('point', 'n', f'{_BLOCKS} * (gap_size + 2) + ({_POINTS} - 1) * 3 + 1'), _POINTS,
+        "len(list_filter(taken, lambda p: abs(p - c[1]) <= 1)) > 0 "
+        "OR len(list_filter(starts, lambda s: c[1] >= s - 1 AND c[1] <= s + gap_size)) > 0")} AS points FROM pointed),
+    hybrid_gaps AS (SELECT series, gap_size, seed, run, pos AS gap_id, pos AS start_pos, first_ts + pos * INTERVAL 1 HOUR AS start_ts, len FROM (
+      SELECT series, gap_size, seed, run, first_ts, unnest(starts) AS pos, gap_size AS len FROM hybrid
+      UNION ALL SELECT series, gap_size, seed, run, first_ts, unnest(points), 1 FROM hybrid))"""
 
 
 def _sets(sizes: str, runs: int) -> str:
@@ -135,7 +173,10 @@ def i1(spark, sf):
     return G.block_gaps(sets, [1, 2, 5, 10], 3).drop("gap_id")
 
 
-@query("I2_hybrid_gaps")
+@query(
+    "I2_hybrid_gaps",
+    GAPS + f", {_sets('[1, 2, 5, 10]', 4)}, {_HYBRID} SELECT series, gap_size, seed, run, gap_id, start_pos, start_ts, len FROM hybrid_gaps",
+)
 def i2(spark, sf):
     sets = G.gap_sets(bounds(hours(spark, sf)), [1, 2, 5, 10], some_seeds(spark))
     return G.hybrid_gaps(sets, [1, 2, 5, 10], 3)
@@ -159,7 +200,10 @@ def i4(spark, sf):
     return gaps_of(hours(spark, sf)).drop("start_pos")
 
 
-@query("I5_planned_gaps")
+@query(
+    "I5_planned_gaps",
+    GAPS + f", {_sets('[2, 5]', 4)}, {_HYBRID} SELECT series, gap_size, seed, run, gap_id, start_pos, start_ts, len FROM hybrid_gaps",
+)
 def i5(spark, sf):
     return G.plan_gaps(bounds(hours(spark, sf)), [2, 5], some_seeds(spark), 3, strategy="hybrid")
 
@@ -265,7 +309,22 @@ def i12(spark, sf):
     return impute.seasonal_naive(rows, mask, M)
 
 
-@query("I13_imputer_registry")
+# Rows of context that an imputer cannot do without.
+_NEEDS = {"interp": 0, "LinearInterp": 0, "TrendFit": 3, "LinearRegression": 28, "NLinear": 28, "DLinear": 28}
+
+
+@query(
+    "I13_imputer_registry",
+    V.SHIP + f""", top AS (SELECT series, max(pos) AS top FROM ship_grid GROUP BY 1),
+    spec AS (SELECT series, 0 AS gap_size, 1 AS seed, pos, 1 + pos % 4 AS len FROM ship_grid WHERE pos % 97 = 5
+      UNION ALL SELECT series, 3, 2, pos, 3 FROM ship_grid WHERE pos % 61 IN (7, 10)),
+    before AS (SELECT series, pos, coalesce(max(CASE WHEN value IS NULL THEN pos END) OVER (
+      PARTITION BY series ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS hole FROM ship_grid),
+    asked AS (SELECT s.*, s.pos - 1 - b.hole AS available FROM spec s JOIN before b ON b.series = s.series AND b.pos = s.pos
+      JOIN top t ON t.series = s.series WHERE s.pos + s.len - 1 <= t.top)
+    SELECT model, series, gap_size, seed, sum(len)::BIGINT AS n_pred FROM asked
+    JOIN (VALUES {', '.join(f"('{m}', {n})" for m, n in _NEEDS.items())}) n(model, need) ON available >= need GROUP BY 1, 2, 3, 4""",
+)
 def i13(spark, sf):
     rows = cut(V.ship_grid(spark, sf))
     preds, _ = imputation.predict_gaps(rows, gaps_of(rows, DAY), ["all"], step=DAY, lags=28)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.blocks import DAY
 from sensorloom.operators import metrics, screen
+from sensorloom.operators.inject import KINDS
 from sensorloom.plans import cleaning
 from sensorloom.queries import views as V
 from sensorloom.queries.detect import RUN, z_sql
-from sensorloom.queries.inject import cases
+from sensorloom.queries.inject import cases, injected_sql
 from sensorloom.queries.registry import query
 from sensorloom.session import cut
 
@@ -30,9 +31,13 @@ _AUROC = """SELECT a.series, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.sco
     FROM s a JOIN s b ON a.series = b.series AND a.label = 1 AND b.label = 0 GROUP BY 1"""
 
 
-@query("M1_auroc", _DOCS + f" SELECT series, round(auroc, 6) AS auroc FROM ({_AUROC})")
+# Languages without a document of either kind have no value.
+_ALL = " FROM (SELECT DISTINCT series FROM s) c LEFT JOIN ({0}) m ON m.series = c.series"
+
+
+@query("M1_auroc", _DOCS + " SELECT c.series, round(auroc, 6) AS auroc" + _ALL.format(_AUROC))
 def m1(spark, sf):
-    return metrics.ranking_metrics(documents(spark, sf)).select("series", "auroc").where("auroc is not null")
+    return metrics.ranking_metrics(documents(spark, sf)).select("series", "auroc")
 
 
 _AP = """SELECT series, sum(p * precision) / max(hits) AS aupr FROM (
@@ -41,9 +46,9 @@ _AP = """SELECT series, sum(p * precision) / max(hits) AS aupr FROM (
       WINDOW w AS (PARTITION BY series ORDER BY score DESC)) GROUP BY 1 HAVING max(hits) > 0"""
 
 
-@query("M2_average_precision", _DOCS + f" SELECT series, round(aupr, 6) AS aupr FROM ({_AP})")
+@query("M2_average_precision", _DOCS + " SELECT c.series, round(aupr, 6) AS aupr" + _ALL.format(_AP))
 def m2(spark, sf):
-    return metrics.ranking_metrics(documents(spark, sf)).select("series", "aupr").where("aupr is not null")
+    return metrics.ranking_metrics(documents(spark, sf)).select("series", "aupr")
 
 
 # Labelled runs of 9 rows, some of 4, against the modified z-score of the values.
@@ -115,26 +120,66 @@ def m5(spark, sf):
     return _volumes(spark, sf).select("series", "vus_pr")
 
 
-@query(
-    "M6_events",
-    LABELLED + """, nm AS (SELECT series, pos, label, (score - min(score) OVER (PARTITION BY series)) /
+_MARKS = """, nm AS (SELECT series, pos, label, (score - min(score) OVER (PARTITION BY series)) /
         (max(score) OVER (PARTITION BY series) - min(score) OVER (PARTITION BY series)) AS norm FROM s),
     pe AS (SELECT series, min(pos) AS start, max(pos) + 1 AS stop FROM (SELECT series, pos,
-      pos - row_number() OVER (PARTITION BY series ORDER BY pos) AS g FROM nm WHERE norm > 0.5) GROUP BY series, g)
-    SELECT 'predicted' AS kind, series, start, stop FROM pe UNION ALL SELECT 'true', series, s, e + 1 FROM lr""",
+      pos - row_number() OVER (PARTITION BY series ORDER BY pos) AS g FROM nm WHERE norm > 0.5) GROUP BY series, g)"""
+
+
+@query(
+    "M6_events",
+    LABELLED + _MARKS + """ SELECT 'predicted' AS kind, series, start, stop FROM pe UNION ALL SELECT 'true', series, s, e + 1 FROM lr""",
 )
 def m6(spark, sf):
     rows = labelled(spark, sf)
-    predicted = metrics.prediction_events(screen.normalise(rows, metrics.CASE)).drop("detector")
+    predicted = metrics.prediction_events(screen.normalise(rows, metrics.CASE, ready=True)).drop("detector")
     truth = metrics.events(rows.withColumn("mark", F.col("label") == 1))
     return predicted.withColumn("kind", F.lit("predicted")).unionByName(truth.withColumn("kind", F.lit("true")))
 
 
-@query("M7_affiliation")
+def _beyond(d1: str, d2: str) -> str:
+    """Share of the zone farther away than the distances ``d1 .. d2``, integrated."""
+    area = lambda room: f"(power(greatest({room} - {d1}, 0), 2) - power(greatest({room} - {d2}, 0), 2)) / 2"
+    return f"CASE WHEN {d2} > {d1} THEN ({area('(start - z0)')} + {area('(z1 - stop)')}) / (z1 - z0) ELSE 0 END"
+
+
+def _side(low: str, high: str, room: str) -> str:
+    turn = f"greatest({low}, least({high}, {room} / 2))"
+    return f"({high} - {low}) - (power({turn}, 2) - power({low}, 2) + {room} * ({high} - {turn})) / (z1 - z0)"
+
+
+_MIDDLE = "greatest(h0, least(h1, CASE WHEN c0 IS NULL THEN z0 WHEN c1 IS NULL THEN z1 ELSE (c0 + c1) / 2 END))"
+
+
+@query(
+    "M7_affiliation",
+    LABELLED + _MARKS + f""", zo AS (SELECT l.series, s AS start, e + 1 AS stop,
+        coalesce((lag(e + 1) OVER w + s) / 2.0, 0.0) AS z0, coalesce((e + 1 + lead(s) OVER w) / 2.0, n) AS z1
+      FROM lr l JOIN (SELECT series, count(*)::DOUBLE AS n FROM s GROUP BY 1) c ON c.series = l.series
+      WINDOW w AS (PARTITION BY l.series ORDER BY s)),
+    pc AS (SELECT zo.*, greatest(p.start, z0)::DOUBLE AS a, least(p.stop, z1)::DOUBLE AS b FROM zo JOIN pe p
+      ON p.series = zo.series AND p.start < z1 AND p.stop > z0),
+    pr AS (SELECT series, start, sum(greatest(least(b, stop) - greatest(a, start), 0)) AS covered,
+      sum(greatest(least(b, stop) - greatest(a, start), 0)
+        + {_beyond('greatest(start - least(b, start), 0)', 'greatest(start - a, 0)')}
+        + {_beyond('greatest(greatest(a, stop) - stop, 0)', 'greatest(b - stop, 0)')}) / sum(b - a) AS prec FROM pc GROUP BY 1, 2),
+    ends AS (SELECT *, lag(b) OVER w AS c0, a AS c1, lead(a) OVER w AS later FROM pc WINDOW w AS (PARTITION BY series, start ORDER BY a)),
+    holes AS (SELECT *, greatest(coalesce(c0, z0), start) AS h0, least(coalesce(c1, z1), stop) AS h1 FROM (
+      SELECT series, start, stop, z0, z1, c0, c1 FROM ends UNION ALL
+      SELECT series, start, stop, z0, z1, b, NULL FROM ends WHERE later IS NULL)),
+    gains AS (SELECT series, start, sum(coalesce(CASE WHEN c0 IS NOT NULL THEN {_side('(h0 - c0)', f'({_MIDDLE} - c0)', '(z1 - c0)')} END, 0)
+      + coalesce(CASE WHEN c1 IS NOT NULL THEN {_side('(c1 - h1)', f'(c1 - {_MIDDLE})', '(c1 - z0)')} END, 0)) AS gain
+      FROM holes WHERE h1 > h0 GROUP BY 1, 2),
+    zs AS (SELECT zo.series, prec, CASE WHEN prec IS NULL THEN 0 ELSE (covered + coalesce(gain, 0)) / (stop - zo.start) END AS rec FROM zo
+      LEFT JOIN pr ON pr.series = zo.series AND pr.start = zo.start LEFT JOIN gains g ON g.series = zo.series AND g.start = zo.start),
+    af AS (SELECT series, coalesce(avg(prec), 0) AS p, coalesce(avg(rec), 0) AS r FROM zs GROUP BY 1)
+    SELECT series, round(p, 6) AS affiliation_precision, round(r, 6) AS affiliation_recall,
+      round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS affiliation_f1 FROM af""",
+)
 def m7(spark, sf):
     rows = labelled(spark, sf)
     keys = metrics.CASE
-    predicted = metrics.prediction_events(screen.normalise(rows, keys))
+    predicted = metrics.prediction_events(screen.normalise(rows, keys, ready=True))
     truth = metrics.events(rows.withColumn("mark", F.col("label") == 1), keys)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return metrics.affiliation(predicted, truth, sizes).drop("detector")
@@ -160,7 +205,24 @@ def m8(spark, sf):
     return metrics.zero_without_positives(found, ["auroc", "aupr"]).drop("detector")
 
 
-@query("E14_evaluation_cases")
+# Longest clean runs of trustworthy hours without repeats, and an injection of either seed.
+_BUILT = f"""WITH {V.OBS}, {V.SLOTS}, {V.GRID5}, {V.frozen_sql('grid5')}, {V.hourly_sql(1)},
+    kept AS (SELECT series, ts, value FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS prev FROM hourly)
+      WHERE NOT (value IS NOT NULL AND coalesce(prev = value, false))), {V.segments_sql('kept')},
+    run AS (SELECT series, ts AS orig_ts, value, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS pos FROM (
+      SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY segment_len DESC, segment) AS r FROM segments)
+      WHERE r = 1 AND segment_len >= 24)"""
+
+
+def _injection(name: str, seed: int) -> str:
+    return f"""SELECT i.series, '{name}' AS injection, i.pos, r.orig_ts, round(i.value, 6) AS value, i.label FROM (
+      WITH RECURSIVE {injected_sql('run', KINDS, seed)} SELECT * FROM injected) i JOIN run r ON r.series = i.series AND r.pos = i.pos"""
+
+
+@query(
+    "E14_evaluation_cases",
+    f"{_BUILT} {_injection('select', cleaning.SEED)} UNION ALL {_injection('eval', cleaning.EVAL_SEED)}",
+)
 def e14(spark, sf):
     built = cleaning.build_cases(V.slots(spark, sf), V.LIMIT, min_points=24, min_useful=1)
     return cleaning.synthetic_cases(built).select("series", "injection", "pos", "orig_ts", "value", "label")

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.functions.blocks import DAY, floor_div
-from sensorloom.operators import splits
+from sensorloom.operators import screen, splits
 from sensorloom.queries import views as V
 from sensorloom.queries.registry import query
-from sensorloom.queries.screen import KEYS, SCORES, segment_scores
+from sensorloom.queries.screen import _POOLED, FLAGS, GROUP, segment_scores
+from sensorloom.session import cut
 from sensorloom.sources import feed, files, store
 
 FROM_MS, TO_MS = 1_704_420_123_456, 1_705_876_543_210
@@ -76,23 +77,30 @@ def s3(spark, sf):
 @query(
     "S4_tolerant_read",
     """SELECT 'good' AS kind, event_type AS stem, count(*) AS n FROM events WHERE event_id % 50 <> 0 GROUP BY 2
-    UNION ALL SELECT 'left out: no row with a timestamp', 'broken', 1
+    UNION ALL SELECT 'good', 'payload', count(*) FROM region
+    UNION ALL SELECT 'left out: no row with a timestamp', unnest(['broken', 'bytes', 'header', 'text']), 1
     UNION ALL SELECT 'left out: unsupported kind: txt', 'notes', 1""",
 )
 def s4(spark, sf):
     folder = station_files(spark, sf)
-    # Two more files: one without a single timestamp, one of another kind.
-    regions = V.table(spark, sf, "region").select("r_name").coalesce(1)
-    regions.select(F.lit("junk").alias("fecha"), F.col("r_name").alias("NO2")).write.option("header", True).csv(
-        f"{folder}/station=x/name=broken_NO2.csv"
-    )
-    regions.write.text(f"{folder}/station=x/name=notes_NO2.txt")
-    good, left_out = files.read_tolerant(spark, [f"{folder}/*/*_NO2.csv", f"{folder}/*/*_NO2.txt"])
-    stem = lambda ext: files.short_name(files.path_parts(F.col("path"), ext)[1])
-    counts = good.groupBy(stem("csv").alias("stem")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("good"))
-    name = files.short_name(files.path_parts(F.col("path"), "[a-z]+")[1])
-    missing = left_out.groupBy(name.alias("stem"), F.concat(F.lit("left out: "), "reason").alias("kind")).agg(
-        F.countDistinct(name).alias("n")
+    # A good JSON file beside the readings, and five files that hold none: junk
+    # times, no byte, a header alone, broken JSON, another kind.
+    one = V.table(spark, sf, "region").coalesce(1)
+    # One document of all regions.
+    points = one.agg(F.collect_list(F.array(F.col("r_regionkey") * 3_600_000.0, F.col("r_regionkey").cast("double"))).alias("rows"))
+    points.withColumn("cols", F.array(F.lit("time"), F.lit("NO2"))).write.json(f"{folder}/station=x/name=payload_NO2.json")
+    junk = one.select(F.lit("junk").alias("fecha"), F.col("r_name").alias("NO2"))
+    junk.write.option("header", True).csv(f"{folder}/station=x/name=broken_NO2.csv")
+    junk.where("false").write.csv(f"{folder}/station=x/name=bytes_NO2.csv")
+    junk.where("false").write.option("header", True).csv(f"{folder}/station=x/name=header_NO2.csv")
+    one.select(F.concat(F.lit('{"rows": [['), "r_name").alias("value")).write.text(f"{folder}/station=x/name=notes_NO2.txt")
+    # The JSON writer would mend what is broken; a CSV of broken lines is left as text.
+    one.select(F.lit("no time at all").alias("value")).write.option("header", True).csv(f"{folder}/station=x/name=text_NO2.csv")
+    good, left_out = files.read_tolerant(spark, [f"{folder}/*"])
+    stem = files.short_name(files.path_parts(F.col("path"), "[a-z]+")[1])
+    counts = good.groupBy(stem.alias("stem")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("good"))
+    missing = left_out.groupBy(stem.alias("stem"), F.concat(F.lit("left out: "), "reason").alias("kind")).agg(
+        F.countDistinct(stem).alias("n")
     )
     return counts.unionByName(missing)
 
@@ -159,13 +167,30 @@ def s8(spark, sf):
     return store.read_report(spark, folder, "model string, mae double, n bigint")
 
 
-@query("S9_score_store", SCORES + f" SELECT {KEYS}, ts, round(score, 6) AS score FROM scores")
+@query(
+    "S9_score_store",
+    FLAGS + _POOLED + f""", macro AS (SELECT detector, avg(rate) <= 0.07 AS kept FROM pooled GROUP BY 1),
+    names AS (SELECT list_sort(list(detector) FILTER (kept)) AS kept, list_sort(list(detector) FILTER (NOT kept)) AS discarded FROM macro)
+    SELECT s.detector, s.series, s.segment, s.ts, round(s.score, 6) AS score, (day(s.ts) = 13)::INT AS label,
+      list_contains(n.kept, s.detector) AS kept, list_contains(n.discarded, s.detector) AS discarded, 0.07 AS budget
+    FROM scores s, names n""",
+)
 def s9(spark, sf):
     folder = store.scratch_folder(spark, "store")
     scores = segment_scores(spark, sf)
-    for run in ("first", "second"):
-        store.write_scores(scores.withColumn("run", F.lit(run)), folder)
-    return store.read_scores(spark, folder, "second").select("detector", "series", "segment", "ts", "score")
+    rates = screen.pooled_rates(screen.flag(scores, GROUP, ready=True))
+    results = cut(rates.join(screen.split_by_rate(rates), "detector"))
+    labels = scores.select("series", "ts").distinct().withColumn("label", (F.dayofmonth("ts") == 13).cast("int"))
+    # A version that the second one replaces, and another run beside them.
+    store.save_run(folder, "first", "unlabelled", scores=scores.where("detector = 'IQR'"), results=results, config={"budget": 0.5})
+    for run in ("other", "first"):
+        store.save_run(folder, run, "synthetic", scores=scores, results=results, labels=labels, config={"budget": 0.07})
+    kept = store.load_run(spark, folder, "first")
+    rows = kept.scores.join(kept.labels, ["series", "ts"])
+    return rows.select(
+        "detector", "series", "segment", "ts", "score", "label", F.col("detector").isin(kept.kept).alias("kept"),
+        F.col("detector").isin(kept.discarded).alias("discarded"), F.lit(kept.config["budget"]).alias("budget"),
+    )
 
 
 @query(

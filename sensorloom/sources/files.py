@@ -7,9 +7,8 @@ same way.  Folders named ``key=value`` count as ``value``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions.blocks import HOUR, carry
@@ -36,10 +35,10 @@ def path_parts(path: Column, extension: str) -> tuple[Column, Column]:
     return _plain(F.regexp_extract(decoded, pattern, 1)), _plain(F.regexp_extract(decoded, pattern, 2))
 
 
-def read_csv(spark: SparkSession, glob: str) -> DataFrame:
+def read_csv(spark: SparkSession, glob: str | list[str], *, only: str | None = None) -> DataFrame:
     """``path, ts, value`` of two-column files with a header; what cannot be
     read as a timestamp or number is null."""
-    raw = spark.read.schema(TWO_COLUMNS).option("header", True).csv(glob)
+    raw = _reader(spark, only).schema(TWO_COLUMNS).option("header", True).csv(glob)
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("ts").try_cast("timestamp").alias("ts"),
@@ -57,9 +56,11 @@ def read_stations(spark: SparkSession, base: str, pollutant: str) -> DataFrame:
     return rows.select(station.alias("station"), "ts", "value")
 
 
-def read_payloads(spark: SparkSession, glob: str, *, multi_line: bool = True) -> DataFrame:
+def read_payloads(
+    spark: SparkSession, glob: str | list[str], *, multi_line: bool = True, only: str | None = None
+) -> DataFrame:
     """``path, ts, value`` of files ``{"rows": [[ms, value], ...], "cols": [...]}``."""
-    raw = spark.read.schema(PAYLOAD).option("multiLine", multi_line).json(glob)
+    raw = _reader(spark, only).schema(PAYLOAD).option("multiLine", multi_line).json(glob)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.explode("rows").alias("r")).select(
         "path", F.timestamp_millis(F.get("r", F.lit(0)).cast("bigint")).alias("ts"), F.get("r", F.lit(1)).alias("value")
     )
@@ -73,42 +74,47 @@ def read_payload_series(spark: SparkSession, glob: str, *, multi_line: bool = Tr
 
 
 def read_tolerant(spark: SparkSession, globs: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Good rows ``path, ts, value`` of all readable files, and one row per file
-    that was left out with the reason.
+    """Good rows ``path, ts, value`` of all readable files, and one row ``path, reason``
+    per file that was left out.
 
-    A file is left out when its kind is not supported or it yields no row with a
-    timestamp: an empty one, one with a header alone, broken JSON.  JSON may
-    span lines.
+    ``globs`` may name files, folders of them, or both.  The ending of a file's own
+    name decides how it is read; other endings are not supported.  A file is left out,
+    too, when it yields no row with a timestamp: one without a byte, one with a header
+    alone, broken JSON.  JSON may span lines.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(globs)).select(
-        F.col("_metadata.file_path").alias("path")
-    )
-    kind = F.regexp_extract("path", r"\.([A-Za-z0-9]+)(/[^/]*)?$", 1)
-    named = listed.withColumn("kind", F.lower(F.coalesce(
-        F.nullif(F.regexp_extract("path", r"/[^/]*\.([A-Za-z0-9]+)/[^/]*$", 1), F.lit("")), kind
-    )))
-    unsupported = named.where(~F.col("kind").isin(*SUPPORTED)).select(
-        "path", F.concat(F.lit("unsupported kind: "), F.col("kind")).alias("reason")
-    )
-    # Each kind has its own reader; only globs that can hold it are passed on.
-    parts = []
-    for extension in SUPPORTED:
-        wanted = [g for g in globs if g.endswith(f".{extension}")]
-        if wanted:
-            read = read_csv if extension == "csv" else read_payloads
-            parts += [read(spark, g) for g in wanted]
-    rows = reduce(DataFrame.unionByName, parts)
-    usable = rows.where(F.col("ts").isNotNull())
-    good_files = usable.select("path").distinct()
-    # From the listing, as a file without rows is in no reader's output.
+    # The listing of the reader, which also knows files without a byte.
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(globs)).inputFiles()
+    listed = spark.createDataFrame([(path,) for path in found], "path string").select(_one_form("path").alias("path"))
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    named = listed.withColumn("kind", kind)
+    known = F.col("kind").isin(*SUPPORTED)
+    unsupported = named.where(~known).select("path", F.concat(F.lit("unsupported kind: "), F.col("kind")).alias("reason"))
+    rows = spark.createDataFrame([], "path string, ts timestamp, value double")
+    for extension, read in (("csv", read_csv), ("json", read_payloads)):
+        if any(path.lower().endswith(f".{extension}") for path in found):
+            rows = rows.unionByName(read(spark, list(globs), only=extension))
+    usable = rows.where(F.col("ts").isNotNull()).withColumn("path", _one_form("path"))
     unreadable = (
-        named.where(F.col("kind").isin(*SUPPORTED))
-        .join(good_files, "path", "left_anti")
+        named.where(known)
+        .join(usable.select("path").distinct(), "path", "left_anti")
         .select("path", F.lit("no row with a timestamp").alias("reason"))
     )
     return usable, unsupported.unionByName(unreadable)
 
 
+def _one_form(path: str) -> Column:
+    """Local paths come with one or three slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def _reader(spark: SparkSession, only: str | None) -> DataFrameReader:
+    """A reader of all files, or of those with one ending in the folders it is given, too."""
+    if only is None:
+        return spark.read
+    ending = "".join(f"[{c}{c.upper()}]" for c in only)
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{ending}")
+
+
 def short_name(stem: Column) -> Column:
     """Series name: text before the first underscore."""
     return F.get(F.split(stem, "_"), F.lit(0))

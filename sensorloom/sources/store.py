@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,79 @@ def read_scores(spark: SparkSession, folder: str, run: str) -> DataFrame:
     return spark.read.parquet(folder).where(F.col("run") == run).drop("run")
 
 
+# A stored run: tables by detector below a folder of its own, and a row that names them.
+MANIFEST = (
+    "run string, version string, mode string, detectors array<string>, series array<string>, "
+    "kept array<string>, discarded array<string>, labelled boolean, config string, written_at timestamp"
+)
+
+
+@dataclass(frozen=True)
+class Run:
+    """What :func:`load_run` finds."""
+
+    mode: str
+    detectors: list[str]
+    series: list[str]
+    kept: list[str]
+    discarded: list[str]
+    config: dict
+    scores: DataFrame
+    results: DataFrame
+    labels: DataFrame | None
+
+
+def save_run(
+    folder: str, run: str, mode: str, *, scores: DataFrame, results: DataFrame,
+    labels: DataFrame | None = None, config: Mapping | None = None,
+) -> None:
+    """Store scores, results and labels of a run, and last the row that makes it visible.
+
+    ``results`` has a row per ``detector, series``; where it has ``kept`` the names
+    of both kinds are noted.  A run saved again is another version; until its row is
+    written readers see the one before, and a save that broke off is never seen.
+    """
+    spark, version = scores.sparkSession, uuid.uuid4().hex
+    base = f"{folder}/data/{run}/{version}"
+    scores.write.partitionBy("detector").parquet(f"{base}/scores")
+    results.write.parquet(f"{base}/results")
+    if labels is not None:
+        labels.write.parquet(f"{base}/labels")
+    stored = spark.read.parquet(f"{base}/results")
+    names = lambda which, column: F.array_sort(F.collect_set(F.when(which, F.col(column))))
+    judged = F.col("kept") if "kept" in stored.columns else F.lit(None).cast("boolean")
+    # As many names as there are detectors and series.
+    row = stored.agg(
+        names(F.lit(True), "detector").alias("detectors"), names(F.lit(True), "series").alias("series"),
+        names(judged, "detector").alias("kept"), names(~judged, "detector").alias("discarded"),
+    )
+    note = json.dumps(dict(config or {}), sort_keys=True)
+    row.select(
+        F.lit(run).alias("run"), F.lit(version).alias("version"), F.lit(mode).alias("mode"), "detectors", "series",
+        "kept", "discarded", F.lit(labels is not None).alias("labelled"), F.lit(note).alias("config"), F.current_timestamp().alias("written_at"),
+    ).coalesce(1).write.mode("append").parquet(f"{folder}/runs")
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest version of every run."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/runs")
+    last = rows.groupBy("run").agg(F.max_by("version", F.struct("written_at", "version")).alias("version"))
+    return rows.join(last, ["run", "version"])
+
+
+def load_run(spark: SparkSession, folder: str, run: str) -> Run:
+    """A stored run, by its manifest."""
+    row = runs(spark, folder).where(F.col("run") == run).first()
+    if row is None:
+        raise ValueError(f"no run {run!r} in {folder}")
+    base = f"{folder}/data/{run}/{row.version}"
+    labels = spark.read.parquet(f"{base}/labels") if row.labelled else None
+    return Run(
+        row["mode"], row.detectors, row.series, row.kept, row.discarded, json.loads(row.config),
+        spark.read.parquet(f"{base}/scores"), spark.read.parquet(f"{base}/results"), labels,
+    )
+
+
 def replace_rows(old: DataFrame, new: DataFrame, key: str = "model_name") -> DataFrame:
     """Old rows except those of the keys in ``new``, and the new rows."""
     keys = new.select(F.col(key).cast("string").alias("_key")).distinct()

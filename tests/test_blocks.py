@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from helpers import series
 from sensorloom.functions.blocks import HOUR, carry, expand, halo, in_blocks, runs
-from sensorloom.functions.stats import quantiles
 
 
 def brute_runs(values):
@@ -74,22 +73,3 @@ def test_expand_counts(spark):
     df = spark.createDataFrame([("a", 25), ("b", 0), ("c", 10)], "k string, n bigint")
     got = expand(df, F.col("n"), "i", chunk=10).groupBy("k").agg(F.count("*").alias("c"), F.max("i").alias("m"))
     assert {(r.k, r.c, r.m) for r in got.collect()} == {("a", 25, 24), ("c", 10, 9)}
-
-
-def test_quantiles_equal_percentile_also_past_the_small_group_size(spark, monkeypatch):
-    import sensorloom.functions.stats as stats
-
-    monkeypatch.setattr(stats, "SMALL_GROUP", 50)
-    monkeypatch.setattr(stats, "ACCURACY", 200)
-    df = spark.range(6000).select(
-        F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("k"),
-        F.when(F.col("id") % 2 == 0, F.lit(1.5)).otherwise(F.pow(F.rand(4) * 10, F.lit(3))).alias("v"),
-    ).persist()
-    probs = {"p05": 0.05, "q1": 0.25, "m": 0.5, "q3": 0.75, "p95": 0.95}
-    got = {r.k: r for r in quantiles(df, ["k"], F.col("v"), probs).collect()}
-    want = df.groupBy("k").agg(
-        F.expr("percentile(v, array(0.05,0.25,0.5,0.75,0.95))").alias("p"), F.count("*").alias("n")
-    )
-    for row in want.collect():
-        assert got[row.k].n == row.n
-        assert [got[row.k][name] for name in probs] == pytest.approx(row.p, abs=1e-12)

@@ -23,11 +23,12 @@ def gap_table(spark, windows, name="a", size=0, seed=1):
     )
 
 
-def test_linear_fill_of_one_and_two_rows_ignores_the_truth(spark):
-    rows = gridded(spark, [10, 20, 999, 40, 50, 60])
-    assert by_time(impute.linear_imputer(rows, gap_table(spark, [(2, 1)]))[0], "pred") == [30]
-    rows = gridded(spark, [10, 20, 999, 999, 50, 60])
-    assert by_time(impute.linear_imputer(rows, gap_table(spark, [(2, 2)]))[0], "pred") == [30, 40]
+def test_a_line_is_drawn_past_the_masked_values(spark):
+    # One masked row between 5 and 9, then two between 7 and 16; what they held is not looked at.
+    rows = gridded(spark, [3, 5, -500, 9, 14, 13])
+    assert by_time(impute.linear_imputer(rows, gap_table(spark, [(2, 1)]))[0], "pred") == [7]
+    rows = gridded(spark, [4, 7, -500, 800, 16, 1])
+    assert by_time(impute.linear_imputer(rows, gap_table(spark, [(2, 2)]))[0], "pred") == [10, 13]
 
 
 def test_touching_gaps_and_holes_share_their_anchors(spark):
@@ -126,10 +127,10 @@ def test_error_scale_uses_only_the_history(spark):
         assert (have is None) if want is None else have == pytest.approx(want)
 
 
-def test_benchmark_golden_values(spark, monkeypatch):
+def test_benchmark_errors_by_hand(spark):
     from sensorloom.operators.registry import IMPUTERS, register_imputer
 
-    guesses = {3: 30.0, 4: 40.0, 7: 60.0, 8: 70.0, 9: 80.0}
+    guesses = {4: 15.0, 5: 27.0, 6: 33.0, 9: 85.0, 10: 94.0}
 
     def guess(rows, gaps, *, step, **_):
         at = F.create_map(*[F.lit(x) for pair in guesses.items() for x in pair])
@@ -138,14 +139,17 @@ def test_benchmark_golden_values(spark, monkeypatch):
 
     register_imputer("Guess", guess)
     try:
-        rows = gridded(spark, [10.0 * (i + 1) for i in range(10)])
-        done = imputation.run_benchmark(rows, gap_table(spark, [(3, 2), (7, 3)], size=5), ["Guess"], m=5)
+        # Squares: the guesses are off by 1, 2, 3 and by 4, 6.
+        rows = gridded(spark, [float(i * i) for i in range(12)])
+        done = imputation.run_benchmark(rows, gap_table(spark, [(4, 3), (9, 2)], size=5), ["Guess"], m=3)
         r = done.results.first()
-        assert (r.mae, r.rmse, r.mase) == (pytest.approx(16.0), pytest.approx(16.73320053068151), pytest.approx(0.4))
-        rows = gridded(spark, [10.0 * (i + 1) for i in range(6)])
-        guesses.update({4: 30.0, 5: 40.0})
-        r = imputation.run_benchmark(rows, gap_table(spark, [(4, 2)], size=2), ["Guess"], m=1).results.first()
-        assert (r.mae, r.rmse, r.mase) == (pytest.approx(20.0), pytest.approx(20.0), pytest.approx(2.0))
+        assert r.mae == pytest.approx(16 / 5) and r.rmse == pytest.approx((66 / 5) ** 0.5)
+        # Steps of three: 9 before the first gap, 9, 15, ..., 39 before the second.
+        assert r.mase == pytest.approx((3 * 2 / 9 + 2 * 5 / 24) / 5)
+        rows = gridded(spark, [2.0, 3.0, 5.0, 8.0, 12.0, 17.0, 23.0])
+        guesses.update({5: 20.0, 6: 18.0})
+        r = imputation.run_benchmark(rows, gap_table(spark, [(5, 2)], size=2), ["Guess"], m=1).results.first()
+        assert (r.mae, r.rmse, r.mase) == (pytest.approx(4), pytest.approx(17**0.5), pytest.approx(4 / 2.5))
     finally:
         del IMPUTERS["Guess"]
 

@@ -55,7 +55,7 @@ def test_normalise_rank_and_consensus(spark):
     weights = spark.createDataFrame([("x", 0.9), ("y", 0.1)], "detector string, weight double")
     assert by_time(screen.consensus(both, ["series"], "avg", weights=weights), "score") == pytest.approx([0.1, 0.1, 0.9, 0.9])
     assert by_time(screen.consensus(both, ["series"], "MAX"), "score") == [1, 1, 1, 1]
-    assert by_time(screen.consensus(both, ["series"], "AOM", detectors=["x", "y"]), "score") == [1, 1, 1, 1]
+    assert by_time(screen.consensus(both, ["series"], "AOM"), "score") == [1, 1, 1, 1]
     zero = weights.withColumn("weight", F.lit(0.0))
     assert by_time(screen.consensus(both, ["series"], weights=zero), "score") == [None] * 4
     with pytest.raises(ValueError):
