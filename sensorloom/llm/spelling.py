@@ -75,7 +75,7 @@ def shards(rows: DataFrame, count: int, *, shard: int = SHARD) -> DataFrame:
     mine = F.pmod(F.xxhash64("word"), F.col("slices")).cast("int")
     spread = cutup.withColumn("mine", mine).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     number = F.pmod(F.xxhash64(*bucket, "slice"), F.lit(max(1, math.ceil(count / shard))))
-    return spread.select("word", "n", *bucket, (F.col("mine") == F.col("slice")).alias("own"), number.alias("shard"))
+    return spread.select("word", "n", *bucket, "slice", (F.col("mine") == F.col("slice")).alias("own"), number.alias("shard"))
 
 
 def _codes(words: list[str], size: int) -> np.ndarray:
@@ -134,7 +134,7 @@ def _near_in_shard(shard: pd.DataFrame) -> pd.DataFrame:
     keys = [word.encode() for word in shard["word"]]
     shard = shard.iloc[sorted(range(len(keys)), key=lambda i: (-int(shard["n"].iat[i]), keys[i]))].reset_index(drop=True)
     length = shard["word"].map(len).to_numpy()
-    bucket = shard.groupby(["size", "side", "part"], sort=False).ngroup().to_numpy()
+    bucket = shard.groupby(["size", "side", "part", "slice"], sort=False).ngroup().to_numpy()
     count, best = np.zeros(len(shard), dtype=np.int64), np.full(len(shard), len(shard))
     own, last = shard["own"].to_numpy(), (shard["side"] == "last").to_numpy()
     for size in np.unique(shard["size"].to_numpy()):
