@@ -54,71 +54,74 @@ def quantiles(
     keys = list(keys)
     rows = df.where(value.isNotNull()).select(*keys, value.cast("double").alias("_v"))
     rows = rows if ready else cut(rows)
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(float(p)).alias("p")) for q, p in probs.items()]))
-    rank = F.col("a.p") * (F.col("n") - 1)
-    state = groups.withColumn("a", asked).select(
-        *keys, "a.q", "n", F.floor(rank).alias("k"), (rank - F.floor(rank)).alias("part"),
-        "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inner"),
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("_q"), F.lit(float(p)).alias("_p")) for q, p in probs.items()]))
+    rank = F.col("_a._p") * (F.col("_n") - 1)
+    state = groups.withColumn("_a", asked).select(
+        *keys, "_a._q", "_n", F.floor(rank).alias("_k"), (rank - F.floor(rank)).alias("_part"),
+        "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inner"),
     )
     while True:
-        most, count = state.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("inner"))), F.count(F.lit(1))).first()
+        most, count = state.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_inner"))), F.count(F.lit(1))).first()
         if most is None or most <= INNER:
             break
         state = cut(_narrowed(rows, state, keys, count))
 
-    last = F.least(F.col("k") + 1, F.col("n") - 1)
-    ranges = state.groupBy(*keys, "lo", "hi").agg(F.first("below").alias("below"))
-    near = beside(rows, ranges, keys, count=count).where("_v between lo and hi")
-    counted = near.groupBy(*keys, "lo", "hi", "below", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    line = Window.partitionBy(*keys, "lo", "hi").orderBy("_v")
-    upto = F.col("below") + F.sum("_c").over(line)
-    ranked = counted.select(*keys, "lo", "hi", "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
-    held = ranked.join(state.drop("below", "inner"), [*keys, "lo", "hi"]).where((F.col("_to") > F.col("k")) & (F.col("_from") <= last))
-    at = lambda q, rank: F.max(F.when((F.col("q") == q) & (F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+    last = F.least(F.col("_k") + 1, F.col("_n") - 1)
+    ranges = state.groupBy(*keys, "_lo", "_hi").agg(F.first("_below").alias("_below"))
+    near = beside(rows, ranges, keys, count=count).where("_v between _lo and _hi")
+    counted = near.groupBy(*keys, "_lo", "_hi", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    line = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_v")
+    upto = F.col("_below") + F.sum("_c").over(line)
+    ranked = counted.select(*keys, "_lo", "_hi", "_v", (upto - F.col("_c")).alias("_from"), upto.alias("_to"))
+    held = ranked.join(state.drop("_below", "_inner"), [*keys, "_lo", "_hi"]).where((F.col("_to") > F.col("_k")) & (F.col("_from") <= last))
+    at = lambda q, rank: F.max(F.when((F.col("_q") == q) & (F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
     found = held.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[at(q, F.col("k")).alias(f"_lo_{q}") for q in probs],
+        F.max("_n").alias("_n"),
+        *[at(q, F.col("_k")).alias(f"_lo_{q}") for q in probs],
         *[at(q, last).alias(f"_hi_{q}") for q in probs],
-        *[F.max(F.when(F.col("q") == q, F.col("part"))).alias(f"_part_{q}") for q in probs],
+        *[F.max(F.when(F.col("_q") == q, F.col("_part"))).alias(f"_part_{q}") for q in probs],
     )
     between = lambda q: F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * F.col(f"_part_{q}")
     # Equal neighbours need no sum: it would make infinities undefined.
     exact = lambda q: F.when(F.col(f"_lo_{q}") == F.col(f"_hi_{q}"), F.col(f"_lo_{q}")).otherwise(between(q))
-    return found.select(*keys, "n", *[exact(q).alias(q) for q in probs])
+    return found.select(*keys, F.col("_n").alias("n"), *[exact(q).alias(q) for q in probs])
 
 
 def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], count: int) -> DataFrame:
     """Ranges of ``state`` with too many values cut down to the cells of their ranks."""
-    wide = (F.col("inner") > INNER) & (F.col("lo") < F.col("hi"))
-    todo, group = state.where(wide), [*keys, "q"]
-    near = beside(rows, todo.select(*group, "lo", "hi"), keys, count=count).where("_v between lo and hi")
+    wide = (F.col("_inner") > INNER) & (F.col("_lo") < F.col("_hi"))
+    todo, group = state.where(wide), [*keys, "_q"]
+    ends = todo.select(*group, "_lo", "_hi")
+    near = beside(rows, ends, keys, count=count)
     grid = [i / EDGES for i in range(1, EDGES)]
-    edges = cut(near.groupBy(*group).agg(F.array_distinct(F.percentile_approx("_v", grid, ACCURACY)).alias("_e")))
+    # Of the values inside alone: a frequent end cannot take all edges.
+    inside = near.where("_v > _lo and _v < _hi").groupBy(*group).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_e"))
+    edges = F.array_distinct(F.concat(F.array("_lo"), F.coalesce("_e", F.array().cast("array<double>")), F.array("_hi")))
+    cutters = cut(ends.join(inside, group, "left").withColumn("_e", edges))
     # A row of edges is some kilobytes.
-    cells = beside(rows, todo.select(*group, "lo", "hi").join(edges, group), keys, count=count, few=FEW // EDGES)
-    cells = cells.where("_v between lo and hi").withColumn("_at", F.lit(0))
-    step = EDGES // 2
+    cells = beside(rows, cutters, keys, count=count, few=FEW // EDGES).where("_v between _lo and _hi").withColumn("_at", F.lit(0))
+    step = EDGES
     while step:
         # The number of edges below the value, by halving.
         ahead = F.get("_e", F.col("_at") + (step - 1)) < F.col("_v")
         cells, step = cells.withColumn("_at", F.when(ahead, F.col("_at") + step).otherwise(F.col("_at"))), step // 2
     on_edge = F.coalesce(F.get("_e", F.col("_at")) == F.col("_v"), F.lit(False))
-    counted = cells.groupBy(*group, (F.col("_at") * 2 + on_edge.cast("int")).alias("cell")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    counted = cells.groupBy(*group, (F.col("_at") * 2 + on_edge.cast("int")).alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
     )
-    line = Window.partitionBy(*group).orderBy("cell")
-    upto = F.col("below") + F.sum("_c").over(line)
+    line = Window.partitionBy(*group).orderBy("_cell")
+    upto = F.col("_below") + F.sum("_c").over(line)
     placed = counted.join(todo, group).withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
-    last = F.least(F.col("k") + 1, F.col("n") - 1)
+    last = F.least(F.col("_k") + 1, F.col("_n") - 1)
     holds = lambda rank: (F.col("_from") <= rank) & (rank < F.col("_to"))
     # Cells between edges count; a single value is one value however often it occurs.
-    open_cell = (holds(F.col("k")) | holds(last)) & (F.col("cell") % 2 == 0)
-    cutdown = placed.groupBy(*group, "n", "k", "part").agg(
-        F.max(F.when(holds(F.col("k")), F.col("_lo"))).alias("lo"),
-        F.max(F.when(holds(last), F.col("_hi"))).alias("hi"),
-        F.max(F.when(holds(F.col("k")), F.col("_from"))).alias("below"),
-        F.coalesce(F.sum(F.when(open_cell, F.col("_c"))), F.lit(0)).alias("inner"),
+    open_cell = (holds(F.col("_k")) | holds(last)) & (F.col("_cell") % 2 == 0)
+    cutdown = placed.groupBy(*group, "_n", "_k", "_part").agg(
+        F.max(F.when(holds(F.col("_k")), F.col("_least"))).alias("_lo"),
+        F.max(F.when(holds(last), F.col("_most"))).alias("_hi"),
+        F.max(F.when(holds(F.col("_k")), F.col("_from"))).alias("_below"),
+        F.coalesce(F.sum(F.when(open_cell, F.col("_c"))), F.lit(0)).alias("_inner"),
     )
     return state.where(~wide).unionByName(cutdown.select(*state.columns))
 

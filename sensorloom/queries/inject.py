@@ -114,10 +114,10 @@ def a5(spark, sf):
 
 @query(
     "A6_one_of_each",
-    _query(inject.KINDS, _slotted, """ SELECT i.series, i.pos, round(i.value, 6) AS value, i.label, p.kind, p.start, p.len, p.up
+    _query(inject.KINDS, _slotted, """ SELECT i.series, i.pos, round(i.value, 6) AS value, i.label, p.kind, p.start, p.len, p.up::INT AS up
       FROM injected i LEFT JOIN points p ON p.series = i.series AND p.pos = i.pos"""),
 )
 def a6(spark, sf):
     rows, table = inject.inject_one_of_each(cases(spark, sf), SEED)
-    where = inject.points_of(table).drop("j")
+    where = inject.points_of(table).drop("j").withColumn("up", F.col("up").cast("int"))
     return rows.select("series", "pos", "value", "label").join(where, ["series", "pos"], "left")

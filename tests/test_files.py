@@ -33,7 +33,7 @@ def last(path):
 def test_every_file_is_read_or_reported(spark, folder, globs):
     good, left_out = files.read_tolerant(spark, [g.format(folder) for g in globs])
     assert sorted(((last(r.path), r.ts.hour, r.ts.minute, r.value) for r in good.collect()), key=str) == [
-        ("good_NO2.csv", 0, 0, 1.5), ("good_NO2.csv", 0, 5, None), ("good é_NO2.json", 0, 0, 2.5), ("good é_NO2.json", 1, 0, None),
+        ("good é_NO2.json", 0, 0, 2.5), ("good é_NO2.json", 1, 0, None), ("good_NO2.csv", 0, 0, 1.5), ("good_NO2.csv", 0, 5, None),
     ]
     assert {last(r.path): r.reason for r in left_out.collect()} == {
         "empty_NO2.csv": "no row with a timestamp", "header_NO2.CSV": "no row with a timestamp",
