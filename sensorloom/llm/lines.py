@@ -402,23 +402,31 @@ def repeats(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARI
     return gone.groupBy("here.doc_id", "here.th").agg(F.collect_set("here.pos").alias("gone"))
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with all columns and without repeated lines in ``text``, and with ``_lines`` and ``_gone``: lines before, and removed."""
-    found = repeats(docs, **options).withColumnsRenamed({"doc_id": "_id", "th": "_th", "gone": "_places"})
-    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    both = docs.withColumn("_key", th).join(
-        found, (F.col("_key") == F.col("_th")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left"
+def _cleaned(docs: DataFrame, **options) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``text`` without repeated lines, ``lines`` before and number ``removed``."""
+    found = repeats(docs, **options).withColumnsRenamed({"doc_id": "id", "gone": "places"})
+    # The row as one column: whatever its columns are called, they meet no others.
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    both = rows.join(
+        found, (F.col("key") == F.col("th")) & F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("id")), "left"
     )
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_places", i)), "\n")
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(kept)
-    lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(parts))
+    parts = F.split("row.text", "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("places", i)), "\n")
+    lines = F.when(F.coalesce("row.text", F.lit("")) == "", 0).otherwise(F.size(parts))
     return both.select(
-        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
-        lines.alias("_lines"), F.coalesce(F.size("_places"), F.lit(0)).alias("_gone"),
+        "row", F.when(F.col("places").isNull(), F.col("row.text")).otherwise(kept).alias("text"),
+        lines.alias("lines"), F.coalesce(F.size("places"), F.lit(0)).alias("removed"),
     )
 
 
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with all columns and without repeated lines in ``text``; a document whose every line went is gone, too."""
+    rows = _cleaned(docs, **options).where((F.col("removed") == 0) | (F.trim(F.col("text")) != ""))
+    return rows.select(*[
+        F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns
+    ])
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_lines, n_removed, text``: one row per row of ``docs (doc_id, text)``.
 
@@ -428,5 +436,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     are one document and lose the same lines.  A null doc_id comes before all
     others.  No rows give no rows; other columns are not read.
     """
-    rows = without_repeats(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), **options)
-    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), "text")
+    rows = _cleaned(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), **options)
+    return rows.select("row.doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), "text")

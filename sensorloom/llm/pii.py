@@ -305,22 +305,22 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"),
         F.min_by("kind", F.struct("start", "rank", "end")).alias("kind"),
     )
-    listed = merged.groupBy(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans")
+    listed = merged.groupBy(F.col("doc_id").alias("id"), "rk").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans")
     )
+    # The row as one column: whatever its columns are called, they meet no others.
     key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
-    both = docs.withColumn("_key", key).join(
-        listed, (F.col("_key") == F.col("_rk")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left"
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    both = rows.join(
+        listed, (F.col("key") == F.col("rk")) & F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("id")), "left"
     )
+    whole = F.col("row.text")
+    behind = lambda i: F.when(i == 0, 0).otherwise(F.element_at(F.col("spans"), F.greatest(i, F.lit(1)))["end"])
     # The piece before each span with the span's name, then the rest.
-    pieces = F.transform("_spans", lambda s, i: F.concat(
-        F.substring(
-            F.col("text"),
-            F.when(i == 0, 0).otherwise(F.element_at(F.col("_spans"), F.greatest(i, F.lit(1)))["end"]).cast("int") + 1,
-            (s["start"] - F.when(i == 0, 0).otherwise(F.element_at(F.col("_spans"), F.greatest(i, F.lit(1)))["end"])).cast("int"),
-        ),
+    pieces = F.transform("spans", lambda s, i: F.concat(
+        F.substring(whole, behind(i).cast("int") + 1, (s["start"] - behind(i)).cast("int")),
         F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")),
     ))
-    rest = F.substring(F.col("text"), F.element_at(F.col("_spans"), -1)["end"].cast("int") + 1, F.length("text"))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return both.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    rest = F.substring(whole, F.element_at(F.col("spans"), -1)["end"].cast("int") + 1, F.length(whole))
+    text = F.when(F.col("spans").isNull(), whole).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return both.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.llm import lines, packing, quality, simhash
+from sensorloom.llm import lines, packing, quality
 from sensorloom.llm.common import read
 from sensorloom.llm.queries import byte_bpe_files
 
@@ -78,13 +78,53 @@ def test_repeated_lines_go(stages):
 
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[2]
-    ids = sorted(table(before))
     rows = table(before)
-    prints = [simhash.fingerprint(rows[i].text) % (1 << 64) for i in ids]
-    linked = [(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids)) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    ids = sorted(rows)
+
+    def shingles(text):
+        words = text.encode().lower().split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(rows[i].text or "") for i in ids]
+    linked = [
+        (i, j) for i in range(len(ids)) for j in range(i + 1, len(ids))
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    ]
     assert set(table(after)) == {ids[i] for i in set(connected(len(ids), linked))}
 
 
+HARD = [
+    (1, "mail me: ab.c@d.org\nand a line of five words\nand a line of five words"), (2, None), (3, ""), (4, "Short."), (4, "Short."),
+    (None, "and a line of five words"), (5, "calm and plain text on one line. " * 3000), (6, "and a line of five words"), (None, None),
+]
+NAMES = ("_gone", "_lines", "_places", "_id", "_key", "_th", "_rk", "_spans", "key", "row", "id", "rk", "th", "places", "text_", "removed", "lines", "gone", "spans")
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_hard_rows_and_any_names(spark, number):
+    docs = read(spark, SF, "documents")
+    columns = [F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars")]
+    hard = spark.createDataFrame(HARD, "doc_id bigint, text string").select("doc_id", "text", *columns)
+    hard = hard.select(*docs.columns, *[F.lit("mine").alias(c) for c in NAMES])
+    name, stage = corpus_pipeline.STAGES[number]
+    out = stage(spark, hard, SF)
+    got = out.collect()
+    assert stage(spark, hard.where("false"), SF).count() == 0
+    if name == "packing":
+        assert sum(r.doc_id == 4 for r in got) == 2 and {r.doc_id for r in got} == {1, 2, 3, 4, 5, 6, None}
+        return
+    assert out.columns == hard.columns and all(r[c] == "mine" for r in got for c in NAMES)
+    texts = sorted(((r.doc_id, r.text) for r in got), key=str)
+    if name == "lines":
+        # A null doc_id comes first, so its line is the one that stays.
+        assert (1, "mail me: ab.c@d.org") in texts and (None, "and a line of five words") in texts
+        assert 6 not in {i for i, _ in texts} and texts.count((4, "Short.")) == 2 and (2, None) in texts
+    if name == "near_copies":
+        assert {i for i, _ in texts} == {None, 1, 2, 4, 5, 6}
+    if name == "personal_data":
+        assert len(got) == len(HARD) and any(i == 1 and t.startswith("mail me: [EMAIL]") for i, t in texts) and (2, None) in texts
+
+
 def test_personal_data_goes(stages):
     _, before, after = stages[3]
     mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
