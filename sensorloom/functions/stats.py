@@ -23,7 +23,9 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < huge)
 
 
-def beside(rows: DataFrame, stats: DataFrame, keys: Sequence[str], *, count: int | None = None, few: int = FEW) -> DataFrame:
+def beside(
+    rows: DataFrame, stats: DataFrame, keys: Sequence[str], *, count: int | None = None, few: int = FEW, how: str = "inner"
+) -> DataFrame:
     """Join one row of ``stats`` per group to the rows, wherever these lie.
 
     ``stats`` are counted (written first, unless ``count`` says how many there are).
@@ -33,7 +35,7 @@ def beside(rows: DataFrame, stats: DataFrame, keys: Sequence[str], *, count: int
     if count is None:
         stats = cut(stats)
         count = stats.count()
-    return rows.join(F.broadcast(stats) if count <= few else stats, list(keys))
+    return rows.join(F.broadcast(stats) if count <= few else stats, list(keys), how)
 
 
 def quantiles(
@@ -54,6 +56,16 @@ def quantiles(
     keys = list(keys)
     rows = df.where(value.isNotNull()).select(*keys, value.cast("double").alias("_v"))
     rows = rows if ready else cut(rows)
+    return _selected(rows, keys, probs)[0]
+
+
+def _selected(
+    rows: DataFrame, keys: list[str], probs: Mapping[str, float], known: tuple[int, int] | None = None
+) -> tuple[DataFrame, tuple[int, int]]:
+    """The quantiles of ``rows (keys, _v)``, and the values of the largest range and the number of ranges at first.
+
+    ``known`` are these two from other values of the same rows.
+    """
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     asked = F.explode(F.array(*[F.struct(F.lit(q).alias("_q"), F.lit(float(p)).alias("_p")) for q, p in probs.items()]))
     rank = F.col("_a._p") * (F.col("_n") - 1)
@@ -61,11 +73,16 @@ def quantiles(
         *keys, "_a._q", "_n", F.floor(rank).alias("_k"), (rank - F.floor(rank)).alias("_part"),
         "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inner"),
     )
-    while True:
+
+    def widest() -> tuple[int, int]:
         most, count = state.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_inner"))), F.count(F.lit(1))).first()
-        if most is None or most <= INNER:
-            break
+        return most or 0, count
+
+    # Values no more than this lie in any range; where that is known to be few, nothing is counted.
+    begun = most, count = known if known is not None and known[0] <= INNER else widest()
+    while most > INNER:
         state = cut(_narrowed(rows, state, keys, count))
+        most, _ = widest()
 
     last = F.least(F.col("_k") + 1, F.col("_n") - 1)
     ranges = state.groupBy(*keys, "_lo", "_hi").agg(F.first("_below").alias("_below"))
@@ -85,7 +102,7 @@ def quantiles(
     between = lambda q: F.col(f"_lo_{q}") + (F.col(f"_hi_{q}") - F.col(f"_lo_{q}")) * F.col(f"_part_{q}")
     # Equal neighbours need no sum: it would make infinities undefined.
     exact = lambda q: F.when(F.col(f"_lo_{q}") == F.col(f"_hi_{q}"), F.col(f"_lo_{q}")).otherwise(between(q))
-    return found.select(*keys, F.col("_n").alias("n"), *[exact(q).alias(q) for q in probs])
+    return found.select(*keys, F.col("_n").alias("n"), *[exact(q).alias(q) for q in probs]), begun
 
 
 def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], count: int) -> DataFrame:
@@ -134,12 +151,21 @@ def median(
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], value: str, *, ready: bool = False) -> DataFrame:
     """``(keys, median, mad)`` with the raw median absolute deviation."""
-    rows = df.select(*keys, value)
+    return counted_median_and_mad(df, keys, value, ready=ready)[0]
+
+
+def counted_median_and_mad(
+    df: DataFrame, keys: Sequence[str], value: str, *, ready: bool = False
+) -> tuple[DataFrame, int]:
+    """As :func:`median_and_mad`, and the number of groups."""
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     rows = rows if ready else cut(rows)
-    centre = cut(median(rows, keys, F.col(value), ready=True))
-    off = beside(rows, centre, keys, count=centre.count()).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_off"))
-    spread = quantiles(off, keys, F.col("_off"), {"mad": 0.5}, ready=True)
-    return centre.join(spread.select(*keys, "mad"), list(keys))
+    found, (most, count) = _selected(rows, keys, {"median": 0.5})
+    centre = cut(found.select(*keys, "median"))
+    off = beside(rows, centre, keys, count=count).select(*keys, F.abs(F.col("_v") - F.col("median")).alias("_v"))
+    spread, _ = _selected(off, keys, {"mad": 0.5}, (most, count))
+    return centre.join(spread.select(*keys, "mad"), keys), count
 
 
 def rank_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], *, block: int = BLOCK) -> DataFrame:

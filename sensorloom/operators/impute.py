@@ -41,14 +41,17 @@ def linear_fill(rows: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     return near.withColumn("filled", F.coalesce("value", filled)).drop("prev", "next")
 
 
-def gap_anchors(rows: DataFrame, gaps: DataFrame, step: int = HOUR, *, natural: bool = False) -> DataFrame:
+def gap_anchors(
+    rows: DataFrame, gaps: DataFrame, step: int = HOUR, *, natural: bool = False, near: DataFrame | None = None
+) -> DataFrame:
     """Gaps with the observed points ``(t0, v0)`` and ``(t1, v1)`` around them.
 
     A neighbour inside another gap of the same set is masked too; such gaps are
     linked and share the anchors of the whole chain.  ``natural`` gaps are the
-    holes of the rows themselves, which never touch.
+    holes of the rows themselves, which never touch.  ``near`` are the
+    :func:`neighbours` of the rows, where a caller has them.
     """
-    near = neighbours(rows.select("series", "blk", "ts", "value"))
+    near = neighbours(rows.select("series", "blk", "ts", "value")) if near is None else near
     ends = gaps.withColumn(
         "_end", F.timestamp_micros(micros("start_ts") + (F.col("len") - 1) * (step * MICROS))
     )
@@ -91,10 +94,13 @@ def failure_table(gaps: DataFrame, model: str, required: int) -> DataFrame:
 
 
 def linear_imputer(
-    rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, natural: bool = False, **_
+    rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, natural: bool = False, anchors: DataFrame | None = None, **_
 ) -> tuple[DataFrame, DataFrame]:
-    """Straight line between the observed rows around each gap."""
-    anchored = gap_rows(gap_anchors(rows, gaps, step, natural=natural), step)
+    """Straight line between the observed rows around each gap.
+
+    ``anchors`` are the gaps' :func:`gap_anchors`, where a caller has them.
+    """
+    anchored = gap_rows(gap_anchors(rows, gaps, step, natural=natural) if anchors is None else anchors, step)
     value = _line(F.col("t0"), F.col("v0"), F.col("t1"), F.col("v1"), F.col("ts"))
     return anchored.select(*gaps.columns, "ts", value.alias("pred")), _no_failures(gaps)
 
@@ -105,15 +111,15 @@ def season(ts: Column | str, step: int) -> Column:
 
 
 def seasonal_imputer(
-    rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, natural: bool = False, **_
+    rows: DataFrame, gaps: DataFrame, *, step: int = HOUR, natural: bool = False, anchors: DataFrame | None = None, **_
 ) -> tuple[DataFrame, DataFrame]:
     """Hour-of-day mean plus the interpolated distance from it.
 
     The hourly means leave the set's masked rows out: their sums are taken off
     the sums of the series.  Where an hour has no data left, and on steps other
-    than an hour, the plain line is used.
+    than an hour, the plain line is used.  ``anchors`` as in :func:`linear_imputer`.
     """
-    anchored = gap_rows(gap_anchors(rows, gaps, step, natural=natural), step)
+    anchored = gap_rows(gap_anchors(rows, gaps, step, natural=natural) if anchors is None else anchors, step)
     plain = _line(F.col("t0"), F.col("v0"), F.col("t1"), F.col("v1"), F.col("ts"))
     if step != HOUR:
         return anchored.select(*gaps.columns, "ts", plain.alias("pred")), _no_failures(gaps)
@@ -285,13 +291,13 @@ def context_frame(
 # --- scale of the error -------------------------------------------------------
 
 
-def naive_scale(rows: DataFrame, m: int, *, step: int = HOUR) -> DataFrame:
+def naive_scale(rows: DataFrame, m: int, *, step: int = HOUR, near: DataFrame | None = None) -> DataFrame:
     """Running sums for the seasonal-naive error of the history before any row.
 
     ``full`` sums ``|f(t) - f(t-m)|`` of the interpolated series; ``flat`` is the
     same for rows after the last observation of a history, which hold its value.
     """
-    near = neighbours(rows.select("series", "blk", "pos", "ts", "value"))
+    near = neighbours(rows.select("series", "blk", "pos", "ts", "value")) if near is None else near
     line = _line(F.col("prev.ts"), F.col("prev.value"), F.col("next.ts"), F.col("next.value"), F.col("ts"))
     filled = near.withColumn("f", F.coalesce("value", line))
     spread = halo(
@@ -315,10 +321,12 @@ def naive_scale(rows: DataFrame, m: int, *, step: int = HOUR) -> DataFrame:
     return carry(summed, {"seen": ("last", at_last)})
 
 
-def history_scale(rows: DataFrame, starts: DataFrame, m: int, *, step: int = HOUR) -> DataFrame:
+def history_scale(
+    rows: DataFrame, starts: DataFrame, m: int, *, step: int = HOUR, near: DataFrame | None = None
+) -> DataFrame:
     """``starts (series, start_ts)`` with ``scale``: mean seasonal-naive error of
     all rows before the start; null when the history is too short or constant."""
-    sums = naive_scale(rows, m, step=step)
+    sums = naive_scale(rows, m, step=step, near=near)
     wanted = starts.select("series", "start_ts").distinct().withColumn(
         "ts", F.timestamp_micros(micros("start_ts") - F.lit(step * MICROS))
     )

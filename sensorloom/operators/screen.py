@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import chance
-from sensorloom.functions.stats import beside, finite, median_and_mad
+from sensorloom.functions.stats import beside, counted_median_and_mad, finite, median_and_mad
 from sensorloom.operators.detect import MAD_TO_SIGMA
 from sensorloom.session import cut
 
@@ -33,12 +33,16 @@ def normalise(scores: DataFrame, keys: Sequence[str], *, ready: bool = False) ->
     return beside(scores, span, keys).withColumn("norm", scaled).drop("_lo", "_hi")
 
 
+def _limit(k: float) -> Column:
+    return F.col("median") + F.lit(k) * F.lit(MAD_TO_SIGMA) * F.col("mad")
+
+
 def thresholds(
     scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K, *, ready: bool = False
 ) -> DataFrame:
     """``median + k * 1.4826 * MAD`` of the finite scores; infinite without any."""
     found = median_and_mad(scores.where(finite(F.col("score"))), keys, "score", ready=ready).select(
-        *keys, (F.col("median") + F.lit(k) * F.lit(MAD_TO_SIGMA) * F.col("mad")).alias("threshold")
+        *keys, _limit(k).alias("threshold")
     )
     return scores.select(*keys).distinct().join(found, list(keys), "left").select(
         *keys, F.coalesce("threshold", F.lit(float("inf"))).alias("threshold")
@@ -48,7 +52,11 @@ def thresholds(
 def flag(scores: DataFrame, keys: Sequence[str], k: float = THRESHOLD_K, *, ready: bool = False) -> DataFrame:
     """Add ``threshold`` and ``flag``: finite and strictly above the threshold."""
     scores = scores if ready else cut(scores)
-    return beside(scores, thresholds(scores, keys, k, ready=True), keys).withColumn(
+    found, count = counted_median_and_mad(scores.where(finite(F.col("score"))), keys, "score", ready=True)
+    # Groups without a finite score have no median.
+    limit = F.coalesce(_limit(k), F.lit(float("inf")))
+    joined = beside(scores, found, keys, count=count, how="left").withColumn("threshold", limit).drop("median", "mad")
+    return joined.withColumn(
         "flag", F.coalesce(finite(F.col("score")) & (F.col("score") > F.col("threshold")), F.lit(False))
     )
 

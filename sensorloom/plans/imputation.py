@@ -67,16 +67,20 @@ def run_benchmark(
     """Impute artificial gaps of gridded series and score every model.
 
     ``rows`` (``series, blk, pos, ts, value``) and ``gaps`` must lie in tables.
-    The series are read once per model whatever the number of seeds and sizes.
+    The series are read once whatever the number of seeds and sizes; the trend and
+    forecasting imputers read them once more each.
     """
-    preds, failures = predict_gaps(rows, gaps, names, step=step, **options)
+    # Looked up by the interpolating imputers and by the scale of the error alike.
+    near = cut(impute.neighbours(rows.select("series", "blk", "pos", "ts", "value")))
+    anchors = cut(impute.gap_anchors(rows, gaps, step, near=near))
+    preds, failures = predict_gaps(rows, gaps, names, step=step, anchors=anchors, **options)
     truth = rows.select("series", "ts", F.col("value").alias("actual"))
     mask = gap_ops.gap_rows(gaps, step).select("series", "ts").distinct()
     naive = impute.seasonal_naive(rows, mask, m, step=step)
     predictions = cut(
         preds.join(truth, ["series", "ts"], "left").join(naive, ["series", "ts"], "left")
     )
-    scales = cut(impute.history_scale(rows, gaps.select("series", "start_ts"), m, step=step))
+    scales = cut(impute.history_scale(rows, gaps.select("series", "start_ts"), m, step=step, near=near))
     return Benchmark(result_rows(predictions, scales), predictions, failures)
 
 

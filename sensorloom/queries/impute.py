@@ -60,7 +60,21 @@ GAPS = V.HOURLY_PPB + """, hg AS (SELECT series, ts, value, (epoch_us(ts) - epoc
       CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END AS linear,
       clim + CASE WHEN v IS NOT NULL THEN v - clim WHEN r0 IS NULL THEN r1 WHEN r1 IS NULL THEN r0 ELSE r0 + (r1 - r0) * (t - t0) / (t1 - t0) END AS seasonal
       FROM near),
-    preds AS (SELECT 'LinearInterp' AS model, m.*, f.actual, f.linear AS pred FROM mask m
+    """ + V.segments_sql("hg") + """,
+    ctx AS (SELECT g.series, g.gap_size, g.seed, g.gap_id, g.start_ts, g.len, (epoch(s.ts) - epoch(g.start_ts)) / 3600 AS x, s.value AS y FROM gaps g
+      JOIN segments e ON e.series = g.series AND e.ts = g.start_ts - INTERVAL 1 HOUR
+      JOIN segments s ON s.series = g.series AND s.segment = e.segment AND s.ts < g.start_ts),
+    fit AS (SELECT series, gap_size, seed, gap_id, start_ts, unnest(range(0, len)) AS i, b, a FROM (
+      SELECT series, gap_size, seed, gap_id, start_ts, len, coalesce(regr_slope(y, x), 0) AS b, regr_intercept(y, x) AS a FROM ctx
+      GROUP BY series, gap_size, seed, gap_id, start_ts, len HAVING count(*) >= 3)),
+    trend AS (SELECT f.series, f.gap_size, f.seed, f.gap_id, f.start_ts + f.i * INTERVAL 1 HOUR AS ts,
+        any_value(f.a) + any_value(f.b) * f.i + coalesce(avg(c.y - f.a - f.b * c.x), 0) AS pred FROM fit f
+      LEFT JOIN ctx c ON c.series = f.series AND c.gap_size = f.gap_size AND c.seed = f.seed AND c.gap_id = f.gap_id
+        AND (f.i - c.x)::BIGINT % 24 = 0 GROUP BY f.series, f.gap_size, f.seed, f.gap_id, f.start_ts, f.i),
+    preds AS (SELECT 'TrendFit' AS model, m.*, h.value AS actual, t.pred FROM mask m
+        JOIN trend t ON t.series = m.series AND t.gap_size = m.gap_size AND t.seed = m.seed AND t.gap_id = m.gap_id AND t.ts = m.ts
+        JOIN hg h ON h.series = m.series AND h.ts = m.ts
+      UNION ALL SELECT 'LinearInterp' AS model, m.*, f.actual, f.linear AS pred FROM mask m
         JOIN filled f ON f.series = m.series AND f.ts = m.ts AND f.gap_size = m.gap_size AND f.seed = m.seed
       UNION ALL SELECT 'interp', m.*, f.actual, coalesce(f.seasonal, f.linear) FROM mask m
         JOIN filled f ON f.series = m.series AND f.ts = m.ts AND f.gap_size = m.gap_size AND f.seed = m.seed)"""
@@ -90,7 +104,7 @@ SCALES = f""", lin AS (SELECT series, ts, value, last_value(CASE WHEN value IS N
       ON g.model = p.model AND g.series = p.series AND g.gap_size = p.gap_size AND g.seed = p.seed)"""
 SCALES = SCALES.replace("GROUP BY ALL", "GROUP BY model, series, gap_size, seed, run, gap_id, start_ts, len")
 RESULTS = GAPS + SCALES
-MODELS = ["interp", "LinearInterp"]
+MODELS = ["interp", "LinearInterp", "TrendFit"]
 
 
 def benchmark(spark, sf):
@@ -279,20 +293,8 @@ def i9(spark, sf):
     return preds.select("model", "series", "gap_size", "seed", "gap_id", "ts", "pred")
 
 
-@query(
-    "I10_trend_imputation",
-    GAPS + f""", {V.segments_sql('ppb')}, ctx AS (
-      SELECT g.series, g.gap_size, g.seed, g.gap_id, g.start_ts, g.len, epoch(s.ts) / 3600 AS x, s.value AS y FROM gaps g
-      JOIN segments e ON e.series = g.series AND e.ts = g.start_ts - INTERVAL 1 HOUR
-      JOIN segments s ON s.series = g.series AND s.segment = e.segment AND s.ts < g.start_ts),
-    fit AS (SELECT series, gap_size, seed, gap_id, start_ts, len, regr_slope(y, x - epoch(start_ts) / 3600) AS b,
-      regr_intercept(y, x - epoch(start_ts) / 3600) AS a FROM ctx
-      GROUP BY series, gap_size, seed, gap_id, start_ts, len HAVING count(*) >= 3)
-    SELECT series, gap_size, seed, gap_id, start_ts + i * INTERVAL 1 HOUR AS ts, round(a + b * i, 6) AS pred FROM (
-      SELECT *, unnest(range(0, len)) AS i FROM fit)""",
-)
+@query("I10_trend_imputation", GAPS + " SELECT series, gap_size, seed, gap_id, ts, round(pred, 6) AS pred FROM trend")
 def i10(spark, sf):
-    # No observed run here reaches a day back, so the hourly part is 0.
     rows = hours(spark, sf)
     pred, _ = impute.trend_imputer(rows, gaps_of(rows))
     return pred.select("series", "gap_size", "seed", "gap_id", "ts", "pred")
