@@ -154,16 +154,6 @@ def _stretches(spark, sf):
     return cut(ship_stretches(spark, sf))
 
 
-@query("D8_trend_band")
-def d8(spark, sf):
-    return forecast.trend_band(_stretches(spark, sf), keys=cleaning.SEGMENT, step=DAY)
-
-
-@query("D9_forecast_error")
-def d9(spark, sf):
-    return forecast.forecast_error(_stretches(spark, sf), keys=cleaning.SEGMENT, step=DAY)
-
-
 _LENGTHS = ", ".join(f"('{name}', {d.min_len})" for name, d in registry.DETECTORS.items())
 
 
@@ -200,6 +190,17 @@ _BASE = {"LinearRegression": "0", "NLinear": f"x[{LAGS}]", "DLinear": "0"}
 _TARGETS = {"LinearRegression": 1, "NLinear": K, "DLinear": K}
 
 
+def eliminated_sql(source: str, name: str, keys: str) -> str:
+    """CTE ``name (keys, k, m)``: ``source (keys, m)``, rows of a square matrix and right sides, after each column.
+
+    At ``k = len(m)`` the matrix is the identity and the right sides are the solution.
+    """
+    return f"""{name} AS (SELECT {keys}, 0 AS k, m FROM {source}
+      UNION ALL SELECT {keys}, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1
+        THEN list_transform(r, lambda v: v / r[k + 1])
+        ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name} WHERE k < len(m))"""
+
+
 def solved_sql(source: str, name: str, keys: str, ridge: str) -> str:
     """CTEs to ``name (keys, mf, my, w)`` from ``source (keys, f, y)``: means, and weights ``w[feature][target]``.
 
@@ -215,10 +216,8 @@ def solved_sql(source: str, name: str, keys: str, ridge: str) -> str:
     {name}_g AS (SELECT {part}, s.i, m.i AS j, avg(s.v * m.v) + CASE WHEN s.i = m.i THEN {ridge} ELSE 0 END AS g
       FROM {name}_c s JOIN {name}_c m ON {on} AND s.id = m.id WHERE s.i <= s.nf GROUP BY {part}, s.i, m.i),
     {name}_r AS (SELECT {keys}, i, list(g ORDER BY j) AS r FROM {name}_g GROUP BY {keys}, i),
-    {name}_e AS (SELECT {keys}, 0 AS k, list(r ORDER BY i) AS m FROM {name}_r GROUP BY {keys}
-      UNION ALL SELECT {keys}, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1
-        THEN list_transform(r, lambda v: v / r[k + 1])
-        ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name}_e WHERE k < len(m)),
+    {name}_h AS (SELECT {keys}, list(r ORDER BY i) AS m FROM {name}_r GROUP BY {keys}),
+    {eliminated_sql(f'{name}_h', f'{name}_e', keys)},
     {name} AS (SELECT {keys}, mf, my, list_transform(done, lambda r: r[len(done) + 1:]) AS w FROM (
       SELECT {part}, any_value(s.m) AS done, list(m.mean ORDER BY i) FILTER (i <= nf) AS mf,
         list(m.mean ORDER BY i) FILTER (i > nf) AS my FROM {name}_e s JOIN {name}_m m ON {on} WHERE s.k = len(s.m) GROUP BY {part}))"""
@@ -270,6 +269,65 @@ def _forecasts(*names: str) -> str:
 _FORECAST = " SELECT series, model, ts, round(actual, 6) AS actual, round(pred, 6) AS pred FROM {0}_out"
 
 
+_KNOTS = [forecast.KNOT_RANGE * (i + 1) / forecast.KNOTS for i in range(forecast.KNOTS)]
+_HINGES = f"list_concat([1.0, share], list_transform({[repr(k) for k in _KNOTS]}::DOUBLE[], lambda c: greatest(share - c, 0)))"
+
+
+@query(
+    "D8_trend_band",
+    STRETCHES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", placed AS (SELECT series, segment, ts, value - avg(value) OVER w AS y,
+        coalesce((epoch(ts) - epoch(min(ts) OVER w)) / nullif(epoch(max(ts) OVER w) - epoch(min(ts) OVER w), 0), 0) AS share, row_number() OVER () AS id
+      FROM run WINDOW w AS (PARTITION BY series, segment)),
+    seen AS (SELECT *, {_HINGES} AS f FROM placed),
+    long AS (SELECT series, segment, id, unnest(list_append(f, y)) AS v, unnest(range(1, len(f) + 2)) AS i, len(f) AS nf FROM seen),
+    cells AS (SELECT a.series, a.segment, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i <> b.i THEN 0 WHEN a.i <= 2 THEN 1e-9 * count(*) ELSE 1e-3 * count(*) END AS g
+      FROM long a JOIN long b ON a.id = b.id WHERE a.i <= a.nf GROUP BY a.series, a.segment, a.i, b.i),
+    lines AS (SELECT series, segment, i, list(g ORDER BY j) AS r FROM cells GROUP BY 1, 2, 3),
+    system AS (SELECT series, segment, list(r ORDER BY i) AS m FROM lines GROUP BY 1, 2),
+    {eliminated_sql('system', 'steps', 'series, segment')},
+    model AS (SELECT series, segment, list_transform(m, lambda r: r[len(m) + 1]) AS b FROM steps WHERE k = len(m)),
+    off AS (SELECT s.series, s.segment, s.ts, s.y - list_dot_product(s.f, m.b) AS off FROM seen s
+      JOIN model m ON m.series = s.series AND m.segment = s.segment),
+    band AS (SELECT *, greatest({forecast.BAND!r} * sqrt(avg(off * off) OVER (PARTITION BY series, segment)), 1e-6) AS half FROM off)
+    SELECT series, segment, ts, round(greatest(abs(off) - half, 0) / half, 6) AS score FROM band""",
+)
+def d8(spark, sf):
+    return forecast.trend_band(_stretches(spark, sf), keys=cleaning.SEGMENT, step=DAY)
+
+
+_WIDE, _STEPS = 100, 8
+
+
+@query(
+    "D9_forecast_error",
+    STRETCHES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", whole AS (SELECT series, segment, list(ts ORDER BY ts) AS times,
+        list_transform(list(value ORDER BY ts), lambda v: (v - avg(value)) / CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END) AS vals
+      FROM run GROUP BY 1, 2 HAVING count(*) >= {_WIDE + 2 * _STEPS - 1}),
+    samples AS (SELECT series, segment, vals[s + 1:s + {_WIDE}] AS f, vals[s + {_WIDE} + 1:s + {_WIDE + _STEPS}] AS y FROM (
+      SELECT *, unnest(range(0, len(vals) - {_WIDE + _STEPS - 1})) AS s FROM whole)),
+    {solved_sql('samples', 'fit', 'series, segment', str(RIDGE))},
+    stacks AS (SELECT w.series, w.segment, times[place + 1] AS ts, list_transform(range(0, {_STEPS}), lambda h: vals[place + 1] - my[h + 1]
+        - list_sum(list_transform(range(1, {_WIDE + 1}), lambda i: (vals[place - {_WIDE} - h + i] - mf[i]) * w[i][h + 1]))) AS e
+      FROM (SELECT *, unnest(range({_WIDE + _STEPS - 1}, len(vals))) AS place FROM whole) w JOIN fit ON fit.series = w.series AND fit.segment = w.segment),
+    parts AS (SELECT series, segment, ts, unnest(e) AS e, unnest(range(1, {_STEPS + 1})) AS i FROM stacks),
+    normal AS (SELECT a.series, a.segment, a.i, b.i AS j, covar_samp(a.e, b.e) + CASE WHEN a.i = b.i THEN 1e-6 ELSE 0 END AS g, avg(a.e) AS mean
+      FROM parts a JOIN parts b ON a.series = b.series AND a.segment = b.segment AND a.ts = b.ts GROUP BY 1, 2, 3, 4),
+    sides AS (SELECT series, segment, i, any_value(mean) AS mean, list_concat(list(g ORDER BY j),
+      list_transform(range(1, {_STEPS + 1}), lambda j: CASE WHEN j = i THEN 1.0 ELSE 0.0 END)) AS r FROM normal GROUP BY 1, 2, 3),
+    system AS (SELECT series, segment, list(r ORDER BY i) AS m FROM sides GROUP BY 1, 2),
+    {eliminated_sql('system', 'steps', 'series, segment')},
+    shape AS (SELECT series, segment, list_transform(m, lambda r: r[{_STEPS + 1}:]) AS inv FROM steps WHERE k = {_STEPS}),
+    centre AS (SELECT series, segment, list(mean ORDER BY i) AS mean FROM sides GROUP BY 1, 2),
+    far AS (SELECT s.series, s.segment, s.ts, list_transform(list_zip(e, mean), lambda p: p[1] - p[2]) AS o, inv FROM stacks s
+      JOIN shape p ON p.series = s.series AND p.segment = s.segment JOIN centre c ON c.series = s.series AND c.segment = s.segment),
+    known AS (SELECT series, segment, ts, list_sum(list_transform(list_zip(o, inv), lambda p: p[1] * list_dot_product(p[2], o))) AS score FROM far)
+    SELECT r.series, r.segment, r.ts, round(coalesce(k.score, 0), 6) AS score FROM run r JOIN whole w ON w.series = r.series AND w.segment = r.segment
+    LEFT JOIN known k ON k.series = r.series AND k.segment = r.segment AND k.ts = r.ts""",
+)
+def d9(spark, sf):
+    return forecast.forecast_error(_stretches(spark, sf), keys=cleaning.SEGMENT, step=DAY)
+
+
 def _backtest(spark, sf, names):
     rows = ship_rows(spark, sf)
     windows = window(rows)
@@ -292,7 +350,20 @@ def f3(spark, sf):
     return _backtest(spark, sf, ["DLinear"])[2]
 
 
-@query("F4_rolling_backtest")
+@query(
+    "F4_rolling_backtest",
+    _forecasts(*forecast.MODELS) + f""", every AS ({' UNION ALL '.join(f'SELECT * FROM {n}_out' for n in forecast.MODELS)}),
+    near AS (SELECT series, ts, value, last_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER a AS t0,
+        last_value(value IGNORE NULLS) OVER a AS v0, first_value(CASE WHEN value IS NOT NULL THEN ts END IGNORE NULLS) OVER b AS t1,
+        first_value(value IGNORE NULLS) OVER b AS v1 FROM past
+      WINDOW a AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        b AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    filled AS (SELECT series, ts, CASE WHEN value IS NOT NULL THEN value WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0
+      ELSE v0 + (v1 - v0) * (epoch(ts) - epoch(t0)) / (epoch(t1) - epoch(t0)) END AS f FROM near),
+    sc AS (SELECT series, avg(d) AS scale FROM (SELECT series, abs(f - lag(f, {M}) OVER (PARTITION BY series ORDER BY ts)) AS d FROM filled) GROUP BY 1)
+    SELECT e.series, model, round(sqrt(avg((actual - pred) * (actual - pred))), 6) AS rmse, round(avg(abs(actual - pred)), 6) AS mae,
+      round(avg(abs(actual - pred)) / any_value(scale), 6) AS mase, count(*) AS n_eval FROM every e JOIN sc ON sc.series = e.series GROUP BY 1, 2""",
+)
 def f4(spark, sf):
     rows, windows, forecasts = _backtest(spark, sf, list(forecast.MODELS))
     return forecast.backtest_metrics(forecasts, splits.rows_before(rows, windows), windows, m=M, step=DAY)
