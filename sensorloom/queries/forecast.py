@@ -11,11 +11,12 @@ from sensorloom.queries import views as V
 from sensorloom.queries.detect import RUN, STRETCHES, ship_stretches
 from sensorloom.queries.grid import _BEST
 from sensorloom.queries.impute import RESULTS, benchmark
+from sensorloom.queries.linear import BASE, LAGS, RIDGE, SEEN, TARGETS, K, ahead, eliminated_sql, samples_sql, solved_sql
 from sensorloom.queries.registry import query
 from sensorloom.session import cut
 from sensorloom.sources import store
 
-LAGS, K, HOLDOUT, CONTEXT, M = 28, 5, 168, 72, 7
+HOLDOUT, CONTEXT, M = 168, 72, 7
 
 _HELD = _BEST + """, held AS (SELECT m.series, d.ts FROM best b JOIN members m ON m.k = b.k AND m.run_start = b.run_start
       JOIN daily d ON d.series = m.series AND d.ts BETWEEN b.run_start AND b.run_end),
@@ -168,94 +169,31 @@ def d11(spark, sf):
     return scores.groupBy("detector", "series", "segment").agg(F.count("score").alias("n_scored"))
 
 
-# --- least squares in SQL -------------------------------------------------------
-
-RIDGE = forecast.RIDGE
-_HALF = (forecast.SMOOTH - 1) // 2
-
-
-def _smoothed(x: str) -> str:
-    """Moving average of the list ``x`` of lags, its ends held."""
-    return f"""list_transform({x}, lambda v, i: list_avg(list_transform(range(0, {forecast.SMOOTH}),
-      lambda s: {x}[greatest(1, least({LAGS}, i - {_HALF} + s))])))"""
-
-
-# What each model sees of a context ``x`` of lags, and what it adds to its targets' forecast.
-_SEEN = {
-    "LinearRegression": "x",
-    "NLinear": f"list_transform(x[1:{LAGS - 1}], lambda v: v - x[{LAGS}])",
-    "DLinear": f"list_concat({_smoothed('x')}, list_transform(list_zip(x, {_smoothed('x')}), lambda p: p[1] - p[2]))",
-}
-_BASE = {"LinearRegression": "0", "NLinear": f"x[{LAGS}]", "DLinear": "0"}
-_TARGETS = {"LinearRegression": 1, "NLinear": K, "DLinear": K}
-
-
-def eliminated_sql(source: str, name: str, keys: str) -> str:
-    """CTE ``name (keys, k, m)``: ``source (keys, m)``, rows of a square matrix and right sides, after each column.
-
-    At ``k = len(m)`` the matrix is the identity and the right sides are the solution.
-    """
-    return f"""{name} AS (SELECT {keys}, 0 AS k, m FROM {source}
-      UNION ALL SELECT {keys}, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1
-        THEN list_transform(r, lambda v: v / r[k + 1])
-        ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name} WHERE k < len(m))"""
-
-
-def solved_sql(source: str, name: str, keys: str, ridge: str) -> str:
-    """CTEs to ``name (keys, mf, my, w)`` from ``source (keys, f, y)``: means, and weights ``w[feature][target]``.
-
-    ``ridge`` is added to the diagonal of the features' covariance; the system is
-    eliminated column by column.
-    """
-    on = " AND ".join(f"s.{k.strip()} = m.{k.strip()}" for k in keys.split(","))
-    part = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
-    return f"""{name}_z AS (SELECT {keys}, list_concat(f, y) AS z, len(f) AS nf, row_number() OVER () AS id FROM {source}),
-    {name}_l AS (SELECT {keys}, id, nf, unnest(z) AS v, unnest(range(1, len(z) + 1)) AS i FROM {name}_z),
-    {name}_m AS (SELECT {keys}, i, avg(v) AS mean, any_value(nf) AS nf FROM {name}_l GROUP BY {keys}, i),
-    {name}_c AS (SELECT {part}, s.id, s.i, s.nf, s.v - m.mean AS v FROM {name}_l s JOIN {name}_m m ON {on} AND s.i = m.i),
-    {name}_g AS (SELECT {part}, s.i, m.i AS j, avg(s.v * m.v) + CASE WHEN s.i = m.i THEN {ridge} ELSE 0 END AS g
-      FROM {name}_c s JOIN {name}_c m ON {on} AND s.id = m.id WHERE s.i <= s.nf GROUP BY {part}, s.i, m.i),
-    {name}_r AS (SELECT {keys}, i, list(g ORDER BY j) AS r FROM {name}_g GROUP BY {keys}, i),
-    {name}_h AS (SELECT {keys}, list(r ORDER BY i) AS m FROM {name}_r GROUP BY {keys}),
-    {eliminated_sql(f'{name}_h', f'{name}_e', keys)},
-    {name} AS (SELECT {keys}, mf, my, list_transform(done, lambda r: r[len(done) + 1:]) AS w FROM (
-      SELECT {part}, any_value(s.m) AS done, list(m.mean ORDER BY i) FILTER (i <= nf) AS mf,
-        list(m.mean ORDER BY i) FILTER (i > nf) AS my FROM {name}_e s JOIN {name}_m m ON {on} WHERE s.k = len(s.m) GROUP BY {part}))"""
-
-
-# Training windows before the hold-out and contexts in it, both scaled.
-_FIT = _HOLD.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
-    past AS (SELECT g.series, g.ts, g.value FROM ship_grid g JOIN hw ON hw.series = g.series WHERE g.ts < hw.holdout_start),
-    {V.segments_sql('past', 'pieces')},
+# Scaled training windows of the rows in ``past``.
+_TRAIN = f"""{V.segments_sql('past', 'pieces')},
     longest AS (SELECT series, segment AS first, segment_len AS n, greatest({K}, least(48, segment_len // 5)) AS val FROM (
       SELECT DISTINCT series, segment, segment_len, dense_rank() OVER (PARTITION BY series ORDER BY segment_len DESC, segment) AS r
       FROM pieces WHERE segment_len >= {LAGS + K}) WHERE r = 1),
     train AS (SELECT p.series, p.segment, p.ts, p.value FROM pieces p JOIN longest l ON l.series = p.series
       WHERE p.segment_len >= {LAGS + K} AND l.n >= {LAGS + 2 * K} + l.val
         AND (p.segment <> l.first OR date_diff('day', p.ts, p.segment_end) >= l.val)),
-    unit AS (SELECT series, avg(value) AS mean, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END AS std FROM train GROUP BY 1),
-    lines AS (SELECT t.series, segment, list((value - mean) / std ORDER BY ts) AS vals FROM train t JOIN unit u ON u.series = t.series GROUP BY 1, 2),
-    samples AS (SELECT series, vals[s + 1:s + {LAGS}] AS x, vals[s + {LAGS} + 1:s + {LAGS + K}] AS y FROM (
-      SELECT *, unnest(range(0, len(vals) - {LAGS + K - 1})) AS s FROM lines WHERE len(vals) >= {LAGS + K})),
+    {samples_sql('train')}"""
+# Those before the hold-out, and the contexts in it.
+_FIT = _HOLD.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    past AS (SELECT g.series, g.ts, g.value FROM ship_grid g JOIN hw ON hw.series = g.series WHERE g.ts < hw.holdout_start), {_TRAIN},
     held AS (SELECT r.series, any_value(eval_start) AS eval_start, list((r.value - mean) / std ORDER BY r.ts) AS vals FROM run r
       JOIN hw ON hw.series = r.series JOIN unit u ON u.series = r.series WHERE r.ts BETWEEN eval_start AND eval_end GROUP BY 1),
     origins AS (SELECT series, s, eval_start, vals[s + 1:s + {LAGS}] AS x, vals[s + {LAGS} + 1:s + {LAGS + K}] AS y FROM (
       SELECT *, unnest(range({CONTEXT - LAGS}, len(vals) - {LAGS + K - 1}, {K})) AS s FROM held))"""
 
 
-def _ahead(name: str) -> str:
-    """The model's values behind the context ``x``, from the columns of its solution."""
-    return f"""list_transform(my, lambda c, h: c + {_BASE[name]} + list_sum(list_transform(list_zip({_SEEN[name]}, mf, w),
-      lambda p: (p[1] - p[2]) * p[3][h])))"""
-
-
 def forecast_sql(name: str) -> str:
     """CTEs to ``<name>_out (series, model, ts, actual, pred)``."""
-    base = _BASE[name]
-    return f"""{name}_in AS (SELECT series, {_SEEN[name]} AS f, list_transform(y[1:{_TARGETS[name]}], lambda v: v - {base}) AS y FROM samples),
+    base = BASE[name]
+    return f"""{name}_in AS (SELECT series, {SEEN[name]} AS f, list_transform(y[1:{TARGETS[name]}], lambda v: v - {base}) AS y FROM samples),
     {solved_sql(f'{name}_in', f'{name}_s', 'series', str(RIDGE))},
     {name}_roll AS (SELECT o.series, s, eval_start, x, y, []::DOUBLE[] AS p, m.mf, m.my, m.w FROM origins o JOIN {name}_s m ON m.series = o.series
-      UNION ALL SELECT series, s, eval_start, list_concat(x, {_ahead(name)})[-{LAGS}:], y, list_concat(p, {_ahead(name)}), mf, my, w
+      UNION ALL SELECT series, s, eval_start, list_concat(x, {ahead(name)})[-{LAGS}:], y, list_concat(p, {ahead(name)}), mf, my, w
       FROM {name}_roll WHERE len(p) < {K}),
     {name}_out AS (SELECT r.series, '{name}' AS model, eval_start + (s + {LAGS} + h) * INTERVAL 1 DAY AS ts,
       y[h + 1] * std + mean AS actual, p[h + 1] * std + mean AS pred FROM (
@@ -393,7 +331,26 @@ def f6(spark, sf):
     return report.compare_arms(cut(benchmark(spark, sf).results).withColumn("arm", arm))
 
 
-@query("F7_trained_models")
+# Maps from lags to targets, as lists of (step ahead, lag, weight).
+_MAPS = {
+    "LinearRegression": "w[j][h]",
+    "NLinear": f"CASE WHEN j < {LAGS} THEN w[j][h] ELSE 1 - list_sum(list_transform(w, lambda r: r[h])) END",
+    "DLinear": f"""w[{LAGS} + j][h] + list_sum(list_transform(range(1, {LAGS + 1}), lambda i: (w[i][h] - w[{LAGS} + i][h])
+      * len(list_filter(range(0, {forecast.SMOOTH}), lambda s: greatest(1, least({LAGS}, i - {(forecast.SMOOTH - 1) // 2} + s)) = j)) / {forecast.SMOOTH}.0))""",
+}
+
+
+def _map_sql(name: str) -> str:
+    return f"""SELECT '{name}' AS model, 0 AS epoch, {TARGETS[name]} AS k, h, j AS lag, round({_MAPS[name]}, 6) AS weight FROM {name}_s,
+      (SELECT unnest(range(1, {TARGETS[name] + 1})) AS h), (SELECT unnest(range(1, {LAGS + 1})) AS j)"""
+
+
+@query(
+    "F7_trained_models",
+    V.SHIP.replace("WITH ", "WITH RECURSIVE ", 1) + f""", past AS (SELECT series, ts, value FROM ship_grid), {_TRAIN},
+    """ + ", ".join(f"""{n}_in AS (SELECT 'every' AS every, {SEEN[n]} AS f, list_transform(y[1:{TARGETS[n]}], lambda v: v - {BASE[n]}) AS y FROM samples),
+    {solved_sql(f'{n}_in', f'{n}_s', 'every', str(RIDGE))}""" for n in forecast.MODELS) + " " + " UNION ALL ".join(_map_sql(n) for n in forecast.MODELS),
+)
 def f7(spark, sf):
     rows = ship_rows(spark, sf)
     train = cut(splits.backtest_runs(rows, lags=LAGS, k=K, step=DAY).where("role = 'train'"))
@@ -403,8 +360,11 @@ def f7(spark, sf):
     folder = store.scratch_folder(spark, "curves")
     store.write_curves(times, folder)
     kept = spark.read.parquet(folder).select("model_name", "epoch")
-    return models.join(kept, F.col("model") == F.col("model_name")).select(
-        "model", "epoch", "k", F.size("coef").alias("n_coef")
+    joined = models.join(kept, F.col("model") == F.col("model_name"))
+    weights = joined.select("model", "epoch", "k", F.posexplode("coef").alias("at", "weight"))
+    return weights.select(
+        "model", "epoch", "k", (F.floor(F.col("at") / LAGS) + 1).alias("h"),
+        (F.col("at") % LAGS + 1).cast("bigint").alias("lag"), F.round("weight", 6).alias("weight"),
     )
 
 

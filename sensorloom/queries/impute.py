@@ -8,6 +8,7 @@ from sensorloom.functions.blocks import DAY, HOUR
 from sensorloom.operators import gaps as G
 from sensorloom.operators import grid, impute, report
 from sensorloom.plans import imputation
+from sensorloom.queries import linear
 from sensorloom.queries import views as V
 from sensorloom.queries.registry import query
 from sensorloom.session import cut
@@ -285,11 +286,43 @@ def i11(spark, sf):
     return impute.failure_table(counted.where("available < 4"), "model", 4)
 
 
-@query("I9_model_imputation")
+# Daily gaps, training stretches without them, and the context of those that have enough.
+_DAILY_GAPS = V.SHIP.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+    spec AS (SELECT series, 0 AS gap_size, 1 AS seed, pos AS gap_id, ts AS start_ts, 1 + pos % 4 AS len FROM ship_grid WHERE pos % 97 = 5
+      UNION ALL SELECT series, 3, 2, pos, ts, 3 FROM ship_grid WHERE pos % 61 IN (7, 10)),
+    gaps AS (SELECT s.* FROM spec s JOIN (SELECT series, max(pos) AS top FROM ship_grid GROUP BY 1) t ON t.series = s.series WHERE gap_id + len - 1 <= top),
+    masked AS (SELECT DISTINCT series, gap_id + unnest(range(0, len)) AS pos FROM gaps),
+    past AS (SELECT g.series, g.ts, CASE WHEN m.pos IS NULL THEN g.value END AS value FROM ship_grid g
+      LEFT JOIN masked m ON m.series = g.series AND m.pos = g.pos),
+    {V.segments_sql('past', 'pieces')}, train AS (SELECT series, segment, ts, value FROM pieces WHERE segment_len >= {linear.LAGS + linear.K}),
+    {linear.samples_sql('train')},
+    context AS (SELECT g.series, g.gap_size, g.seed, g.gap_id, g.start_ts, g.len, list((r.value - mean) / std ORDER BY r.pos) AS x FROM gaps g
+      JOIN ship_grid r ON r.series = g.series AND r.pos BETWEEN g.gap_id - {linear.LAGS} AND g.gap_id - 1 JOIN unit u ON u.series = g.series
+      GROUP BY g.series, g.gap_size, g.seed, g.gap_id, g.start_ts, g.len HAVING count(r.value) = {linear.LAGS})"""
+
+
+def _imputed(name: str) -> str:
+    ahead, base, k = linear.ahead(name), linear.BASE[name], linear.TARGETS[name]
+    return f"""{name}_in AS (SELECT 'every' AS every, {linear.SEEN[name]} AS f, list_transform(y[1:{k}], lambda v: v - {base}) AS y FROM samples),
+    {linear.solved_sql(f'{name}_in', f'{name}_s', 'every', str(linear.RIDGE))},
+    {name}_roll AS (SELECT c.*, []::DOUBLE[] AS p, m.mf, m.my, m.w FROM context c, {name}_s m
+      UNION ALL SELECT series, gap_size, seed, gap_id, start_ts, len, list_concat(x, {ahead})[-{linear.LAGS}:], list_concat(p, {ahead}), mf, my, w
+      FROM {name}_roll WHERE len(p) < len),
+    {name}_out AS (SELECT '{name}' AS model, r.series, gap_size, seed, gap_id, start_ts + h * INTERVAL 1 DAY AS ts, round(p[h + 1] * std + mean, 6) AS pred
+      FROM (SELECT *, unnest(range(0, len)) AS h FROM {name}_roll WHERE len(p) >= len) r JOIN unit u ON u.series = r.series)"""
+
+
+_GLOBAL = ["LinearRegression", "NLinear", "DLinear"]
+
+
+@query(
+    "I9_model_imputation",
+    _DAILY_GAPS + ", " + ", ".join(_imputed(n) for n in _GLOBAL) + " " + " UNION ALL ".join(f"SELECT * FROM {n}_out" for n in _GLOBAL),
+)
 def i9(spark, sf):
     rows = cut(V.ship_grid(spark, sf))
     gaps = gaps_of(rows, DAY)
-    preds, failures = imputation.predict_gaps(rows, gaps, ["LinearRegression", "NLinear", "DLinear"], step=DAY, lags=28)
+    preds, failures = imputation.predict_gaps(rows, gaps, _GLOBAL, step=DAY, lags=linear.LAGS)
     return preds.select("model", "series", "gap_size", "seed", "gap_id", "ts", "pred")
 
 
