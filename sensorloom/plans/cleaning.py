@@ -67,14 +67,15 @@ def score_segments(
     """
     spark, keys = rows.sparkSession, list(keys)
     known = DETECTORS | dict(extra or {})
-    sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points")))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
     types = dict(rows.dtypes)
     schema = ", ".join(["detector string", *[f"{k} {types[k]}" for k in keys], "ts timestamp, score double, error string"])
     tables, states, times = [], [], []
     for name in resolve_detectors(names, extra):
         detector = known[name]
         fitting = rows if size is None else rows.where(F.col(size) >= detector.min_len)
-        error = F.lit(None).cast("string")
+        error = failed = F.lit(None).cast("string")
+        problems = None
         begun = made = time.perf_counter()
         try:
             scored = detector.score(
@@ -83,22 +84,25 @@ def score_segments(
             made = time.perf_counter()
             error = F.col("error") if "error" in scored.columns else error
             table = cut(scored.select(F.lit(name).alias("detector"), *keys, "ts", "score", error.alias("error")))
-            problems = table.where("error is not null").groupBy(*keys).agg(F.min("error").alias("error"))
+            if "error" in scored.columns:
+                problems = table.where("error is not null").groupBy(*keys).agg(F.min("error").alias("error"))
         except Exception as problem:  # noqa: BLE001 - a detector's failure is a row, not the end
             if spark.sparkContext._jsc.sc().isStopped():
                 raise
             text = f"{type(problem).__name__}: {problem}".splitlines()[0][:500]
-            table, problems = spark.createDataFrame([], schema), sizes.select(*keys, F.lit(text).alias("error"))
+            table, failed = spark.createDataFrame([], schema), F.lit(text)
         done = time.perf_counter()
         tables.append(table)
         given = sizes if size is None else sizes.where(F.col("n_points") >= detector.min_len)
-        states.append(given.join(problems, keys, "left").select(F.lit(name).alias("detector"), *keys, "n_points", "error"))
+        state = given.withColumn("error", failed) if problems is None else given.join(problems, keys, "left")
+        states.append(state.select(F.lit(name).alias("detector"), *keys, "n_points", "error"))
         times.append((name, made - begun, done - made))
     every = reduce(DataFrame.unionByName, tables)
-    status = cut(reduce(DataFrame.unionByName, states))
+    # Worked out only where they are asked for.
+    status = reduce(DataFrame.unionByName, states)
     points = status.groupBy("detector").agg(F.sum("n_points").alias("n_points"))
     seconds = spark.createDataFrame(times, "detector string, fit_seconds double, score_seconds double")
-    return Scoring(every.where("error is null").drop("error"), status, cut(seconds.join(points, ["detector"], "left")))
+    return Scoring(every.where("error is null").drop("error"), status, seconds.join(points, ["detector"], "left"))
 
 
 def score_all(rows: DataFrame, names: Sequence[str] | None, **options) -> DataFrame:
