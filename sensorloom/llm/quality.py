@@ -2,14 +2,17 @@
 
 Every document has a strength, a weighted sum of features of its text.  The
 weights maximise the likelihood that in pairs of a good and a bad document the
-good one wins: logistic loss on feature differences.  Documents are accepted from
-the quantile of the strengths on that leaves out the labelled share of bad ones.
+good one wins: logistic loss on feature differences.  All labelled documents take
+part: they are dealt over blocks, and in a block every good one meets every bad one.
+Documents are accepted from the quantile of the labelled documents' strengths on
+that leaves out the bad ones' share.
 """
 
 from __future__ import annotations
 
 import math
 import operator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions import stats
 from sensorloom.llm import common, labelled
 
-# Parameters of the fit: labelled documents, pairs, ridge, accepted score.
-SAMPLE, PAIRS, RIDGE, ACCEPT = 20_000, 40_000, 1e-3, 0.7
+# Parameters of the fit: ridge, accepted score, Newton steps at most.
+RIDGE, ACCEPT, STEPS = 1e-3, 0.7, 30
+# Labelled documents of a block, and those of each kind it holds on average at least.
+BLOCK, LEAST = 2048, 64
 # Standardised features are cut off at this many deviations, strengths at this many units.
 CLIP, REACH = 4.0, 30.0
 
@@ -101,58 +107,159 @@ class Ranking:
         return np.where(above >= 0, np.maximum(score, ACCEPT), np.minimum(score, np.nextafter(ACCEPT, 0)))
 
 
-def fit(rows: np.ndarray, good: np.ndarray, *, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = 7) -> Ranking:
-    """Bradley-Terry weights from pairs of good and bad rows; all zero where one kind is missing."""
+def pair_sums(good: np.ndarray, bad: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Number of pairs of good and bad rows, gradient of their log likelihood and its negative curvature, in one row."""
+    width = len(weights)
+    gradient, curve = np.zeros(width), np.zeros((width, width))
+    against = bad @ weights
+    # Some rows at a time against all of the block's other kind.
+    for start in range(0, len(good) if len(bad) else 0, BLOCK):
+        x = good[start : start + BLOCK]
+        lost = 1 / (1 + np.exp(np.clip((x @ weights)[:, None] - against, -REACH, REACH)))
+        gradient += lost.sum(axis=1) @ x - lost.sum(axis=0) @ bad
+        both = lost * (1 - lost)
+        cross = x.T @ (both @ bad)
+        curve += (x * both.sum(axis=1)[:, None]).T @ x + (bad * both.sum(axis=0)[:, None]).T @ bad - cross - cross.T
+    return np.concatenate([[float(len(good)) * len(bad)], gradient, curve.ravel()])
+
+
+def climbed(sums: Callable[[np.ndarray], np.ndarray], ridge: float = RIDGE) -> np.ndarray:
+    """Weights of the largest likelihood, by Newton steps over ``sums`` of :func:`pair_sums`."""
     width = len(NAMES)
-    if not len(rows) or good.all() or not good.any():
-        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    deviation = rows.std(axis=0)
-    model = Ranking(rows.mean(axis=0), np.where(deviation > 1e-9, deviation, 1.0), np.zeros(width), 0.0)
-    x, draw = model.standard(rows), np.random.default_rng(seed)
-    winners, losers = np.flatnonzero(good), np.flatnonzero(~good)
-    difference = x[draw.choice(winners, pairs)] - x[draw.choice(losers, pairs)]
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(difference @ model.weights, -REACH, REACH)))
-        gradient = difference.T @ (1 - p) / pairs - ridge * model.weights
-        curve = (difference * (p * (1 - p))[:, None]).T @ difference / pairs + ridge * np.eye(width)
+    weights = np.zeros(width)
+    for _ in range(STEPS):
+        found = sums(weights)
+        gradient = found[1 : width + 1] / found[0] - ridge * weights
+        curve = found[width + 1 :].reshape(width, width) / found[0] + ridge * np.eye(width)
         step = np.linalg.solve(curve, gradient)
-        model.weights = model.weights + step
+        weights = weights + step
         if np.abs(step).max() < 1e-8:
             break
+    return weights
+
+
+def _flat() -> Ranking:
+    width = len(NAMES)
+    return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
+
+
+def _scaled(mean: np.ndarray, deviation: np.ndarray) -> Ranking:
+    return Ranking(mean, np.where(deviation > 1e-9, deviation, 1.0), np.zeros(len(NAMES)), 0.0)
+
+
+def fit(rows: np.ndarray, good: np.ndarray, *, ridge: float = RIDGE) -> Ranking:
+    """:func:`fitted` for one block: Bradley-Terry weights from all pairs; all zero where one kind is missing."""
+    if not len(rows) or good.all() or not good.any():
+        return _flat()
+    model = _scaled(rows.mean(axis=0), rows.std(axis=0))
+    x = model.standard(rows)
+    model.weights = climbed(lambda weights: pair_sums(x[good], x[~good], weights), ridge)
     ordered = np.sort(model.strengths(rows))
     border = int((~good).sum())
     model.accepted = float((ordered[border - 1] + ordered[border]) / 2)
     return model
 
 
-def scored(
-    docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 4, held: int = 2, sample: int = SAMPLE
-) -> DataFrame:
-    """``doc_id, held_out, score, predicted``: one row per row of ``docs (doc_id, text)``.
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
 
-    Fitted on about ``sample`` labelled documents outside the held-out fold, at
-    most; ids, labels and other columns are never inputs of a score.  A null text
-    is the empty one and is scored by zero features.  Without labels of both
-    kinds every document has the score 0.7 and is accepted.  Repeated rows are
-    each reported; a null doc_id is in no fold; no rows give no rows.
+
+def _totals(rows: DataFrame, column: str = "x") -> np.ndarray:
+    """Sums over the rows of each place of an array, exact in decimals and so the same in every run."""
+    parts = rows.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(
+        F.sum(F.col("v").cast("decimal(28,10)")).alias("v")
+    )
+    # One row for each place of the array.
+    return np.array([float(r.v) for r in sorted(parts.collect(), key=lambda r: r.i)])
+
+
+def dealt(known: DataFrame, n_good: int, n_bad: int, *, block: int = BLOCK, least: int = LEAST) -> DataFrame:
+    """``good, bad``: features of the ``known (label, place, x)`` documents of each block, in a row.
+
+    Every document is in a block.  Where a kind is so rare that a block would hold
+    fewer than ``least`` of it, each of its documents is in several.
     """
+    blocks = max(1, -(-(n_good + n_bad) // block))
+    copies = [min(blocks, -(-least * blocks // n)) for n in (n_bad, n_good)]
+    turns = F.sequence(F.lit(0), F.when(F.col("label") == 1, copies[1]).otherwise(copies[0]) - 1)
+    placed = known.withColumn("turn", F.explode(turns)).withColumn("block", F.pmod(F.col("place") + F.col("turn"), F.lit(blocks)))
+    kind = lambda k: F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("label") == k, F.struct("place", "x")))), lambda r: r["x"]
+    ))
+    return placed.groupBy("block").agg(kind(1).alias("good"), kind(0).alias("bad")).drop("block")
+
 
-    def describe(batches):
+def fitted(known: DataFrame, *, ridge: float = RIDGE, block: int = BLOCK) -> Ranking:
+    """Bradley-Terry weights and border from all ``known (label, place, x)`` documents; all zero where one kind is missing."""
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_good, n_bad = counts.get(1, 0), counts.get(0, 0)
+    if not n_good or not n_bad:
+        return _flat()
+    mean = _totals(known) / (n_good + n_bad)
+
+    def squared(batches):
+        for batch in batches:
+            off = (_matrix(batch.column("x")) - mean) ** 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(off), pa.list_(pa.float64()))], ["x"])
+
+    spread = _totals(known.select("x").mapInArrow(squared, "x array<double>"))
+    model = _scaled(mean, np.sqrt(spread / (n_good + n_bad)))
+    blocks = common.saved(dealt(known, n_good, n_bad, block=block))
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        def run(batches):
+            for batch in batches:
+                for i in range(len(batch)):
+                    good, bad = (model.standard(_matrix(batch.column(c).slice(i, 1))) for c in ("good", "bad"))
+                    found = pair_sums(good, bad, weights)
+                    yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.float64()))], ["x"])
+
+        return _totals(blocks.mapInArrow(run, "x array<double>"))
+
+    model.weights = climbed(sums, ridge)
+
+    def strong(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.strengths(_matrix(batch.column("x"))))], ["s"])
+
+    strengths = known.select("x").mapInArrow(strong, "s double").withColumn("all", F.lit(0))
+    # Half-way between the last strength left out and the next one.
+    share = (n_bad - 0.5) / (n_good + n_bad - 1)
+    model.accepted = stats.quantiles(strengths, ["all"], F.col("s"), {"border": share}).first()["border"]
+    return model
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """``doc_id, x``: the features of every row of ``docs (doc_id, text)``."""
+
+    def run(batches):
         for batch in batches:
             rows = [features(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    return common.texts(docs).mapInArrow(run, "doc_id bigint, x array<double>")
 
-    known = labelled.training_sample(docs, labels, label, folds, held, sample)
-    # About ``sample`` rows of len(NAMES) numbers; sorted, so that every run draws the same pairs.
-    found = sorted((r.label, r.x) for r in known.mapInArrow(describe, "label int, x array<double>").collect())
-    model = fit(np.array([x for _, x in found]).reshape(-1, len(NAMES)), np.array([label == 1 for label, _ in found], dtype=bool))
+
+def scored(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 4, held: int = 2) -> DataFrame:
+    """``doc_id, held_out, score, predicted``: one row per row of ``docs (doc_id, text)``.
+
+    Fitted on all labelled documents outside the held-out fold; ids, labels and
+    other columns are never inputs of a score.  A null text is the empty one and is
+    scored by zero features.  Without labels of both kinds every document has the
+    score 0.7 and is accepted.  Repeated rows are each reported; a null doc_id is in
+    no fold; no rows give no rows.
+    """
+    rows = common.saved(described(docs))
+    known = rows.join(labelled.training_labels(labels, label, folds, held), "doc_id")
+    model = fitted(common.saved(known.select("label", F.xxhash64("doc_id", F.lit("block")).alias("place"), "x")))
 
     def score(batches):
         for batch in batches:
-            rows = np.array([features(text) for text in batch.column("text").to_pylist()]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(rows))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(model.scores(_matrix(batch.column("x"))))], ["doc_id", "score"]
+            )
 
-    scores = common.texts(docs).mapInArrow(score, "doc_id bigint, score double")
+    scores = rows.mapInArrow(score, "doc_id bigint, score double")
     return scores.select(
         "doc_id", labelled.in_fold(F.col("doc_id"), folds, held).alias("held_out"), "score",
         (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
