@@ -67,32 +67,47 @@ def chances(w: Weights, codes: np.ndarray) -> np.ndarray:
     pieces, length = codes.shape
     units = w["state"].shape[1]
     read = _both(codes)
-    # A gate is a sigmoid, half a tanh of half its input: both gates in one call.
+    # A gate is a sigmoid, half a tanh of half its input: both gates in one call.  The
+    # half before the candidate's inner part is taken with its weights.
     half = np.repeat(np.array([0.5, 0.5, 1], dtype=w["byte"].dtype), units)
-    byte, state = w["byte"] * half, w["state"] * half
-    h = np.zeros((2, pieces, units), dtype=byte.dtype)
-    x, g = np.empty((2, pieces, 3 * units), dtype=byte.dtype), np.empty((2, pieces, 3 * units), dtype=byte.dtype)
-    states = np.empty((length, 2, pieces, units), dtype=byte.dtype)
+    # Pieces are the last axis: whatever is done to a unit runs over all of them.
+    byte = np.ascontiguousarray((w["byte"] * half).transpose(0, 2, 1))
+    state = np.ascontiguousarray((w["state"] * 0.5).transpose(0, 2, 1))
+    h = np.zeros((2, units, pieces), dtype=byte.dtype)
+    x, g = np.empty((2, 3 * units, pieces), dtype=byte.dtype), np.empty((2, 3 * units, pieces), dtype=byte.dtype)
+    states = np.empty((length, 2, units, pieces), dtype=byte.dtype)
+    live = read != NONE
+    ended = ~live.all(axis=2)
     for t in range(length):
         for d in range(2):
-            np.take(byte[d], read[t, d], axis=0, out=x[d], mode="clip")
-        np.matmul(h, state, out=g)
-        gates = x[..., : 2 * units]
-        gates += g[..., : 2 * units]
+            np.take(byte[d], read[t, d], axis=1, out=x[d], mode="clip")
+        np.matmul(state, h, out=g)
+        gates = x[:, : 2 * units]
+        gates += g[:, : 2 * units]
         np.tanh(gates, out=gates)
         gates += 1
-        gates *= 0.5
-        candidate = g[..., 2 * units :]
-        candidate *= gates[..., units:]
-        candidate += x[..., 2 * units :]
+        candidate = g[:, 2 * units :]
+        candidate *= gates[:, units:]
+        candidate += x[:, 2 * units :]
         np.tanh(candidate, out=candidate)
+        update = gates[:, :units]
+        update *= 0.5
         h -= candidate
-        h *= gates[..., :units]
+        h *= update
         h += candidate
         # Behind a text's end the state stays: backwards reading starts there.
-        h *= (read[t] != NONE)[..., None]
+        for d in range(2):
+            if ended[t, d]:
+                h[d] *= live[t, d]
         states[t] = h
-    return _label(w, states).transpose(1, 0, 2)
+    turned = np.ascontiguousarray(w["label"].transpose(0, 2, 1))
+    p = np.matmul(turned[0], states[:, 0])
+    p += np.matmul(turned[1], states[::-1, 1])
+    p += w["bias"][:, None]
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    return p.transpose(2, 0, 1)
 
 
 def gradient(w: Weights, codes: np.ndarray, language: np.ndarray) -> tuple[float, Weights]:
