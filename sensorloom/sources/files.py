@@ -30,8 +30,9 @@ def _plain(part: Column) -> Column:
 
 def path_parts(path: Column, extension: str) -> tuple[Column, Column]:
     """Parent folder and stem of the dataset file a row came from."""
-    pattern = rf"([^/]+)/([^/]+)\.{extension}(/[^/]*)?$"
-    decoded = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    # Tried from the beginning of a folder's name alone, which is taken whole: every row asks this.
+    pattern = rf"(?<![^/])([^/]++)/([^/]+)\.{extension}(/[^/]*+)?$"
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return _plain(F.regexp_extract(decoded, pattern, 1)), _plain(F.regexp_extract(decoded, pattern, 2))
 
 
