@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,15 +28,22 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     count = max(1, len(words) - width + 1)
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for start in range(0, count, CHUNK):
-        stop = min(count, start + CHUNK)
-        hashes = np.fromiter(
+    return majority(
+        np.fromiter(
             (digest(b" ".join(words[i : i + width]), seed) for i in range(start, stop)), dtype="<u8", count=stop - start
         )
+        for start, stop in ((start, min(count, start + CHUNK)) for start in range(0, count, CHUNK))
+    )
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of all hashes, given in parts, as a signed number."""
+    ones, count = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        count += len(hashes)
     return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
 
 
