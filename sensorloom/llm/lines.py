@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, digits as zero, runs of other than letters and
 digits as one space).  Two normalised lines are linked when their edit similarity
-reaches ``similarity``; equal ones are one line.  Pairs to compare come from MinHash
-over the letters' runs of ``GRAM`` bytes; the edit similarity alone decides.  Connected lines are a group, of which the
+reaches ``similarity``; equal ones are one line.  Pairs to compare come from similarity
+sketches (as MinHash) over the letters' runs of ``GRAM`` bytes; the edit similarity alone decides.  Connected lines are a group, of which the
 occurrence in the document with the smallest id, there the first, stays.
 """
 
@@ -18,17 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm import common, pigeonhole
-from sensorloom.session import cut
+from sensorloom.session import cut, shuffles_removed
 
 # Words a line must have to be compared, bits of SimHash that may differ (all: it decides nothing), least edit similarity.
 WORDS, BITS, SIMILARITY = 5, 64, 0.8
 # Letters of scripts without spaces between words that stand for the words.
 LETTERS = 20
-# Bytes of a feature; bands of a line, and minima that make one.
-GRAM, BANDS, ROWS = 6, 32, 4
-FACTORS = np.random.default_rng(42).integers(0, 1 << 32, size=(BANDS * ROWS, 2), dtype="<u4") | np.uint32(1)
+# Bytes of a feature; bands of a line, and bins of its sketch that make one.
+GRAM, BANDS, ROWS = 8, 36, 3
+# Grams that are sketched at once, small enough for a core's cache.
+SKETCHED = 1 << 15
+# Least ratio of lengths from class to class, and bits of a line's number beside the class's five.
+RATIO, NUMBER_BITS = 1.25, 35
+# Pairs compared at once, the longest among them, and the distance tried first.
+PAIRS, LONGEST, FEW = 1024, 8192, 16
 KEPT_WORDS = 1 << 18
 RUN_BYTES = 1 << 21
+# Lines a task remembers, to name the buckets of a repeated one once.
+KNOWN_LINES = 1 << 19
 # Odd base of the words' numbers, and the lowest bit of each byte.
 BASE, EACH_BYTE = 0x9E3779B97F4A7C15, np.uint64(0x0101010101010101)
 
@@ -188,28 +195,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def sketch(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Names of the buckets of lines whose grams are ``counts`` from ``starts`` on.
+
+    Fast similarity sketching (Dahlgaard, Knudsen, Thorup 2017): in each round every gram
+    throws a hash into one of the bins, which keeps its least; only bins still empty
+    take part in the next.  Two lines agree in a bin with the chance of their Jaccard
+    similarity, as in MinHash, for a few hashes a gram instead of one for each bin.
+    """
+    bins, lines = BANDS * ROWS, len(starts)
+    owner = np.repeat(np.arange(lines), counts)
+    grams = grams[np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - starts, counts)]
+    empty = np.uint64((1 << 64) - 1)
+    least, first = np.full(lines * bins, empty), owner * bins
+    # The last rounds fill one bin each, so none stays empty.
+    for turn in range(2 * bins):
+        hashes = mixed(grams + np.uint64((turn + 1) * BASE & (1 << 64) - 1))
+        at = first + ((hashes >> np.uint64(32)).astype(np.int64) % bins if turn < bins else turn - bins)
+        if turn:
+            free = np.flatnonzero(least[at] == empty)
+            at, hashes = at[free], hashes[free]
+        np.minimum.at(least, at, hashes)
+        unfilled = (least.reshape(lines, bins) == empty).any(axis=1)
+        if not unfilled.any():
+            break
+        stay = unfilled[first // bins]
+        grams, first = grams[stay], first[stay]
+    least = least.reshape(lines, BANDS, ROWS)
+    names = np.broadcast_to(np.arange(1, BANDS + 1, dtype="<u8"), (lines, BANDS))
+    for row in range(ROWS):
+        names = mixed(names * np.uint64(BASE) + least[:, :, row])
+    return names
+
+
 def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
-    """Names of the buckets of the ``wanted`` lines: ``BANDS`` numbers for each, of ``ROWS`` minima over its grams."""
+    """Names of the buckets of the ``wanted`` lines: ``BANDS`` numbers for each, of ``ROWS`` bins of its sketch."""
+    names = np.empty((len(wanted), BANDS), dtype="<u8")
     if not len(wanted):
-        return np.zeros((0, BANDS), dtype="<u8")
+        return names
     size = len(lines.chars)
     padded = np.append(lines.chars, np.zeros(GRAM, dtype=np.uint8)).astype("<u8")
     grams = np.zeros(size, dtype="<u8")
     for k in range(GRAM):
         grams = grams * np.uint64(BASE) + padded[k : size + k] + np.uint64(1)
-    grams = (mixed(grams) >> np.uint64(32)).astype("<u4")
     # A line shorter than a gram is one gram with what follows it.
-    edges = np.stack([lines.starts[wanted], np.maximum(lines.starts[wanted], lines.stops[wanted] - GRAM) + 1], axis=1)
-    names = np.empty((len(wanted), BANDS), dtype="<u8")
-    for band in range(BANDS):
-        name = np.full(len(wanted), band + 1, dtype="<u8")
-        for factor, other in FACTORS[band * ROWS : (band + 1) * ROWS]:
-            least = np.minimum.reduceat(grams * factor ^ other, edges.ravel())[::2]
-            name = mixed(name * np.uint64(BASE) + least)
-        names[:, band] = name
+    starts = lines.starts[wanted]
+    counts = np.maximum(starts + 1, lines.stops[wanted] - GRAM + 1) - starts
+    order = np.argsort(counts, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(counts[order]) // SKETCHED)) + 1):
+        names[some] = sketch(grams, starts[some], counts[some])
     return names
 
 
+def letters(lines: Lines) -> np.ndarray:
+    """Code points of each line."""
+    before = np.concatenate([[0], np.cumsum(lines.chars & 0xC0 != 0x80)])
+    return before[lines.stops] - before[lines.starts]
+
+
+def numbers(keys: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Line numbers: the class of the length, then bits of the key.
+
+    Lines whose lengths allow the similarity are in the same class or in adjacent ones.
+    """
+    ratio = max(RATIO, 1 / max(similarity, 0.01))
+    classes = np.minimum(np.log(np.maximum(sizes, 1)) / np.log(ratio), 31).astype(np.int64)
+    bits = np.frombuffer(b"".join(k[:8] for k in keys), dtype="<i8") & ((1 << NUMBER_BITS) - 1)
+    return classes << NUMBER_BITS | bits
+
+
 def runs(texts: list[str], words: int):
     """``(owners, places, lines)`` for runs of texts that have some 2 MB together.
 
@@ -284,33 +338,135 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def occurrences(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, th, pos, key, fp, size, names`` of every line that is compared.
+def close(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distances of pairs are at most ``most``: their tables side by side, diagonal by diagonal.
 
-    ``th`` tells texts with one doc_id apart, ``fp`` is the key's beginning, ``size``
-    the letters; the packed ``names`` of buckets are null where a run repeats a line.
+    Only cells that many steps at most off the main diagonal are computed; pairs that
+    can no more succeed, or are done, leave now and then.
+    """
+    found = np.zeros(len(a), dtype=bool)
+    ends_a, ends_b = (np.array([len(x) for x in side]) for side in (a, b))
+    rows, columns, band = int(ends_a.max()), int(ends_b.max()), int(most.max())
+
+    def table(side, ends, height, fill):
+        chars = np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        pair = np.repeat(np.arange(len(side)), ends)
+        out = np.full((height, len(side)), fill, dtype="<u4")
+        out[np.arange(len(chars)) - np.repeat(np.cumsum(ends) - ends, ends), pair] = chars
+        return out
+
+    left, right = table(a, ends_a, rows, 1 << 30), table(b, ends_b, columns, 1 << 31)[::-1]
+    far = 20000
+    # Row i + 1 has the cells with i letters of a.
+    before, last, now = (np.full((rows + 2, len(a)), far, dtype=np.int16) for _ in range(3))
+    last[1] = 0
+    pairs, ends = np.arange(len(a)), ends_a + ends_b
+    for d in range(1, rows + columns + 1):
+        lo, hi = max(0, d - columns, (d - band + 1) // 2), min(rows, d, (d + band) // 2)
+        if lo > hi:
+            break
+        part = now[lo + 1 : hi + 2]
+        np.minimum(last[lo + 1 : hi + 2], last[lo : hi + 1], out=part)
+        part += 1
+        top, end = max(lo, 1), min(hi, d - 1)
+        if top <= end:
+            changed = left[top - 1 : end] != right[columns - d + top : columns - d + end + 1]
+            part = now[top + 1 : end + 2]
+            np.minimum(part, before[top : end + 1] + changed, out=part)
+        now[lo] = far
+        if hi + 2 < len(now):
+            now[hi + 2] = far
+        done = np.flatnonzero(ends == d)
+        if len(done):
+            found[pairs[done]] = now[ends_a[pairs[done]] + 1, done] <= most[pairs[done]]
+        before, last, now = last, now, before
+        if d % 32 == 0:
+            least = np.minimum(last[lo + 1 : hi + 2].min(axis=0), before[lo : hi + 2].min(axis=0))
+            stay = np.flatnonzero((ends > d) & (least <= most[pairs]))
+            if not len(stay):
+                break
+            if len(stay) < 0.75 * len(pairs):
+                left, right, before, last, now = (x[:, stay] for x in (left, right, before, last, now))
+                pairs, ends = pairs[stay], ends[stay]
+    return found
+
+
+def all_alike(a: list[str], b: list[str], similarity: float) -> np.ndarray:
+    """:func:`alike` of each pair."""
+    found, waiting = np.zeros(len(a), dtype=bool), []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        most = int((1.0 - similarity) * max(len(x), len(y)) + 1e-9)
+        head = common_length(x, y)
+        x, y = x[head:], y[head:]
+        tail = common_length(x[::-1], y[::-1])
+        x, y = x[: len(x) - tail], y[: len(y) - tail]
+        if len(x) > LONGEST or len(y) > LONGEST:
+            found[i] = edit_distance(x, y, most) <= most
+        elif not x or not y:
+            found[i] = max(len(x), len(y)) <= most
+        elif abs(len(x) - len(y)) <= most:
+            waiting.append((max(len(x), len(y)), i, x, y, most))
+    # First a small distance for all, then the whole one for the rest.
+    for small in (True, False):
+        waiting.sort(key=lambda w: w[0])
+        rest, start = [], 0
+        while start < len(waiting):
+            stop = start
+            while stop < len(waiting) and stop - start < PAIRS and waiting[stop][0] <= 1.25 * waiting[start][0] + 8:
+                stop += 1
+            _, places, x, y, most = (list(column) for column in zip(*waiting[start:stop], strict=True))
+            got = close(x, y, np.minimum(most, FEW) if small else np.array(most))
+            found[np.array(places)[got]] = True
+            rest += [w for w, is_near in zip(waiting[start:stop], got, strict=True) if not is_near and w[4] > FEW]
+            start = stop
+        waiting = rest
+    return found
+
+
+def occurrences(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, th, pos, key, fp, size`` of every line that is compared.
+
+    ``th`` tells texts with one doc_id apart, ``fp`` is the line's number, ``size`` its letters.
     """
 
     def run(batches):
         for batch in batches:
             for owners, places, found in runs(batch.column("text").to_pylist(), words):
-                taken, keys = pa.array(owners), list(map(key, found.lines))
-                first = {k: i for i, k in reversed(list(enumerate(keys)))}
-                wanted = np.array(sorted(first.values()), dtype=np.int64)
-                names = [None] * len(keys)
-                for i, name in zip(wanted.tolist(), bands(found, wanted), strict=True):
-                    names[i] = name.tobytes()
+                taken, keys, sizes = pa.array(owners), list(map(key, found.lines)), letters(found)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(taken), batch.column("th").take(taken), pa.array(places),
-                        pa.array(keys, pa.binary()), pa.array(np.frombuffer(b"".join(k[:8] for k in keys), dtype="<i8")),
-                        pa.array([len(line.decode("utf-8", "surrogatepass")) for line in found.lines], pa.int32()),
-                        pa.array(names, pa.binary()),
+                        pa.array(keys, pa.binary()), pa.array(numbers(keys, sizes, similarity)), pa.array(sizes.astype(np.int32)),
                     ],
-                    ["doc_id", "th", "pos", "key", "fp", "size", "names"],
+                    ["doc_id", "th", "pos", "key", "fp", "size"],
                 )
 
-    return hashed(docs).mapInArrow(run, "doc_id bigint, th bigint, pos int, key binary, fp bigint, size int, names binary")
+    return hashed(docs).mapInArrow(run, "doc_id bigint, th bigint, pos int, key binary, fp bigint, size int")
+
+
+def buckets(docs: DataFrame, count: int, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``bucket, fp, least`` of lines that share a bucket (see ``pigeonhole.mates``), of about ``count`` lines.
+
+    A second pass over the texts, so that the names of the buckets are written once, by the shuffle.
+    """
+
+    def named(batches):
+        known = set()
+        for batch in batches:
+            for _, _, found in runs(batch.column("text").to_pylist(), words):
+                keys = list(map(key, found.lines))
+                if len(known) > KNOWN_LINES:
+                    known.clear()
+                wanted = []
+                for i, k in enumerate(keys):
+                    if k not in known:
+                        known.add(k)
+                        wanted.append(i)
+                wanted = np.array(wanted, dtype=np.int64)
+                fp = numbers([keys[i] for i in wanted], letters(found)[wanted], similarity)
+                yield fp.view("<u8"), bands(found, wanted)
+
+    return pigeonhole.mates(common.texts(docs).select("text"), named, BANDS, count, NUMBER_BITS)
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -349,57 +505,86 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b"
     )
 
+    def kept(batches):
+        rows = pa.Table.from_batches(batches)
+        alike = all_alike(rows.column("x").to_pylist(), rows.column("y").to_pylist(), similarity)
+        yield from rows.select(["a", "b"]).filter(pa.array(alike)).to_batches()
+
     def verify(batches):
-        for pdf in batches:
-            yield pdf[[alike(x, y, similarity) for x, y in zip(pdf["x"], pdf["y"], strict=True)]][["a", "b"]]
+        # Some thousand pairs, or a few long ones, at once.
+        waiting, rows, size = [], 0, 0
+        for batch in batches:
+            waiting.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= 4 * PAIRS or size >= 4 * RUN_BYTES:
+                yield from kept(waiting)
+                waiting, rows, size = [], 0, 0
+        if waiting:
+            yield from kept(waiting)
 
-    return cut(both.mapInPandas(verify, "a binary, b binary"))
+    return cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"))
 
 
 def _near(pairs: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of the ``pairs (a, na, b, nb)`` whose lengths ``na, nb`` allow the similarity."""
-    return pairs.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6).select("a", "b")
+    """Those of the ``pairs (a, na, b, nb)`` whose lengths ``na, nb`` allow the similarity."""
+    return pairs.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6)
 
 
-def groups(docs: DataFrame, lines: DataFrame, names: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, lines: DataFrame, shared: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``key, root`` of the distinct ``lines (key, fp, size, th)`` that are linked to others.
 
-    ``names (fp, names)`` are their buckets.  First every line is compared with the
+    ``shared (bucket, fp, least)`` are those that share buckets.  First every line is compared with the
     least of each of its buckets, which connects families of like lines without
     their pairs.  Then all pairs in a bucket are compared that are not connected
     yet, so no two lines of a bucket that are alike end in different groups.
     """
-    shared = pigeonhole.shared_names(names, BANDS)
     stars = cut(shared.where("fp <> least").select("fp", "least").distinct())
     concerned = stars.select(F.explode(F.array("fp", "least")).alias("fp")).distinct()
-    known = cut(lines.join(concerned, "fp").select("fp", "key", "size", "th"))
-    texts = common.saved(_texts_of(docs, known.select("key", "th"), words))
-    one = known.select("fp", F.col("key").alias("a"), F.col("size").alias("na"))
-    two = known.select(F.col("fp").alias("least"), F.col("key").alias("b"), F.col("size").alias("nb"))
-    edges = _verified(_near(stars.join(one, "fp").join(two, "least"), similarity), texts, similarity)
+    place = F.shiftleft("fp", 64 - NUMBER_BITS)
+    marked = pigeonhole.marked(lines.withColumn("place", place), "place", stars.select(
+        F.explode(F.array("fp", "least")).alias("fp")).select(place.alias("place")))
+    known = cut(marked.join(concerned, "fp").select("fp", "key", "size", "th"))
+    one = known.select("fp", F.col("key").alias("a"), F.col("size").alias("na"), F.col("th").alias("ta"))
+    two = known.select(F.col("fp").alias("least"), F.col("key").alias("b"), F.col("size").alias("nb"), F.col("th").alias("tb"))
+    near = cut(_near(stars.join(one, "fp").join(two, "least"), similarity).select("a", "ta", "b", "tb"))
+    # Texts of lines whose lengths allow a link, and of all where further pairs may be compared.
+    several = shared.where("bucket is not null").select("fp").distinct()
+    wanted = cut(
+        near.select(F.col("a").alias("key"), F.col("ta").alias("th")).unionByName(near.select(F.col("b").alias("key"), F.col("tb").alias("th")))
+        .unionByName(known.join(several, "fp", "left_semi").select("key", "th")).distinct()
+    )
+    texts = common.saved(_texts_of(docs, wanted, words))
+    edges = _verified(near.select("a", "b"), texts, similarity)
     roots = common.components(edges).select(F.col("node").alias("key"), "root")
     placed = known.select("fp", "key", "size").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = cut(shared.where("n > 2").select("bucket", "fp", "least").join(placed, "fp"))
+    placed = cut(shared.where("bucket is not null").join(placed, "fp"))
     several_roots = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     # The least of a bucket has been compared with all others.
     left = placed.where("fp <> least").join(several_roots.select("bucket"), "bucket").drop("least", "fp")
     other = left.select("bucket", F.col("key").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
     pairs = left.withColumnsRenamed({"key": "a", "size": "na", "root": "ra"}).join(other, "bucket").where("ra <> rb and a < b")
-    further = _verified(_near(pairs, similarity).distinct(), texts, similarity)
+    further = _verified(_near(pairs, similarity).select("a", "b").distinct(), texts, similarity)
     return common.components(edges.unionByName(further)).select(F.col("node").alias("key"), "root")
 
 
 def repeats(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, th, gone``: for each document with lines to remove their places, counted from 0."""
-    seen = common.saved(occurrences(docs, words))
-    lines = common.saved(seen.groupBy("key", "fp", "size").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("th")))
-    roots = groups(docs, lines, seen.where("names is not null").select("fp", "names"), words=words, similarity=similarity)
-    several = lines.select("key", "n").join(roots, "key", "left").where("n > 1 or root is not null")
-    rows = seen.join(several.select("key", F.coalesce("root", "key").alias("root")), "key")
-    rows = rows.select("root", F.struct("doc_id", "th", "pos").alias("here"))
-    kept = rows.groupBy("root").agg(F.min("here").alias("keep"))
-    gone = rows.join(kept, "root").where(~F.col("here").eqNullSafe(F.col("keep")))
-    return gone.groupBy("here.doc_id", "here.th").agg(F.collect_set("here.pos").alias("gone"))
+    """``doc_id, th, gone``: for each document with lines to remove their places, counted from 0.
+
+    Shuffle files of each of the many steps go when it is done; its result is written.
+    """
+    options = {"words": words, "similarity": similarity}
+    with shuffles_removed(docs.sparkSession):
+        seen = common.saved(occurrences(docs, **options))
+        lines = common.saved(seen.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min("th").alias("th"), F.max("fp").alias("fp"), F.max("size").alias("size")
+        ))
+        shared = common.saved(buckets(docs, lines.count(), **options))
+        roots = groups(docs, lines, shared, **options)
+        several = cut(lines.where("n > 1").select("key").join(roots, "key", "full").select("key", F.coalesce("root", "key").alias("root")))
+        rows = seen.join(several, "key").select("root", F.struct("doc_id", "th", "pos").alias("here"))
+        kept = rows.groupBy("root").agg(F.min("here").alias("keep"))
+        gone = rows.join(kept, "root").where(~F.col("here").eqNullSafe(F.col("keep")))
+        return common.saved(gone.groupBy("here.doc_id", "here.th").agg(F.collect_set("here.pos").alias("gone")))
 
 
 def _cleaned(docs: DataFrame, **options) -> DataFrame:

@@ -84,125 +84,102 @@ def _joined(members: DataFrame, bucket: list[str], k: int, settled: str | None)
 
 
 # So many names of buckets are sorted at once.
-SORTED = 1 << 22
-
-
-def _named(batches, masks: np.ndarray):
-    """``(fp, names)`` of bounded runs of fingerprints: each one's bucket under each mask, by a hash."""
-    salts = np.arange(1, len(masks) + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
-    most = max(1, SORTED // len(masks))
-
-    def named(prints):
-        prints = np.concatenate(prints).view("<u8")
-        names = (prints[:, None] & masks) ^ salts
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            names = (names ^ names >> np.uint64(shift)) * np.uint64(factor)
-        return prints, names ^ names >> np.uint64(31)
-
-    waiting, size = [], 0
-    for batch in batches:
-        fp = batch.column("fp").to_numpy(zero_copy_only=False)
-        while len(fp):
-            waiting.append(fp[: most - size])
-            size, fp = size + len(waiting[-1]), fp[len(waiting[-1]) :]
-            if size == most:
-                yield named(waiting)
-                waiting, size = [], 0
-    if size:
-        yield named(waiting)
-
-
-def _several(prints: DataFrame, named, each: int) -> DataFrame:
-    """``bucket``: names that at least two rows of ``prints`` have.
-
-    ``named`` makes ``(fp, names)`` of batches of rows, ``each`` names a row.  Names
-    travel packed by ranges of names, each at most twice from a run, so a
-    bucket of any size is a few numbers.  The ranges grow in number with the rows.
-    """
-    tasks = max(8, -(-prints.count() * each // (1 << 20)))
-    ranges = 8 * tasks
-
-    def pack(batches):
-        for _, names in named(batches):
-            names = np.sort(names, axis=None)
-            same = np.zeros(len(names) + 1, dtype=bool)
-            same[1:-1] = names[1:] == names[:-1]
-            names = names[~(same[:-1] & np.concatenate([[False], same[:-2]]))]
-            part = (names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            offsets = np.append(starts, len(names)).astype(np.int32) * 8
-            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(names)])
-            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), packed], ["part", "names"])
-
-    def unpack(batches):
-        found = [name for batch in batches for name in batch.column("names").to_pylist()]
-        names = np.sort(np.frombuffer(b"".join(found), dtype="<i8"))
-        again = names[1:][names[1:] == names[:-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(again), pa.int64())], ["bucket"])
+SORTED = 1 << 21
+# Bytes of a name within its range, and of a row's number.
+NAME_BYTES, ROW_BYTES = 4, 5
 
-    packed = prints.mapInArrow(pack, "part bigint, names binary")
-    return cut(packed.repartition(tasks, "part").mapInArrow(unpack, "bucket bigint"))
 
+def mates(rows: DataFrame, named, each: int, count: int, bits: int) -> DataFrame:
+    """``bucket, fp, least``: members of buckets with several different ones, and the least of them.
 
-def shared_buckets(prints: DataFrame, k: int, *, blocks: int) -> DataFrame:
-    """``bucket, fp, n, least``: members of buckets with several, their number and the least of them.
+    ``named`` makes ``(fp, names)`` of batches of ``rows``: numbers below 2 ** 40 that may repeat,
+    whose part above ``bits`` is a class, and ``each`` 64-bit names of buckets a row; ``count`` is
+    about the number of rows.  A bucket holds two adjacent classes.  ``bucket`` is null
+    where it has two members: pairs with one null bucket count once in a task.
 
-    ``prints (fp)`` may repeat.  Only names of buckets are shuffled for all rows;
-    members follow for the buckets marked as shared.
+    Names travel packed by ranges of names, nine bytes each with the member.  The ranges grow in number with
+    the rows; within one a name keeps 32 bits, and two of one name only have more members.
     """
-    masks = np.array(submasks(list(range(64)), blocks, k), dtype="<u8")
-    # Buckets are named by a hash; two of one name only have more members.
-    return _shared(prints, lambda batches: _named(batches, masks), len(masks))
-
-
-def shared_names(rows: DataFrame, each: int) -> DataFrame:
-    """The same of ``rows (fp, names)`` that bring ``each`` names, packed as 64-bit numbers."""
+    tasks = max(8, -(-count * each // (1 << 20)))
+    ranges = 8 * tasks
 
-    most = max(1, SORTED // each)
+    def packed(prints, names):
+        prints, names = np.concatenate(prints), np.concatenate(names)
+        keys = ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32) << np.uint64(32) | names & np.uint64(0xFFFFFFFF)).ravel()
+        order = np.argsort(keys)
+        keys, prints = keys[order], prints[order // each]
+        part = keys >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+        data = np.concatenate([
+            keys.view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES], prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ROW_BYTES]
+        ], axis=1)
+        # Byte by byte, as the upper ones of sorted names repeat.
+        found = [data[lo:hi].T.tobytes() for lo, hi in zip(starts, [*starts[1:], len(data)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), pa.array(found, pa.binary())], ["part", "names"])
 
-    def one(prints, packed):
-        return np.concatenate(prints).view("<u8"), np.frombuffer(b"".join(packed), dtype="<u8").reshape(-1, each)
+    def pack(batches):
+        prints, names, size = [], [], 0
+        for fp, some in named(batches):
+            prints.append(fp)
+            names.append(some)
+            size += some.size
+            if size >= SORTED:
+                yield packed(prints, names)
+                prints, names, size = [], [], 0
+        if size:
+            yield packed(prints, names)
 
-    def named(batches):
-        prints, packed = [], []
+    def unpack(batches):
+        keys, prints = [], []
         for batch in batches:
-            prints.append(batch.column("fp").to_numpy(zero_copy_only=False))
-            packed.extend(batch.column("names").to_pylist())
-            if len(packed) >= most:
-                yield one(prints, packed)
-                prints, packed = [], []
-        if packed:
-            yield one(prints, packed)
-
-    return _shared(rows, named, each)
-
-
-def _shared(prints: DataFrame, named, each: int) -> DataFrame:
-    several = _several(prints, named, each)
-    table = marks(several, F.shiftrightunsigned("bucket", 64 - MARK_BITS))
-
-    def members(batches):
-        bits = np.frombuffer(table, dtype=np.uint8)
-        for fp, names in named(batches):
-            place = names >> np.uint64(64 - MARK_BITS)
-            row, column = np.nonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[row, column].view("<i8")), pa.array(fp[row].view("<i8"))], ["bucket", "fp"]
-            )
-
-    keyed = prints.mapInArrow(members, "bucket bigint, fp bigint")
-    shared = cut(keyed.join(several, "bucket", "left_semi").distinct())
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).where("n > 1")
-    return cut(shared.join(sizes, "bucket"))
-
-
-def open_pairs(shared: DataFrame, k: int, settled: str, *, bound: int = BOUND) -> DataFrame:
-    """Close pairs of :func:`shared_buckets` whose values in the column ``settled`` are not the same."""
-    pairs = _joined(shared.where(F.col("n") <= bound), ["bucket"], k, settled)
-    hot = shared.where(F.col("n") > bound).select("fp", settled).distinct()
-    if not hot.isEmpty():
-        pairs = pairs.unionByName(close_pairs(hot, k, bound=bound, settled=settled))
-    return pairs.distinct()
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                data = np.frombuffer(data, dtype=np.uint8).reshape(NAME_BYTES + ROW_BYTES, -1).T
+                wide = np.zeros((2, len(data), 8), dtype=np.uint8)
+                wide[0, :, :NAME_BYTES], wide[1, :, :ROW_BYTES] = data[:, :NAME_BYTES], data[:, NAME_BYTES:]
+                keys.append(wide[0].view("<u8")[:, 0] | np.uint64(part << 32))
+                prints.append(wide[1].view("<i8")[:, 0])
+        if keys:
+            yield from met(np.concatenate(keys), np.concatenate(prints), bits)
+
+    packs = rows.mapInArrow(pack, "part bigint, names binary")
+    return packs.repartition(tasks, "part").mapInArrow(unpack, "bucket bigint, fp bigint, least bigint")
+
+
+def met(keys: np.ndarray, prints: np.ndarray, bits: int):
+    """Rows of :func:`mates` of one task's names ``keys`` and their members."""
+    order = np.argsort(keys)
+    keys, prints = keys[order], prints[order]
+    same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+    again = same[1:] | same[:-1]
+    keys, prints = keys[again], prints[again]
+    order = np.lexsort((prints, keys))
+    keys, prints = keys[order], prints[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1])
+    keys, prints = keys[new], prints[new]
+    if not len(keys):
+        return
+    # Stretches of one name and class, each taken together with the next class if that is there.
+    classes = prints >> bits
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])]))
+    stops = np.append(starts[1:], len(keys))
+    next_to = np.append((keys[starts][1:] == keys[starts][:-1]) & (classes[starts][1:] == classes[starts][:-1] + 1), False)
+    stops = np.where(next_to, np.append(stops[1:], 0), stops)
+    # The second class alone is within the stretch before.
+    taken = (next_to | ~np.concatenate([[False], next_to[:-1]])) & (stops - starts > 1)
+    starts, sizes = starts[taken], (stops - starts)[taken]
+    two = sizes == 2
+    pairs = np.unique(np.stack([prints[starts[two] + 1], prints[starts[two]]], axis=1), axis=0)
+    starts, sizes = starts[~two], sizes[~two]
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+    # The name and the class that a bucket begins with, as one number.
+    bucket = keys[starts] * np.uint64(0x9E3779B97F4A7C15) + classes[starts].astype("<u8")
+    for fp, least, name in (
+        (pairs[:, 0], pairs[:, 1], None), (prints[at], np.repeat(prints[starts], sizes), np.repeat(bucket, sizes).view("<i8")),
+    ):
+        if len(fp):
+            name = pa.nulls(len(fp), pa.int64()) if name is None else pa.array(name)
+            yield pa.RecordBatch.from_arrays([name, pa.array(fp), pa.array(least)], ["bucket", "fp", "least"])
 
 
 # Marks of hashes: 512 pages of 2 ** 15 bits, 2 MB whatever the input.
