@@ -3,7 +3,9 @@
 Lines are normalised (lower case, digits as zero, runs of other than letters and
 digits as one space).  Two normalised lines are linked when their edit similarity
 reaches ``similarity``; equal ones are one line.  Pairs to compare come from similarity
-sketches (as MinHash) over the letters' runs of ``GRAM`` bytes; the edit similarity alone decides.  Connected lines are a group, of which the
+sketches (as MinHash) over the letters' runs of ``GRAM`` bytes, one for each of ``PARTS``
+parts of a line: a like line is like in all of them, while lines that only share a long
+passage differ in some.  The edit similarity alone decides.  Connected lines are a group, of which the
 occurrence in the document with the smallest id, there the first, stays.
 """
 
@@ -24,8 +26,8 @@ from sensorloom.session import cut, shuffles_removed
 WORDS, BITS, SIMILARITY = 5, 64, 0.8
 # Letters of scripts without spaces between words that stand for the words.
 LETTERS = 20
-# Bytes of a feature; bands of a line, and bins of its sketch that make one.
-GRAM, BANDS, ROWS = 8, 36, 3
+# Bytes of a feature; bands of a line, and parts of it whose sketches give one bin each to a band.
+GRAM, BANDS, PARTS = 7, 44, 3
 # Grams that are sketched at once, small enough for a core's cache.
 SKETCHED = 1 << 15
 # Least ratio of lengths from class to class, and bits of a line's number beside the class's five.
@@ -195,19 +197,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketch(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Names of the buckets of lines whose grams are ``counts`` from ``starts`` on.
+def sketch(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Bins, ``BANDS`` for each, of parts of lines whose grams are ``counts`` from ``starts`` on.
+
+    The hashes of a part depend on its salt, else a frequent gram would win the same bin of several parts.
 
     Fast similarity sketching (Dahlgaard, Knudsen, Thorup 2017): in each round every gram
     throws a hash into one of the bins, which keeps its least; only bins still empty
-    take part in the next.  Two lines agree in a bin with the chance of their Jaccard
+    take part in the next.  Two parts agree in a bin with the chance of their Jaccard
     similarity, as in MinHash, for a few hashes a gram instead of one for each bin.
     """
-    bins, lines = BANDS * ROWS, len(starts)
-    owner = np.repeat(np.arange(lines), counts)
-    grams = grams[np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - starts, counts)]
+    bins, parts = BANDS, len(starts)
+    owner = np.repeat(np.arange(parts), counts)
+    grams = grams[np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - starts, counts)] ^ salts[owner]
     empty = np.uint64((1 << 64) - 1)
-    least, first = np.full(lines * bins, empty), owner * bins
+    least, first = np.full(parts * bins, empty), owner * bins
     # The last rounds fill one bin each, so none stays empty.
     for turn in range(2 * bins):
         hashes = mixed(grams + np.uint64((turn + 1) * BASE & (1 << 64) - 1))
@@ -216,23 +220,18 @@ def sketch(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
             free = np.flatnonzero(least[at] == empty)
             at, hashes = at[free], hashes[free]
         np.minimum.at(least, at, hashes)
-        unfilled = (least.reshape(lines, bins) == empty).any(axis=1)
+        unfilled = (least.reshape(parts, bins) == empty).any(axis=1)
         if not unfilled.any():
             break
         stay = unfilled[first // bins]
         grams, first = grams[stay], first[stay]
-    least = least.reshape(lines, BANDS, ROWS)
-    names = np.broadcast_to(np.arange(1, BANDS + 1, dtype="<u8"), (lines, BANDS))
-    for row in range(ROWS):
-        names = mixed(names * np.uint64(BASE) + least[:, :, row])
-    return names
+    return least.reshape(parts, bins)
 
 
 def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
-    """Names of the buckets of the ``wanted`` lines: ``BANDS`` numbers for each, of ``ROWS`` bins of its sketch."""
-    names = np.empty((len(wanted), BANDS), dtype="<u8")
+    """Names of the buckets of the ``wanted`` lines: ``BANDS`` numbers for each, of one bin of each part's sketch."""
     if not len(wanted):
-        return names
+        return np.empty((0, BANDS), dtype="<u8")
     size = len(lines.chars)
     padded = np.append(lines.chars, np.zeros(GRAM, dtype=np.uint8)).astype("<u8")
     grams = np.zeros(size, dtype="<u8")
@@ -241,9 +240,19 @@ def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
     # A line shorter than a gram is one gram with what follows it.
     starts = lines.starts[wanted]
     counts = np.maximum(starts + 1, lines.stops[wanted] - GRAM + 1) - starts
+    # Parts of equal length; of a line with fewer grams some have the same one.
+    edges = counts[:, None] * np.arange(PARTS + 1) // PARTS
+    first = np.minimum(edges[:, :-1], counts[:, None] - 1)
+    counts = (np.maximum(edges[:, 1:], first + 1) - first).ravel()
+    starts = (starts[:, None] + first).ravel()
+    salts = mixed(np.tile(np.arange(1, PARTS + 1, dtype="<u8"), len(wanted)))
+    bins = np.empty((len(starts), BANDS), dtype="<u8")
     order = np.argsort(counts, kind="stable")
     for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(counts[order]) // SKETCHED)) + 1):
-        names[some] = sketch(grams, starts[some], counts[some])
+        bins[some] = sketch(grams, starts[some], counts[some], salts[some])
+    names = np.arange(1, BANDS + 1, dtype="<u8")
+    for part in range(PARTS):
+        names = mixed(names * np.uint64(BASE) + bins[part::PARTS])
     return names
 
 
