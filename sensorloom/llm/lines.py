@@ -11,6 +11,8 @@ occurrence in the document with the smallest id, there the first, stays.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 
 import numpy as np
@@ -26,14 +28,16 @@ from sensorloom.session import cut, shuffles_removed
 WORDS, BITS, SIMILARITY = 5, 64, 0.8
 # Letters of scripts without spaces between words that stand for the words.
 LETTERS = 20
-# Bytes of a feature; bands of a line, and parts of it whose sketches give one bin each to a band.
+# Bytes of a feature, at most eight; bands of a line, and parts of it whose sketches give one bin each to a band.
 GRAM, BANDS, PARTS = 7, 44, 3
 # Grams that are sketched at once, small enough for a core's cache.
 SKETCHED = 1 << 15
 # Least ratio of lengths from class to class, and bits of a line's number beside the class's five.
 RATIO, NUMBER_BITS = 1.25, 35
-# Pairs compared at once, the longest among them, and the distance tried first.
-PAIRS, LONGEST, FEW = 1024, 8192, 16
+# Pairs compared at once, and fewer of them that are compared one by one.
+PAIRS, SIDE_BY_SIDE = 512, 24
+# Rows by which the window of a single comparison moves.
+TRIED = 128
 KEPT_WORDS = 1 << 18
 RUN_BYTES = 1 << 21
 # Lines a task remembers, to name the buckets of a repeated one once.
@@ -97,15 +101,14 @@ class Lines:
         stay = letter | (raw == 10)
         stay[:-1] |= letter[1:]
         self.chars = chars = raw[stay]
-        letter = letter[stay]
+        letter = chars > 32
         self.begin = np.flatnonzero(letter[1:] > letter[:-1]) + 1
-        self.end = np.flatnonzero(letter[1:] < letter[:-1]) + 1
         breaks = np.flatnonzero(chars == 10)
         border = np.searchsorted(self.begin, breaks)
         counts = np.diff(border)
         enough = counts >= words
         if len(chars) and chars.max() >= 0xE0:
-            enough |= np.diff(np.cumsum(unspaced(chars))[breaks]) >= LETTERS
+            enough |= np.diff(np.searchsorted(np.flatnonzero(unspaced(chars)), breaks)) >= LETTERS
         self.at = np.flatnonzero(enough)
         self.first, self.counts = border[:-1][self.at], counts[self.at]
         data = chars.tobytes()
@@ -113,6 +116,11 @@ class Lines:
         self.starts = self.begin[self.first] if words else breaks[:-1][self.at] + 1
         self.lines = [data[lo:hi] for lo, hi in zip(self.starts.tolist(), self.stops.tolist(), strict=True)]
 
+    @functools.cached_property
+    def end(self) -> np.ndarray:
+        letter = self.chars > 32
+        return np.flatnonzero(letter[1:] < letter[:-1]) + 1
+
 
 class Hashes:
     """SimHash of lines over the 64-bit hashes of their words, kept from line to line."""
@@ -197,35 +205,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketch(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """Bins, ``BANDS`` for each, of parts of lines whose grams are ``counts`` from ``starts`` on.
+def mixed_half(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers, scattered (the last step of MurmurHash3), in place."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
 
-    The hashes of a part depend on its salt, else a frequent gram would win the same bin of several parts.
+def sketch(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bins, ``BANDS`` for each, of parts of lines that have ``counts`` of the ``grams``, one after the other.
 
     Fast similarity sketching (Dahlgaard, Knudsen, Thorup 2017): in each round every gram
     throws a hash into one of the bins, which keeps its least; only bins still empty
     take part in the next.  Two parts agree in a bin with the chance of their Jaccard
     similarity, as in MinHash, for a few hashes a gram instead of one for each bin.
     """
-    bins, parts = BANDS, len(starts)
-    owner = np.repeat(np.arange(parts), counts)
-    grams = grams[np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - starts, counts)] ^ salts[owner]
-    empty = np.uint64((1 << 64) - 1)
-    least, first = np.full(parts * bins, empty), owner * bins
+    bins, parts, empty = BANDS, np.arange(len(counts)), np.uint32((1 << 32) - 1)
+    least = np.full((len(counts), bins), empty)
+    flat = least.ravel()
     # The last rounds fill one bin each, so none stays empty.
     for turn in range(2 * bins):
-        hashes = mixed(grams + np.uint64((turn + 1) * BASE & (1 << 64) - 1))
-        at = first + ((hashes >> np.uint64(32)).astype(np.int64) % bins if turn < bins else turn - bins)
-        if turn:
-            free = np.flatnonzero(least[at] == empty)
-            at, hashes = at[free], hashes[free]
-        np.minimum.at(least, at, hashes)
-        unfilled = (least.reshape(parts, bins) == empty).any(axis=1)
+        stops = np.cumsum(counts)
+        unfilled = np.empty(len(parts), dtype=bool)
+        for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(stops // SKETCHED)) + 1).tolist(), len(parts)]):
+            hashes = mixed_half(grams[stops[lo] - counts[lo] : stops[hi - 1]] + np.uint32((turn + 1) * BASE & (1 << 32) - 1))
+            at = np.repeat(parts[lo:hi] * bins, counts[lo:hi])
+            at += (hashes >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16) if turn < bins else turn - bins
+            if turn:
+                free = np.flatnonzero(flat[at] == empty)
+                at, hashes = at[free], hashes[free]
+            np.minimum.at(flat, at, hashes)
+            unfilled[lo:hi] = (least[parts[lo:hi]] == empty).any(axis=1)
         if not unfilled.any():
             break
-        stay = unfilled[first // bins]
-        grams, first = grams[stay], first[stay]
-    return least.reshape(parts, bins)
+        grams = grams[np.repeat(unfilled, counts)]
+        parts, counts = parts[unfilled], counts[unfilled]
+    return least
 
 
 def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
@@ -233,10 +250,14 @@ def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
     if not len(wanted):
         return np.empty((0, BANDS), dtype="<u8")
     size = len(lines.chars)
-    padded = np.append(lines.chars, np.zeros(GRAM, dtype=np.uint8)).astype("<u8")
-    grams = np.zeros(size, dtype="<u8")
-    for k in range(GRAM):
-        grams = grams * np.uint64(BASE) + padded[k : size + k] + np.uint64(1)
+    padded = np.append(lines.chars, np.zeros(16, dtype=np.uint8))
+    # Eight bytes from each place on, of which the first GRAM count.
+    grams = np.empty(-(-size // 8) * 8, dtype="<u8")
+    for k in range(8):
+        grams[k::8] = padded[k : k + len(grams)].view("<u8")
+    grams <<= np.uint64(64 - 8 * GRAM)
+    grams *= np.uint64(BASE)
+    grams = (grams >> np.uint64(32)).astype("<u4")
     # A line shorter than a gram is one gram with what follows it.
     starts = lines.starts[wanted]
     counts = np.maximum(starts + 1, lines.stops[wanted] - GRAM + 1) - starts
@@ -245,11 +266,10 @@ def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
     first = np.minimum(edges[:, :-1], counts[:, None] - 1)
     counts = (np.maximum(edges[:, 1:], first + 1) - first).ravel()
     starts = (starts[:, None] + first).ravel()
-    salts = mixed(np.tile(np.arange(1, PARTS + 1, dtype="<u8"), len(wanted)))
-    bins = np.empty((len(starts), BANDS), dtype="<u8")
-    order = np.argsort(counts, kind="stable")
-    for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(counts[order]) // SKETCHED)) + 1):
-        bins[some] = sketch(grams, starts[some], counts[some], salts[some])
+    grams = grams[np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)]
+    # The hashes of a part depend on its place, else a frequent gram would win the same bin of several parts.
+    grams ^= np.repeat(np.tile(mixed(np.arange(1, PARTS + 1, dtype="<u8")).astype("<u4"), len(wanted)), counts)
+    bins = sketch(grams, counts)
     names = np.arange(1, BANDS + 1, dtype="<u8")
     for part in range(PARTS):
         names = mixed(names * np.uint64(BASE) + bins[part::PARTS])
@@ -258,8 +278,9 @@ def bands(lines: Lines, wanted: np.ndarray) -> np.ndarray:
 
 def letters(lines: Lines) -> np.ndarray:
     """Code points of each line."""
-    before = np.concatenate([[0], np.cumsum(lines.chars & 0xC0 != 0x80)])
-    return before[lines.stops] - before[lines.starts]
+    # Bytes but the first of a letter.
+    others = np.flatnonzero(lines.chars & 0xC0 == 0x80)
+    return lines.stops - lines.starts - np.searchsorted(others, lines.stops) + np.searchsorted(others, lines.starts)
 
 
 def numbers(keys: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -294,37 +315,58 @@ def runs(texts: list[str], words: int):
 
 def common_length(a: str, b: str) -> int:
     """Length of the common beginning."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        middle = (lo + hi + 1) // 2
-        if a[lo:middle] == b[lo:middle]:
-            lo = middle
-        else:
-            hi = middle - 1
-    return lo
+    lo, size, most = 0, 8, min(len(a), len(b))
+    while lo < most and a[lo : lo + size] == b[lo : lo + size]:
+        lo, size = lo + size, 2 * size
+    if lo >= most:
+        return most
+    while size > 1:
+        size //= 2
+        if a[lo : lo + size] == b[lo : lo + size]:
+            lo += size
+    return min(lo, most)
+
+
+def common_end(a: str, b: str) -> int:
+    """Length of the common end."""
+    size = 32
+    while size < min(len(a), len(b)) and a[-size:] == b[-size:]:
+        size *= 4
+    return common_length(a[: -size - 1 : -1], b[: -size - 1 : -1])
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or some number above ``most`` where it is larger.
 
-    One column of the table is two bit vectors (Myers 1999, Hyyro 2003).
+    One column of the table is two bit vectors (Myers 1999, Hyyro 2003), of the rows that may
+    lie on a way to the end in at most ``most`` steps; a long pair tries fewer steps first.
     """
     head = common_length(a, b)
     a, b = a[head:], b[head:]
-    tail = common_length(a[::-1], b[::-1])
+    tail = common_end(a, b)
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if len(a) < len(b):
         a, b = b, a
     if not b or len(a) - len(b) > most:
         return len(a)
-    size = len(b)
-    full, top = (1 << size) - 1, 1 << (size - 1)
+    if most > 4 * TRIED and len(a) - len(b) <= most // 4 and (found := edit_distance(a, b, most // 4)) <= most // 4:
+        return found
+    size, aside = len(b), (most + len(a) - len(b)) // 2
+    # Rows base to base + width; the window moves with the diagonal.
+    width = min(size, 2 * aside + TRIED)
+    full, top = (1 << width) - 1, 1 << (width - 1)
     places: dict[str, int] = {}
     for i, letter in enumerate(b):
         places[letter] = places.get(letter, 0) | 1 << i
-    up, down, score = full, 0, size
+    base, near, up, down, score = 0, places, full, 0, width
     for i, letter in enumerate(a):
-        match = places.get(letter, 0)
+        if i - aside - base >= TRIED and base + width < size:
+            step = min(TRIED, size - base - width)
+            base, score = base + step, score + step
+            up, down, near = up >> step | full ^ full >> step, down >> step, {}
+        match = near.get(letter)
+        if match is None:
+            match = near[letter] = places.get(letter, 0) >> base & full
         diagonal = ((((match & up) + up) ^ up) | match | down) & full
         raised = down | ~(diagonal | up) & full
         lowered = up & diagonal
@@ -332,8 +374,9 @@ def edit_distance(a: str, b: str, most: int) -> int:
             score += 1
         elif lowered & top:
             score -= 1
-        if score - (len(a) - i - 1) > most:
-            return score
+        # Rows below the window and letters ahead may at best all match.
+        if score - max(size - base - width, 0) - (len(a) - i - 1) > most:
+            return most + 1
         raised = (raised << 1 | 1) & full
         up = (lowered << 1 | ~(diagonal | raised)) & full
         down = raised & diagonal
@@ -348,55 +391,103 @@ def alike(a: str, b: str, similarity: float) -> bool:
 
 
 def close(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """Whether the edit distances of pairs are at most ``most``: their tables side by side, diagonal by diagonal.
+    """Whether the edit distances of pairs are at most ``most``: bit vectors (Myers 1999, Hyyro 2003) of all pairs side by side.
 
-    Only cells that many steps at most off the main diagonal are computed; pairs that
-    can no more succeed, or are done, leave now and then.
+    ``a`` is not shorter than ``b``.  A block is 64 letters of it, and one letter of ``b`` behind the
+    block above, so all blocks take a step at once; only those do that a way of ``most`` steps
+    may cross.  Pairs that can no more succeed, or are done, leave now and then.
     """
     found = np.zeros(len(a), dtype=bool)
     ends_a, ends_b = (np.array([len(x) for x in side]) for side in (a, b))
-    rows, columns, band = int(ends_a.max()), int(ends_b.max()), int(most.max())
-
-    def table(side, ends, height, fill):
-        chars = np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        pair = np.repeat(np.arange(len(side)), ends)
-        out = np.full((height, len(side)), fill, dtype="<u4")
-        out[np.arange(len(chars)) - np.repeat(np.cumsum(ends) - ends, ends), pair] = chars
-        return out
-
-    left, right = table(a, ends_a, rows, 1 << 30), table(b, ends_b, columns, 1 << 31)[::-1]
-    far = 20000
-    # Row i + 1 has the cells with i letters of a.
-    before, last, now = (np.full((rows + 2, len(a)), far, dtype=np.int16) for _ in range(3))
-    last[1] = 0
-    pairs, ends = np.arange(len(a)), ends_a + ends_b
-    for d in range(1, rows + columns + 1):
-        lo, hi = max(0, d - columns, (d - band + 1) // 2), min(rows, d, (d + band) // 2)
-        if lo > hi:
-            break
-        part = now[lo + 1 : hi + 2]
-        np.minimum(last[lo + 1 : hi + 2], last[lo : hi + 1], out=part)
-        part += 1
-        top, end = max(lo, 1), min(hi, d - 1)
-        if top <= end:
-            changed = left[top - 1 : end] != right[columns - d + top : columns - d + end + 1]
-            part = now[top + 1 : end + 2]
-            np.minimum(part, before[top : end + 1] + changed, out=part)
-        now[lo] = far
-        if hi + 2 < len(now):
-            now[hi + 2] = far
-        done = np.flatnonzero(ends == d)
-        if len(done):
-            found[pairs[done]] = now[ends_a[pairs[done]] + 1, done] <= most[pairs[done]]
-        before, last, now = last, now, before
-        if d % 32 == 0:
-            least = np.minimum(last[lo + 1 : hi + 2].min(axis=0), before[lo : hi + 2].min(axis=0))
-            stay = np.flatnonzero((ends > d) & (least <= most[pairs]))
-            if not len(stay):
+    # Letters that such a way may be above and below the diagonal.
+    above, below = max(int((most - ends_a + ends_b).max()) // 2, 0), max(int((most + ends_a - ends_b).max()) // 2, 1)
+    columns = int(ends_b.max())
+    chars_a, chars_b = (np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), dtype="<u4") for side in (a, b))
+    # Letters of a by number, others are 0.
+    used = np.zeros(int(max(chars_a.max(), chars_b.max())) + 1, dtype=bool)
+    used[chars_a] = True
+    number = np.cumsum(used) * used
+    blocks, letters = -(-int(ends_a.max()) // 64), int(used.sum()) + 1
+    # Where each letter stands in each block of each pair, and the letters of b.
+    table = np.zeros((len(a), letters * blocks), dtype="<u8")
+    at = np.arange(len(chars_a)) - np.repeat(np.cumsum(ends_a) - ends_a, ends_a)
+    pair = np.repeat(np.arange(len(a)) * (letters * blocks), ends_a)
+    np.add.at(table.ravel(), pair + number[chars_a] * blocks + (at >> 6), np.uint64(1) << (at & 63).astype("<u8"))
+    side = np.zeros((columns, len(a)), dtype=np.int64)
+    at = np.arange(len(chars_b)) - np.repeat(np.cumsum(ends_b) - ends_b, ends_b)
+    side[at, np.repeat(np.arange(len(b)), ends_b)] = number[chars_b] * blocks
+    pairs, lasts = np.arange(len(a)), (ends_a - 1) >> 6
+    ends = ends_b - 1 + lasts
+    due = set(ends.tolist())
+
+    def fresh(size):
+        first = np.arange(size) * (letters * blocks) + np.arange(blocks)[:, None]
+        return [first, *(np.empty((blocks, size), dtype="<u8") for _ in range(4))]
+
+    # Differences from row to row (up, down), from column to column at the blocks' lower ends (more, less), and distances there.
+    up, down = np.full((blocks, len(a)), ~np.uint64(0)), np.zeros((blocks, len(a)), dtype="<u8")
+    more, less, more_now, less_now = (np.zeros((blocks + 1, len(a)), dtype="<u8") for _ in range(4))
+    more[0] = 1
+    score = np.full((blocks, len(a)), 64, dtype=np.int64)
+    first, w, x, y, z = fresh(len(a))
+    one, top, before = np.uint64(1), np.uint64(63), 0
+    for step in range(int(ends.max()) + 1):
+        lo = max(0, step - columns + 1, -((63 + above - step) // 65))
+        hi = min(blocks - 1, step, (step + below) // 65)
+        if hi > before:
+            score[hi] = score[hi - 1] - more[hi].view(np.int64) + less[hi].view(np.int64) + 64
+            before = hi
+        own, to, size = slice(lo, hi + 1), slice(lo + 1, hi + 2), hi + 1 - lo
+        p, m, enter, leave = up[own], down[own], more[own], less[own]
+        match, both, high, low = w[:size], x[:size], y[:size], z[:size]
+        table.take(side[step - hi : step - lo + 1][::-1] + first[own], out=match, mode="clip")
+        np.bitwise_or(match, m, out=both)
+        match |= leave
+        # Horizontal differences.
+        np.bitwise_and(match, p, out=high)
+        high += p
+        high ^= p
+        high |= match
+        np.bitwise_and(p, high, out=low)
+        high |= p
+        np.invert(high, out=high)
+        high |= m
+        np.right_shift(high, top, out=more_now[to])
+        np.right_shift(low, top, out=less_now[to])
+        high <<= one
+        high |= enter
+        low <<= one
+        low |= leave
+        # Vertical ones.
+        np.bitwise_and(high, both, out=m)
+        both |= high
+        np.invert(both, out=both)
+        np.bitwise_or(low, both, out=p)
+        score[own] += more_now[to].view(np.int64)
+        score[own] -= less_now[to].view(np.int64)
+        # Above the blocks that take part all differences are one.
+        more_now[lo], less_now[lo] = 1, 0
+        more, less, more_now, less_now = more_now, less_now, more, less
+        if step in due:
+            done = np.flatnonzero(ends == step)
+            block = lasts[done]
+            done, block = done[(block >= lo) & (block <= hi)], block[(block >= lo) & (block <= hi)]
+            # Rows of the block below the last letter do not count.
+            rest = ~np.uint64(0) << ((ends_a[pairs[done]] - 1) & 63).astype("<u8") << one
+            distance = score[block, done] - np.bitwise_count(up[block, done] & rest) + np.bitwise_count(down[block, done] & rest)
+            found[pairs[done]] = distance <= most[pairs[done]]
+        if step % 32 == 31:
+            least = (score[own] - np.bitwise_count(up[own])).min(axis=0) - 1
+            stay = np.flatnonzero((ends > step) & (least <= most[pairs]))
+            if len(stay) < SIDE_BY_SIDE:
+                for i in pairs[stay]:
+                    found[i] = edit_distance(a[i], b[i], int(most[i])) <= most[i]
                 break
             if len(stay) < 0.75 * len(pairs):
-                left, right, before, last, now = (x[:, stay] for x in (left, right, before, last, now))
-                pairs, ends = pairs[stay], ends[stay]
+                side, up, down, more, less, score = (v[:, stay] for v in (side, up, down, more, less, score))
+                more_now, less_now = np.zeros_like(more), np.zeros_like(less)
+                table, pairs, lasts, ends = table[stay], pairs[stay], lasts[stay], ends[stay]
+                first, w, x, y, z = fresh(len(stay))
     return found
 
 
@@ -407,28 +498,26 @@ def all_alike(a: list[str], b: list[str], similarity: float) -> np.ndarray:
         most = int((1.0 - similarity) * max(len(x), len(y)) + 1e-9)
         head = common_length(x, y)
         x, y = x[head:], y[head:]
-        tail = common_length(x[::-1], y[::-1])
+        tail = common_end(x, y)
         x, y = x[: len(x) - tail], y[: len(y) - tail]
-        if len(x) > LONGEST or len(y) > LONGEST:
-            found[i] = edit_distance(x, y, most) <= most
-        elif not x or not y:
-            found[i] = max(len(x), len(y)) <= most
-        elif abs(len(x) - len(y)) <= most:
-            waiting.append((max(len(x), len(y)), i, x, y, most))
-    # First a small distance for all, then the whole one for the rest.
-    for small in (True, False):
-        waiting.sort(key=lambda w: w[0])
-        rest, start = [], 0
-        while start < len(waiting):
-            stop = start
-            while stop < len(waiting) and stop - start < PAIRS and waiting[stop][0] <= 1.25 * waiting[start][0] + 8:
-                stop += 1
-            _, places, x, y, most = (list(column) for column in zip(*waiting[start:stop], strict=True))
-            got = close(x, y, np.minimum(most, FEW) if small else np.array(most))
-            found[np.array(places)[got]] = True
-            rest += [w for w, is_near in zip(waiting[start:stop], got, strict=True) if not is_near and w[4] > FEW]
-            start = stop
-        waiting = rest
+        if len(x) < len(y):
+            x, y = y, x
+        if len(x) <= most:
+            found[i] = True
+        elif y and len(x) - len(y) <= most:
+            waiting.append((len(x), i, x, y, most))
+    waiting.sort(key=lambda w: w[0])
+    start = 0
+    while start < len(waiting):
+        stop, longest = start, 1.6 * waiting[start][0] + 32
+        while stop < len(waiting) and stop - start < PAIRS and waiting[stop][0] <= longest:
+            stop += 1
+        _, places, x, y, most = (list(column) for column in zip(*waiting[start:stop], strict=True))
+        if stop - start < SIDE_BY_SIDE:
+            found[places] = [edit_distance(*pair) <= pair[2] for pair in zip(x, y, most, strict=True)]
+        else:
+            found[places] = close(x, y, np.array(most))
+        start = stop
     return found
 
 
@@ -520,12 +609,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         yield from rows.select(["a", "b"]).filter(pa.array(alike)).to_batches()
 
     def verify(batches):
-        # Some thousand pairs, or a few long ones, at once.
+        # Some ten thousand pairs, or a few long ones, at once.
         waiting, rows, size = [], 0, 0
         for batch in batches:
             waiting.append(batch)
             rows, size = rows + batch.num_rows, size + batch.nbytes
-            if rows >= 4 * PAIRS or size >= 4 * RUN_BYTES:
+            if rows >= 32 * PAIRS or size >= 8 * RUN_BYTES:
                 yield from kept(waiting)
                 waiting, rows, size = [], 0, 0
         if waiting:

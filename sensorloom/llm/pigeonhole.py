@@ -106,8 +106,14 @@ def mates(rows: DataFrame, named, each: int, count: int, bits: int) -> DataFrame
     def packed(prints, names):
         prints, names = np.concatenate(prints), np.concatenate(names)
         keys = ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32) << np.uint64(32) | names & np.uint64(0xFFFFFFFF)).ravel()
-        order = np.argsort(keys)
-        keys, prints = keys[order], prints[order // each]
+        bits = (len(prints) - 1).bit_length()
+        if (int(ranges) - 1).bit_length() + 32 + bits <= 64:
+            # Numbers sort faster than places: the name, then the row.
+            keys = np.sort(keys << np.uint64(bits) | np.repeat(np.arange(len(prints), dtype="<u8"), each))
+            keys, prints = keys >> np.uint64(bits), prints[keys & np.uint64((1 << bits) - 1)]
+        else:
+            order = np.argsort(keys)
+            keys, prints = keys[order], prints[order // each]
         part = keys >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
         data = np.concatenate([
@@ -147,10 +153,13 @@ def mates(rows: DataFrame, named, each: int, count: int, bits: int) -> DataFrame
 
 def met(keys: np.ndarray, prints: np.ndarray, bits: int):
     """Rows of :func:`mates` of one task's names ``keys`` and their members."""
-    order = np.argsort(keys)
-    keys, prints = keys[order], prints[order]
-    same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
-    again = same[1:] | same[:-1]
+    if not len(keys):
+        return
+    # Keys that may come again: sorted by some bits of a hash, with the place in the others.
+    low = np.uint64((len(keys) - 1).bit_length())
+    found = np.sort(keys * np.uint64(0x9E3779B97F4A7C15) >> low << low | np.arange(len(keys), dtype="<u8"))
+    same = np.concatenate([[False], found[1:] >> low == found[:-1] >> low, [False]])
+    again = found[same[1:] | same[:-1]] & (np.uint64(1) << low) - np.uint64(1)
     keys, prints = keys[again], prints[again]
     order = np.lexsort((prints, keys))
     keys, prints = keys[order], prints[order]
