@@ -37,6 +37,8 @@ GRAM, BANDS, PARTS = 7, 44, 3
 BINS, SHORT, AGREEING = 7, 18, 11
 # Rows with short sketches that a part of a search may have: so many for each line, and in any case.
 ROWS_A_LINE, PART_ROWS = 0.5, 1 << 20
+# Links of groups that one task connects.
+LINKS = 1 << 17
 # Grams that are sketched at once, small enough for a core's cache.
 SKETCHED = 1 << 15
 # Least ratio of lengths from class to class, and bits of a line's number beside the class's five.
@@ -601,7 +603,7 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 
 def _again(docs: DataFrame, wanted: DataFrame, words: int, made, columns: str) -> DataFrame:
-    """``key`` and the ``columns`` that ``made(lines, places)`` gives for the ``wanted (key, th)`` lines, once for each.
+    """``key`` and the ``columns`` that ``made(lines, places)`` gives for the ``wanted (key, th, ...)`` lines, and their other columns.
 
     A second pass reads the documents whose hash ``th`` is marked and yields the
     lines whose key is; the join leaves out lines that only share a mark.
@@ -626,7 +628,7 @@ def _again(docs: DataFrame, wanted: DataFrame, words: int, made, columns: str) -
 
     rows = pigeonhole.marked(hashed(docs), "th", wanted.select("th"))
     found = rows.select("text").mapInArrow(run, f"key binary, {columns}")
-    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return found.dropDuplicates(["key"]).join(wanted.drop("th"), "key")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -639,7 +641,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _sketches_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``key`` and the numbers of the short sketch of the ``wanted (key, th)`` lines."""
+    """``key``, the numbers of the short sketch and other columns of the ``wanted (key, th, ...)`` lines."""
 
     def made(part, places):
         return list(map(pa.array, np.ascontiguousarray(short_sketches(part, np.array(places, dtype=np.int64)).T)))
@@ -674,10 +676,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _near(pairs: DataFrame, similarity: float) -> DataFrame:
-    """``a, ta, b, tb`` of the ``pairs`` whose lengths ``na, nb`` allow the similarity and whose short sketches agree."""
+    """``a, ta, b, tb`` and roots of the ``pairs`` whose lengths ``na, nb`` allow the similarity and whose short sketches agree."""
     fit = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6
     alike = agree(*([F.col(f"{side}{i}") for i in range(SHORT)] for side in "xy"))
-    return pairs.where(fit & alike).select("a", "ta", "b", "tb")
+    return pairs.where(fit & alike).select("a", "ta", "b", "tb", *(c for c in ("ra", "rb") if c in pairs.columns))
 
 
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -712,7 +714,7 @@ def groups(docs: DataFrame, lines: DataFrame, shared: DataFrame, *, words: int =
     marked = pigeonhole.marked(lines.withColumn("place", place), "place", stars.select(
         F.explode(F.array("fp", "least")).alias("fp")).select(place.alias("place")))
     known = cut(marked.join(concerned, "fp").select("fp", "key", "size", "th"))
-    short = common.saved(_sketches_of(docs, known.select("key", "th"), words).join(known, "key"))
+    short = common.saved(_sketches_of(docs, known.withColumn("t", F.col("th")), words)).withColumnRenamed("t", "th")
     one, two = _sides(short)
     two = two.withColumnRenamed("fp", "least")
     near = _in_parts(stars, "fp", count, lambda part: _near(part.join(one, "fp").join(two, "least"), similarity))
@@ -729,17 +731,47 @@ def groups(docs: DataFrame, lines: DataFrame, shared: DataFrame, *, words: int =
         one, two = _sides(part.join(short.drop("fp"), "key"))
         return _near(one.join(two, "bucket").where("ra <> rb and a < b"), similarity).distinct()
 
-    pairs = _in_parts(left, "bucket", count, unconnected).distinct()
-    missing = _ends(pairs).join(texts.select("key"), "key", "left_anti")
-    texts = texts.unionByName(common.saved(_texts_of(docs, missing, words)))
+    # A pair may come once for each part.
+    pairs = _in_parts(left, "bucket", count, unconnected)
+    texts = texts.unionByName(common.saved(_texts_of(docs, _ends(pairs, texts), words)))
     further = _verified(pairs.select("a", "b"), texts, similarity)
-    return common.components(edges.unionByName(further)).select(F.col("node").alias("key"), "root")
+    links = cut(further.join(pairs.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    return _merged(roots, links)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """``key, th`` of the lines in ``pairs (a, ta, b, tb)``."""
+def _ends(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``key, th`` of the lines in ``pairs (a, ta, b, tb)`` that are not among the ``texts``."""
     ends = F.explode(F.array(*(F.struct(F.col(x).alias("key"), F.col(f"t{x}").alias("th")) for x in "ab")))
-    return cut(pairs.select(ends.alias("end")).select("end.key", "end.th").distinct())
+    found = pairs.select(ends.alias("end")).select("end.key", "end.th").distinct()
+    return cut(found if texts is None else found.join(texts.select("key"), "key", "left_anti"))
+
+
+def least_of(batches):
+    """``key, root`` of the ends of edges ``a, b``: the least connected one, by union and find."""
+    above = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            above[high] = low
+    keys = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(map(top, keys)), pa.binary())], ["key", "root"])
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, root`` of the ``roots (key, root)`` after ``links (a, b)`` between roots, or lines that have none."""
+    if links.count() <= LINKS:
+        tops = cut(links.coalesce(1).mapInArrow(least_of, "key binary, root binary"))
+    else:
+        tops = cut(common.components(links).select(F.col("node").alias("key"), "root"))
+    whole = roots.unionByName(tops.select("key", F.col("key").alias("root"))).dropDuplicates(["key"])
+    tops = tops.select(F.col("key").alias("root"), F.col("root").alias("top"))
+    return whole.join(tops, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
 
 
 def repeats(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -85,3 +85,20 @@ def test_parts_of_a_search_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(lines, "ROWS_A_LINE", 0)
     assert sorted(map(tuple, lines.deduplicated(docs).collect())) == whole
     assert calls.count(["a", "ta", "b", "tb"]) > 2 and sum(r[2] for r in whole) >= 20
+
+
+def test_groups_merge_in_one_task_and_in_many(spark, monkeypatch):
+    draw = random.Random(4)
+    names = [bytes([draw.randrange(256) for _ in range(4)]) for _ in range(60)]
+    roots = {names[i]: min(names[i - i % 3 : i - i % 3 + 3]) for i in range(45)}
+    links = [tuple(roots.get(x, x) for x in draw.sample(names, 2)) for _ in range(25)]
+    want = {**{x: x for pair in links for x in pair}, **roots}
+    for _ in links:
+        for a, b in links:
+            low = min(want[a], want[b])
+            want = {k: low if r in (want[a], want[b]) else r for k, r in want.items()}
+    tables = spark.createDataFrame(list(roots.items()), "key binary, root binary"), spark.createDataFrame(links, "a binary, b binary")
+    for most in (lines.LINKS, 3):
+        monkeypatch.setattr(lines, "LINKS", most)
+        got = [(bytes(r.key), bytes(r.root)) for r in lines._merged(*tables).collect()]
+        assert len(got) == len(want) and dict(got) == want
